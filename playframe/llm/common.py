@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +64,11 @@ def _remove_all() -> None:
             _WRITTEN.pop(path, None)
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task. Functions pickled by value get new globals in each task; this is one a process."""
+    return vars(sys.modules.setdefault("_playframe_worker", types.ModuleType("_playframe_worker")))
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

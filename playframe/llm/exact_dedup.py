@@ -6,9 +6,8 @@ their rows; of the others, prefixes that occur once within their length do. A
 second scan computes the full SHA-256 only for rows that neither level settled.
 
 What a level leaves open is carried to the scan as a bit table of fixed size
-(``2 ** SLOT_BITS`` bits as at most ``2 ** (SLOT_BITS - 6)`` rows of one long
-mask), so texts are never shuffled. Two keys in one slot only send more rows on
-to the next level; the full hash decides.
+(see ``slots``), so texts are never shuffled. Two keys in one slot only send more
+rows on to the next level; the full hash decides.
 """
 
 from __future__ import annotations
@@ -17,31 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, normalised, written
+from .slots import marked, open_slots, slot
 
-#: Slots of the bit table of a level; 2 ** 22 bits are 65,536 rows of 16 bytes to broadcast at most.
-SLOT_BITS = 22
 PREFIX_CHARS = 64
 
 
-def _slot(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(1 << SLOT_BITS))
-
-
-def _open_slots(rows: DataFrame, slot: Column, name: str) -> DataFrame:
-    """(word, mask) of the slots that at least two rows share."""
-    shared = rows.groupBy(slot.alias("slot")).count().where("count > 1")
-    word, bit = F.shiftright("slot", 6), F.expr("shiftleft(1L, int(slot & 63L))")
-    return shared.groupBy(word.alias(f"{name}_word")).agg(F.bit_or(bit).alias(f"{name}_mask"))
-
-
-def _marked(rows: DataFrame, slot: Column, masks: DataFrame, name: str) -> DataFrame:
-    """Adds a boolean column ``name``: whether the row's slot is open."""
-    at = rows.withColumn("_at", slot).withColumn("_word", F.shiftright("_at", 6))
-    joined = at.join(F.broadcast(masks), F.col("_word") == F.col(f"{name}_word"), "left")
-    is_open = F.expr(f"coalesce((shiftright({name}_mask, int(_at & 63L)) & 1L) = 1L, false)")
-    return joined.withColumn(name, is_open).drop("_at", "_word", f"{name}_word", f"{name}_mask")
-
-
 def _keyed(df: DataFrame, text: str) -> DataFrame:
     norm = df.withColumn("_norm", normalised(text))
     return norm.withColumn("_len", F.length("_norm").cast("long")).withColumn("_prefix", F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)))
@@ -54,14 +33,14 @@ def refined(df: DataFrame, row_id: str, text: str) -> DataFrame:
     row open, null where they already show that no other row has its text.
     """
     keys = written(_keyed(df.select(F.col(text).alias("_text")), "_text").select("_len", "_prefix"))
-    by_length = written(_open_slots(keys, _slot(F.col("_len")), "lengths"))
-    left = _marked(keys, _slot(F.col("_len")), by_length, "lengths").where("lengths")
-    prefix_slot = _slot(F.col("_len"), F.col("_prefix"))
-    by_prefix = written(_open_slots(left, prefix_slot, "prefixes"))
+    by_length = written(open_slots(keys, slot(F.col("_len")), "lengths"))
+    left = marked(keys, slot(F.col("_len")), by_length, "lengths").where("lengths")
+    prefix_slots = slot(F.col("_len"), F.col("_prefix"))
+    by_prefix = written(open_slots(left, prefix_slots, "prefixes"))
     drop(keys)
     rows = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text"), F.struct(*df.columns).alias("_row"))
-    rows = _marked(_keyed(rows, "_text"), _slot(F.col("_len")), by_length, "lengths")
-    rows = _marked(rows, prefix_slot, by_prefix, "prefixes")
+    rows = marked(_keyed(rows, "_text"), slot(F.col("_len")), by_length, "lengths")
+    rows = marked(rows, prefix_slots, by_prefix, "prefixes")
     return rows.withColumn("_full", F.when(F.col("lengths") & F.col("prefixes"), F.sha2(F.col("_norm"), 256))).drop("lengths", "prefixes", "_text")
 
 
