@@ -73,7 +73,8 @@ def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     bucket = F.substring("_hash", 1, BUCKET_DIGITS)
     sums = sizes.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("_size").alias("_sum"))
     sums = sums.withColumn("_start", F.sum("_sum").over(W.partitionBy("_source").orderBy("_bucket")) - F.col("_sum"))
-    cut = sums.join(plan.select("_source", "_rest"), "_source").where("_start <= _rest and _rest < _start + _sum")
+    #: One row per source at most; written, its size is known, and Spark broadcasts it where it is small enough.
+    cut = written(sums.join(plan.select("_source", "_rest"), "_source").where("_start <= _rest and _rest < _start + _sum"))
     there = sizes.withColumn("_bucket", bucket).join(cut.select("_source", "_bucket", "_start", "_rest"), ["_source", "_bucket"])
     same = there.groupBy("_source", "_start", "_rest", "_hash", "_id", "_size").count()
     upto = F.sum(F.col("_size") * F.col("count")).over(W.partitionBy("_source").orderBy("_hash", "_id", "_size"))
@@ -81,7 +82,7 @@ def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     ends = same.where("_before <= _rest and _rest < _before + _size * count").select(
         "_source", F.col("_hash").alias("_cut_hash"), F.col("_id").alias("_cut_id"), F.col("_size").alias("_cut_size"), F.expr("(_rest - _before) div count").alias("_cut_words")
     )
-    return plan.join(ends, "_source", "left").drop("_rest")
+    return written(plan.join(ends, "_source", "left").drop("_rest"))
 
 
 def _taken() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, warc
+from . import exact_dedup, mixing, packing, sharding, toxicity, warc
 from .common import documents
 
 
@@ -13,6 +13,13 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(documents(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.withColumnRenamed("text", "_body").withColumn("held_out", toxicity.held_out("doc_id")), model, text="_body")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir))
 
@@ -33,6 +40,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_toxicity": op6_toxicity,
     "op7_shard": op7_shard,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pack": op9_pack,
