@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, worker_state, written
+from .common import worker_state, written
+from .minhash import shingle_set
 
 #: Labelled rows to learn from, at most; the rows with the smallest seeded hash.
 SAMPLE = 20_000
@@ -119,9 +120,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, row_id: str, text: str,
     order = F.xxhash64(F.col("_id"), F.lit(17))
     chosen = known.select("_id", F.col("y").cast("int").alias("y"), order.alias("_order")).orderBy("_order").limit(sample)
     rows = docs.select(F.col(row_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen.select("_id", "y")), "_id").where("text is not null")
-    words = F.split("text", rf"{SPACE}+")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
-    rows = rows.withColumn("_sketch", F.array_min(runs)).groupBy("_sketch").agg(F.min(F.struct("_id", "y", "text")).alias("_row")).select("_sketch", "_row.*")
+    kind = rows.select("_id").dtypes[0][1]
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = [int(runs[0]) >> 1 if len(runs) else 0 for runs in map(shingle_set, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=[*b.schema.names, "_sketch"])
+
+    rows = rows.select("_id", "y", "text").mapInArrow(sketched, f"_id {kind}, y int, text string, _sketch long")
+    rows = rows.groupBy("_sketch").agg(F.min(F.struct("_id", "y", "text")).alias("_row")).select("_sketch", "_row.*")
     return rows.select("y", F.pmod(F.xxhash64("_sketch"), F.lit(2)).cast("int").alias("half"), "text")
 
 
