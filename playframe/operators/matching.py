@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -60,7 +61,9 @@ def _in_frames(predictions: DataFrame, truths: DataFrame, frame: str, func, sche
     def whole(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:  # a frame that one side lacks comes without columns
         return func(p.reindex(columns=names[0]), t.reindex(columns=names[1]))
 
-    return predictions.groupBy(frame).cogroup(truths.groupBy(frame)).applyInPandas(whole, schema)
+    # Both sides may come from one table; under a projection Spark then mixes up their equal attributes unless one side has new ones.
+    own = truths.select(*[F.col(c).alias(c) for c in truths.columns])
+    return predictions.groupBy(frame).cogroup(own.groupBy(frame)).applyInPandas(whole, schema)
 
 
 def greedy_match(predictions: DataFrame, truths: DataFrame, frame: str, threshold: float) -> DataFrame:
