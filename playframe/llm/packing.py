@@ -35,6 +35,8 @@ FINE = (32, 128, 512)
 END = (1).to_bytes(4, "little")
 #: Distinct words whose ids a Python worker keeps before it starts anew.
 CACHE_WORDS = 1_500_000
+#: New words encoded in one call: longer texts take longer a word, single words have a cost a call.
+TOGETHER = 100
 #: Ids of partitions and sequences share one long: the partition in the high bits.
 SEQUENCE_BITS = 36
 
@@ -66,6 +68,18 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space, ``TOGETHER`` to a call: a piece never crosses a single space, so places of tokens part the words."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            own = words[at : at + TOGETHER]
+            encoded = self.tokenizer.encode("".join([" " + w for w in own]), add_special_tokens=False)
+            raw = np.array(encoded.ids, "<u4").tobytes()
+            ends = np.cumsum([len(w) + 1 for w in own])
+            cuts = [0, *(4 * np.searchsorted(np.array([x for x, _ in encoded.offsets], np.int64), ends)).tolist()]
+            out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+        return out
+
     def _plain(self, text: str) -> bool:
         if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.ASCII_ODD):
             return False
@@ -99,9 +113,9 @@ class WordEncoder:
                 self.bare.clear()
                 self.spaced.clear()
             cut = [self._words(texts[i]) for i in todo]
-            for known, lead, words in ((self.bare, "", {w for x, _ in cut for w in x}), (self.spaced, " ", {w for _, x in cut for w in x})):
+            for known, ids, words in ((self.bare, self._ids, {w for x, _ in cut for w in x}), (self.spaced, self._spaced_ids, {w for _, x in cut for w in x})):
                 new = [w for w in words if w not in known]
-                known.update(zip(new, self._ids([lead + w for w in new]), strict=True))
+                known.update(zip(new, ids(new), strict=True))
             for i in todo:
                 found[i] = self._known(texts[i])
         return [b"".join(x) for x in found]
