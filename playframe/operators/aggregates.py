@@ -50,7 +50,7 @@ def segment_samples(df: DataFrame, start: tuple[str, str], end: tuple[str, str],
     length = F.sqrt((F.col(bx) - F.col(ax)) * (F.col(bx) - F.col(ax)) + (F.col(by) - F.col(ay)) * (F.col(by) - F.col(ay)))
     rows = df.withColumn("_n", F.greatest(F.lit(1), F.ceil(length / spacing)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     at = (F.col("_i") + 0.5) / F.col("_n")
-    return rows.select(*df.columns, (F.col(ax) + (F.col(bx) - F.col(ax)) * at).alias("x"), (F.col(ay) + (F.col(by) - F.col(ay)) * at).alias("y"), (F.col(weight) / F.col("_n")).alias("w"))
+    return rows.select(*[c for c in df.columns if c not in ("x", "y", "w")], (F.col(ax) + (F.col(bx) - F.col(ax)) * at).alias("x"), (F.col(ay) + (F.col(by) - F.col(ay)) * at).alias("y"), (F.col(weight) / F.col("_n")).alias("w"))
 
 
 def grid_mass(df: DataFrame, keys: Keys, x: str, y: str, weight: str, extent: tuple[float, float], cells: tuple[int, int]) -> DataFrame:

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PERSON = (
-    "observation_id STRING, role STRING, bbox ARRAY<DOUBLE>, confidence DOUBLE, track_id BIGINT, position_m ARRAY<DOUBLE>, position_status STRING, "
-    "ground_point_method STRING, jersey STRUCT<number: STRING, status: STRING, identity_status: STRING, team_id: STRING, player_name: STRING>"
+    "observation_id: STRING, role: STRING, bbox: ARRAY<DOUBLE>, confidence: DOUBLE, track_id: BIGINT, position_m: ARRAY<DOUBLE>, position_status: STRING, "
+    "ground_point_method: STRING, jersey: STRUCT<number: STRING, status: STRING, identity_status: STRING, team_id: STRING, player_name: STRING>"
 )
 OBSERVATION = (
     "schema_version INT, run_id STRING, frame_index BIGINT, timestamp_s DOUBLE, segment_id BIGINT, scene_cut BOOLEAN, included BOOLEAN, width INT, height INT, "
-    f"persons ARRAY<STRUCT<{PERSON.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY').replace(' DOUBLE,', ': DOUBLE,').replace(' BIGINT', ': BIGINT').replace(' STRUCT', ': STRUCT')}>>, "
-    "ball STRUCT<status: STRING, position_px: ARRAY<DOUBLE>, confidence: DOUBLE>"
+    f"persons ARRAY<STRUCT<{PERSON}>>, ball STRUCT<status: STRING, position_px: ARRAY<DOUBLE>, confidence: DOUBLE>"
 )
 
 
