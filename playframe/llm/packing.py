@@ -85,40 +85,39 @@ class WordEncoder:
             return False
         return text.isascii() or not any(x in text for x in self.WIDE_ODD)
 
-    def _words(self, text: str) -> tuple[list[str], list[str]]:
-        """The text's words that stand bare and those after a space."""
+    def _lookup(self, text: str) -> tuple[list[bytes | None], list[tuple[int, bool, str]]]:
+        """The ids of the text's words in order, and of each unknown one its place, whether it stands bare, and the word."""
         if not self._plain(text):
-            return self.CUT.split(text), []
-        lines = [line.split(" ") for line in text.split("\n")]
-        return [words[0] for words in lines], [w for words in lines for w in words[1:]]
-
-    def _known(self, text: str) -> list[bytes | None]:
-        if not self._plain(text):
-            return list(map(self.bare.get, self.CUT.split(text)))
-        found: list[bytes | None] = []
+            words = self.CUT.split(text)
+            found = list(map(self.bare.get, words))
+            return found, [(i, True, words[i]) for i, x in enumerate(found) if x is None]
+        found, gaps = [], []
         for line in text.split("\n"):
-            words = iter(line.split(" "))
-            found.append(self.bare.get(next(words)))
-            found.extend(map(self.spaced.get, words))
+            words = line.split(" ")
+            got = list(map(self.spaced.get, words))
+            got[0] = self.bare.get(words[0])
+            if None in got:
+                at = len(found)
+                gaps += [(at + i, i == 0, words[i]) for i, x in enumerate(got) if x is None]
+            found += got
             found.append(self.line_feed)
         found.pop()
-        return found
+        return found, gaps
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids, four little-endian bytes each."""
-        found = [self._known(t) if t else [] for t in texts]
-        if any(None in x for x in found):
-            todo = [i for i, x in enumerate(found) if None in x]
-            if len(self.bare) + len(self.spaced) > CACHE_WORDS:
-                self.bare.clear()
-                self.spaced.clear()
-            cut = [self._words(texts[i]) for i in todo]
-            for known, ids, words in ((self.bare, self._ids, {w for x, _ in cut for w in x}), (self.spaced, self._spaced_ids, {w for _, x in cut for w in x})):
-                new = [w for w in words if w not in known]
+        parts = [self._lookup(t) if t else ([], []) for t in texts]
+        if len(self.bare) + len(self.spaced) > CACHE_WORDS:
+            self.bare.clear()
+            self.spaced.clear()
+        for is_bare, known, ids in ((True, self.bare, self._ids), (False, self.spaced, self._spaced_ids)):
+            new = list({w for _, gaps in parts for _, b, w in gaps if b is is_bare})
+            if new:
                 known.update(zip(new, ids(new), strict=True))
-            for i in todo:
-                found[i] = self._known(texts[i])
-        return [b"".join(x) for x in found]
+        for found, gaps in parts:
+            for i, b, w in gaps:
+                found[i] = self.bare[w] if b else self.spaced[w]
+        return [b"".join(found) for found, _ in parts]
 
 
 class _Partial:
