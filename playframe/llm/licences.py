@@ -7,20 +7,35 @@ reach the threshold t with a segment of size a only if
 a * t / (2 - t) <= b <= a * (2 - t) / t: sizes prune the candidates. A segment that
 shares too few bigrams with all templates together needs no comparison either.
 Both bounds are exact.
+
+Runs of words anywhere in the text, within a line or over lines and paragraphs, are
+compared as windows of every size a template allows. If h bigrams of a window of a
+occur in a template, 2 * shared - t * (a + b) is at most (2 - t) * h - t * (a - h) - t * b,
+so no window reaches the threshold where no run of bigrams, worth 2 - t each if the
+template has them and -t if not, sums to t * b. A running sum finds that, first for
+all templates of like size together, then for each of them; only where it holds are
+the windows from each such bigram measured. This bound is exact too.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Window ends measured at a time.
+CELLS = 1 << 19
+#: Slack of bounds in floating point.
+SLACK = 1e-6
 
 #: The notices by which texts are commonly put under a licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -85,7 +100,16 @@ class Scanner:
         self.templates = [(sum(c.values()), c, name) for c, name in known if c]
         self.sizes = [n for n, _, _ in self.templates]
         self.vocabulary = frozenset(b for _, c, _ in self.templates for b in c)
-        self.words = frozenset(w for b in self.vocabulary for w in b)
+        #: Bigrams by number from 1 (0: in no template), how often each template has them, and the sizes' powers of two in which they occur, as bits.
+        self.numbers = {b: i for i, b in enumerate(sorted(self.vocabulary), 1)}
+        self.times = np.zeros((len(self.templates), len(self.numbers) + 1), np.int32)
+        self.powers = np.zeros(len(self.numbers) + 1, np.int32)
+        self.classes: dict[int, list[int]] = {}
+        for k, (size, template, _) in enumerate(self.templates):
+            own = [self.numbers[b] for b in template]
+            self.times[k, own] = list(template.values())
+            self.powers[own] |= 1 << size.bit_length()
+            self.classes.setdefault(size.bit_length(), []).append(k)
 
     @staticmethod
     def bigrams(words: list[str]) -> Counter:
@@ -106,8 +130,88 @@ class Scanner:
                 top = (name, dice)
         return top
 
+    def _reach(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per bigram, at most what a window from it sums to, and whether it occurs in the template."""
+        total = np.cumsum(np.where(hit, 2 - self.threshold, -self.threshold))
+        before = np.concatenate(([0.0], total[:-1]))
+        return np.maximum.accumulate(total[::-1])[::-1] - before, hit
+
+    def _likely(self, ids: np.ndarray) -> list[int]:
+        """Templates of which the text may hold a window."""
+        t, powers, likely = self.threshold, self.powers[ids], []
+        for power, own in self.classes.items():
+            hit, need = powers >> power & 1 > 0, t * self.templates[own[0]][0] - SLACK
+            if np.count_nonzero(hit) * (2 - t) >= need and self._reach(hit)[0].max() >= need:
+                likely += [k for k in own if self._reach(self.times[k][ids] > 0)[0].max() >= t * self.templates[k][0] - SLACK]
+        return likely
+
+    def _ends(self, k: int, hit: np.ndarray, earlier: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[tuple[float, float, int, int]]:
+        """Per start (excess, dice, start, end) of the window before ``limit`` with the most excess, 2 * shared - t * (a + b), if it reaches the threshold."""
+        size, t = self.templates[k][0], self.threshold
+        most = min(int(size * (2 - t) / t + 1e-9), limit - int(starts.min()))
+        for lo in range(0, len(starts), max(1, CELLS // most)):
+            part = starts[lo : lo + max(1, CELLS // most), None]
+            at = part + np.arange(most)
+            there = at < limit
+            at[~there] = 0
+            shared = np.cumsum(hit[at] & (earlier[at] < part) & there, axis=1)
+            sizes = np.arange(1, most + 1) + size
+            excess = np.where(there, 2 * shared - t * sizes, -np.inf)
+            best = excess.argmax(axis=1)
+            row = np.arange(len(part))
+            dice = 2 * shared[row, best] / sizes[best]
+            for i in np.flatnonzero(dice >= t).tolist():
+                yield round(float(excess[i, best[i]]), 6), float(dice[i]), int(part[i, 0]), int(part[i, 0] + best[i] + 1)
+
+    def windows(self, ids: np.ndarray, likely: list[int]) -> list[tuple[int, int, int, float]]:
+        """(template, first bigram, end, dice) of windows that don't overlap: that with the most excess, then the same in what is left of the text.
+
+        Of equal ones the smaller template, the earlier template and the earlier window win.
+        """
+        parts, queue = {}, []
+        for k in likely:
+            times = self.times[k][ids]
+            hit = times > 0
+            #: The place at which the bigram last stood as many places of its own ago as the template has it: from there on, one more is not shared.
+            order = np.argsort(ids, kind="stable")
+            back = np.arange(len(ids)) - times[order]
+            same = (back >= 0) & (ids[order[np.maximum(back, 0)]] == ids[order])
+            earlier = np.full(len(ids), -1)
+            earlier[order] = np.where(same, order[np.maximum(back, 0)], -1)
+            parts[k] = hit, earlier
+            starts = np.flatnonzero(hit & (self._reach(hit)[0] >= self.threshold * self.templates[k][0] - SLACK))
+            if len(starts):
+                queue += [(-excess, k, a, z, dice) for excess, dice, a, z in self._ends(k, hit, earlier, starts, len(ids))]
+        heapq.heapify(queue)
+        taken: list[tuple[int, int]] = []
+        found = []
+        while queue:
+            _, k, a, z, dice = heapq.heappop(queue)
+            i = bisect.bisect_right(taken, (a, len(ids)))
+            #: A window of bigrams a to z - 1 has the words a to z.
+            if i and a <= taken[i - 1][1]:
+                continue
+            limit = taken[i][0] - 1 if i < len(taken) else len(ids)
+            if z <= limit:
+                taken.insert(i, (a, z))
+                found.append((k, a, z, dice))
+            elif a < limit:
+                for excess, d, _, end in self._ends(k, *parts[k], np.array([a]), limit):
+                    heapq.heappush(queue, (-excess, k, a, end, d))
+        return sorted(found, key=lambda x: x[1])
+
     def matches(self, text: str) -> list[tuple[str, str, int, int, float]]:
-        """(licence, level, first character, end, dice). A paragraph of one line and a text of one paragraph count once, at the lower level."""
+        """(licence, level, first character, end, dice). A paragraph of one line and a text of one paragraph count once, at the lower level.
+
+        A window inside a line, paragraph or text found with its licence is not given again.
+        """
+        low = text.lower()
+        words = WORD.findall(low)
+        ids = np.fromiter(map(self.numbers.get, zip(words, words[1:]), repeat(0)), np.int64, max(0, len(words) - 1))
+        #: Lines, paragraphs and the text are windows too.
+        likely = self._likely(ids) if ids.any() else []
+        if not likely:
+            return []
         found = []
 
         def compare(level: str, start: int, end: int) -> None:
@@ -132,6 +236,14 @@ class Scanner:
             paragraphs, at = paragraphs + 1, m.end() if m else len(text)
         if paragraphs > 1:
             compare("text", 0, len(text))
+        spans = [m.span() for m in WORD.finditer(low)]
+        #: Lower case can be longer than the character.
+        place = range(len(text) + 1) if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
+        whole = list(found)
+        for k, a, z, dice in self.windows(ids, likely):
+            name, start, end = self.templates[k][2], place[spans[a][0]], place[spans[z][1] - 1] + 1
+            if not any(name == n and s <= start and end <= e for n, _, s, e, _ in whole):
+                found.append((name, "window", start, end, dice))
         return found
 
 
@@ -141,7 +253,8 @@ SCHEMA = "licence string, level string, first_char long, end_char long, dice dou
 def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per segment that reaches the threshold: the id, ``licence``, ``level``, ``first_char``, ``end_char`` and ``dice``.
 
-    Per segment the best template counts. Null and empty texts, and segments of fewer
+    Levels are line, paragraph, text and window, a run of words in any place. Per
+    segment the best template counts. Null and empty texts, and segments of fewer
     than two words, match nothing. Repeated rows give repeated results. An empty table
     gives no rows. Only the id and the text are read.
     """
