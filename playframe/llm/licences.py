@@ -24,6 +24,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 from itertools import repeat
 
 import numpy as np
@@ -38,7 +39,7 @@ CELLS = 1 << 19
 SLACK = 1e-6
 
 #: The notices by which texts are commonly put under a licence.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     (
@@ -85,7 +86,86 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("MIT", "Licensed under the MIT License."),
+    ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
+    ("ISC", "Licensed under the ISC License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 "
+        "as published by the Free Software Foundation.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "EPL-1.0",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 "
+        "which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    ),
+    ("EPL-2.0", "Licensed under the Eclipse Public License 2.0."),
+    ("EPL-1.0", "Licensed under the Eclipse Public License 1.0."),
+    (
+        "GFDL-1.3",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 "
+        "or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",
+    ),
+)
+
+
+def _gnu(what: str, name: str, version: str) -> tuple[str, str]:
+    """The notice of a GNU licence, its first sentence and the whole of it."""
+    first = (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License "
+        f"as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+    return first, (
+        f"{first} This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details. "
+        f"You should have received a copy of the GNU {name} General Public License along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+GNU = tuple(
+    (licence, notice)
+    for licence, what, name, version in (
+        ("GPL-2.0", "program", "", "2"),
+        ("GPL-3.0", "program", "", "3"),
+        ("LGPL-2.1", "library", "Lesser", "2.1"),
+        ("LGPL-3.0", "library", "Lesser", "3"),
+        ("AGPL-3.0", "program", "Affero", "3"),
+    )
+    for notice in _gnu(what, name, version)
+)
+COMMONS = tuple(
+    (f"CC-{code}-{version.split()[0]}", notice)
+    for code, name in (
+        ("BY", "Attribution"),
+        ("BY-SA", "Attribution-ShareAlike"),
+        ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )
+    for version in ("4.0 International", "3.0 Unported")
+    for notice in (
+        f"Licensed under CC {code} {version.split()[0]}.",
+        f"This work is licensed under CC {code} {version.split()[0]}.",
+        f"This work is licensed under a Creative Commons {name.replace('Derivatives', 'Derivs') if version[0] == '3' else name} {version} License.",
+    )
 )
+#: Published texts of whole licences, a file each by the licence's SPDX name.
+TEXTS = tuple(sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in (files(__package__) / "licence_texts").iterdir() if f.name.endswith(".txt")))
+TEMPLATES = (*NOTICES, *GNU, *COMMONS, *TEXTS)
 
 WORD = re.compile(r"\w+")
 BLANK = re.compile(r"\n[^\S\n]*\n")

@@ -67,3 +67,71 @@ def test_windows_equal_brute_force():
         assert got == sorted(want, key=lambda x: x[1])
         n += len(got)
     assert n > 30
+
+
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission.
+
+"""
+WARRANTY = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+FSF = "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+PUBLISHED = [
+    ("BSD-2-Clause", BSD + DISCLAIMER),
+    ("BSD-3-Clause", BSD + THIRD + DISCLAIMER),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License " + FSF.format(2) + WARRANTY),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License " + FSF.format(2.1)),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License " + FSF.format(3)),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License " + FSF.format(3)),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/ SPDX-License-Identifier: EPL-2.0"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License."),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0"),
+]
+
+
+@pytest.mark.parametrize(("licence", "wording"), PUBLISHED)
+def test_published_wording(licence, wording):
+    prose = " ".join(f"word{i}" for i in range(300))
+    assert {m[0] for m in found(wording)} == {licence}
+    assert {m[0] for m in found(f"{prose} {wording} {prose}")} == {licence}
+
+
+#: What the published text says at its beginning or end; and the licence's own notices, which texts of the GNU and some other licences quote.
+BODIES = {
+    "0BSD": "fee is hereby granted. THE SOFTWARE", "AGPL-3.0": "13. Remote Network Interaction", "Apache-2.0": "APPENDIX: How to apply the Apache License", "Artistic-1.0-Perl": "Artistic License",
+    "BSD-2-Clause": "EVEN IF ADVISED", "BSD-3-Clause": "3. Neither the name", "BSL-1.0": "machine-executable object code", "CC-BY-SA-4.0": "Section 3 -- License Conditions", "CC0-1.0": "Affirmer",
+    "EPL-1.0": "COMMERCIAL DISTRIBUTION", "GFDL-1.2": "Version 1.2, November 2002", "GFDL-1.3": "11. RELICENSING", "GPL-1.0": "Version 1, February 1989", "GPL-2.0": "Version 2, June 1991", "GPL-3.0": "11. Patents.",
+    "ISC": "TORTIOUS ACTION", "LGPL-2.0": "GNU LIBRARY GENERAL PUBLIC LICENSE", "LGPL-2.1": "Version 2.1, February 1999", "LGPL-3.0": "Combined Works", "MIT": "OR OTHER DEALINGS IN THE SOFTWARE", "MPL-1.1": "MULTIPLE-LICENSED CODE",
+    "MPL-2.0": "Incompatible With Secondary Licenses", "Unlicense": "In jurisdictions that recognize copyright laws", "Zlib": "altered source versions",
+}
+
+
+@pytest.mark.parametrize("licence", sorted(BODIES))
+def test_whole_text_in_prose_with_changed_words(licence):
+    words = dict(licences.TEXTS)[licence].split()
+    assert BODIES[licence].lower() in " ".join(words).lower()
+    for i in range(20, len(words), 40):
+        words[i] = "changed"
+    lines = "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11)).split("\n")
+    prose = " ".join(f"word{i}" for i in range(3 * len(words)))
+    text = f"{prose}\n\n" + "\n\n".join("\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)) + f"\n\n{prose}"
+    windows = [m for m in found(text) if m[3] - m[2] > 0.9 * len(" ".join(words))]
+    assert [m[:2] for m in windows] == [(licence, "window")]
+
+
+def test_every_text_has_a_test():
+    assert {n for n, _ in licences.TEXTS} == set(BODIES)
