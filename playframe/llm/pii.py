@@ -7,7 +7,9 @@ pseudonyms in every document and different values get different ones.
 
 What is found: e-mail addresses, payment cards (Luhn), IBANs (mod 97), US social
 security numbers, IPv4 addresses, telephone numbers and calendar dates. What fails
-its check, such as 16 digits without a right Luhn digit, is left as it stands.
+its check, such as 16 digits without a right Luhn digit, is left as it stands. A card
+or an IBAN is also found among further digits or capital words beside it, at any
+separator: an expiry date, a CVV, a quantity, a currency or a bank code.
 """
 
 from __future__ import annotations
@@ -32,16 +34,32 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 MEMO_VALUES = 200_000
 
 EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", re.ASCII)
-NUMBER = re.compile(
-    r"""(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<ipv4>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
-    |(?P<date>(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9])
-      |(?<![A-Za-z])(?:January|February|March|April|May|June|July|August|September|October|November|December)[ ][0-9]{1,2},[ ][0-9]{4}(?![0-9]))
-    |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-    |(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
-    |(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]))""",
-    re.ASCII | re.VERBOSE,
-)
+PATTERNS = {
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "date": r"""(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9])
+      |(?<![A-Za-z])(?:January|February|March|April|May|June|July|August|September|October|November|December)[ ][0-9]{1,2},[ ][0-9]{4}(?![0-9])""",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+}
+NUMBER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII | re.VERBOSE)
+#: For what begins where the pattern of an earlier kind has failed its check.
+LATER = {k: re.compile("|".join(f"(?P<{n}>{PATTERNS[n]})" for n in list(PATTERNS)[i + 1 :]), re.ASCII | re.VERBOSE) for i, k in enumerate(PATTERNS) if k != "phone"}
+GROUP = re.compile("[^A-Za-z0-9]*[A-Za-z0-9]+")
+DIGITS = re.compile("[0-9]+")
+#: Digits of the groups in which cards are printed; one group is usual too.
+LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 3), (6, 13)}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DJ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 
 
 def permute(value: int, domain: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -98,6 +116,52 @@ def _refilled(pattern: str, digits: str) -> str:
     return "".join(next(left) if c.isdigit() else c for c in pattern)
 
 
+def _card_ends(text: str, start: int, end: int) -> tuple[list[tuple[bool, int, int]], int]:
+    """Valid cards from ``start`` on that end with a group of digits before ``end``: (is it a usual layout, digits, end); and the end of the first group."""
+    found, digits, layout, at = [], "", [], start
+    first = 0
+    while m := DIGITS.match(text, at, end):
+        first = first or m.end()
+        digits, at = digits + m.group(), m.end()
+        layout.append(at - m.start())
+        if len(digits) > 19:
+            break
+        if len(digits) >= 13 and luhn_digit(digits[:-1]) == digits[-1]:
+            found.append((len(layout) == 1 or tuple(layout) in LAYOUTS, len(digits), at))
+        if text[at : at + 1] not in (" ", "-"):
+            break
+        at += 1
+    return found, first
+
+
+def _card_end(text: str, start: int, end: int) -> int | None:
+    """The end of the card from ``start`` on; none if none is valid or one that begins inside it is more likely: of a usual layout, then longer."""
+    own, at = _card_ends(text, start, end)
+    if not own:
+        return None
+    best = max(own)
+    while at < best[2]:
+        others, next_at = _card_ends(text, at + 1, end)
+        if any(o[:2] > best[:2] for o in others):
+            return None
+        at = next_at
+    return best[2]
+
+
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """The end of the IBAN in a match: by its country's length, else the last group's end at which it is valid."""
+    size, plain, ends = IBAN_LENGTHS.get(text[start : start + 2]), "", []
+    for at in range(start, end):
+        plain += text[at].strip()
+        if (at + 1 == end or text[at + 1] == " ") and text[at] != " " and 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
+            ends.append((len(plain) == size, at + 1))
+    return max(ends, default=(False, None))[1]
+
+
+#: Where a match can be longer than the value in it.
+ENDS = {"card": _card_end, "iban": _iban_end}
+
+
 def _email(text: str, shift: Shift) -> str:
     local, _, host = text.rpartition("@")
     return f"{_characters(local, shift)}@{host}"
@@ -181,26 +245,46 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
 
 
 def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and what was found: kind and range of characters in the given text."""
-    found = []
-    if "@" in text:
-        found += [("email", m.span()) for m in EMAIL.finditer(text)]
-    taken = [span for _, span in found]
-    found += [(m.lastgroup, m.span()) for m in NUMBER.finditer(text) if not any(m.start() < b and a < m.end() for a, b in taken)]
+    """The text with pseudonyms, and what was found: kind and range of characters in the given text.
+
+    Where a match fails its check, other ends of it and the kinds that come later are
+    tried; then the search goes on behind its first group of characters.
+    """
     memo = worker_state().setdefault("pseudonyms", {})
     if len(memo) > MEMO_VALUES:
         memo.clear()
-    out, spans, at = [], [], 0
-    for kind, (a, b) in sorted(found, key=lambda x: x[1]):
+    out, spans, done = [], [], 0
+
+    def put(kind: str, a: int, b: int) -> bool:
+        nonlocal done
         value = text[a:b]
         if (key, kind, value) not in memo:
             memo[key, kind, value] = pseudonym(kind, value, key)
         new = memo[key, kind, value]
         if new is not None:
-            out += [text[at:a], new]
+            out.extend((text[done:a], new))
             spans.append((kind, a, b))
-            at = b
-    return "".join(out) + text[at:], spans
+            done = b
+        return new is not None
+
+    def numbers(at: int, end: int) -> None:
+        m = NUMBER.search(text, at, end)
+        while m:
+            a, b = m.span()
+            kind = m.lastgroup
+            stop = ENDS[kind](text, a, b if kind == "iban" else end) if kind in ENDS else b
+            if stop and put(kind, a, stop):
+                m = NUMBER.search(text, stop, end)
+            else:
+                m = kind in LATER and LATER[kind].match(text, a, end) or NUMBER.search(text, GROUP.match(text, a).end(), end)
+
+    at = 0
+    for m in EMAIL.finditer(text) if "@" in text else ():
+        numbers(at, m.start())
+        put("email", *m.span())
+        at = m.end()
+    numbers(at, len(text))
+    return "".join(out) + text[done:], spans
 
 
 DIGIT_OR_AT = re.compile("[0-9@]")
