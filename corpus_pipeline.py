@@ -3,7 +3,7 @@
 1. toxicity: documents that score 0.5 or more go;
 2. exact dedup: of equal texts the one with the smallest id stays;
 3. near dedup: one document of each group of near duplicates stays;
-4. mixing: sources are repeated or thinned to their target weights;
+4. mixing: sources are repeated or thinned to their target weights, by whole documents;
 5. packing: token sequences of at most 2,048 ids.
 
 Stages 1 to 4 return the columns of ``documents``, the last one its pieces.
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.materialise_mix(docs)
+    return mixing.materialise_mix(docs, whole=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

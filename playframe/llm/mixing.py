@@ -80,16 +80,20 @@ def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     upto = F.sum(F.col("_size") * F.col("count")).over(W.partitionBy("_source").orderBy("_hash", "_id", "_size"))
     same = same.withColumn("_before", F.col("_start") + upto - F.col("_size") * F.col("count"))
     ends = same.where("_before <= _rest and _rest < _before + _size * count").select(
-        "_source", F.col("_hash").alias("_cut_hash"), F.col("_id").alias("_cut_id"), F.col("_size").alias("_cut_size"), F.expr("(_rest - _before) div count").alias("_cut_words")
+        "_source", F.col("_hash").alias("_cut_hash"), F.col("_id").alias("_cut_id"), F.col("_size").alias("_cut_size"), F.expr("(_rest - _before) div count").alias("_cut_words"), F.col("count").alias("_cut_rows"), ((F.col("_rest") - F.col("_before")) / (F.col("count") * F.col("_size"))).alias("_cut_share")
     )
     return written(plan.join(ends, "_source", "left").drop("_rest"))
 
 
+def _fraction(before: Column | int, at: Column | int) -> Column:
+    """``before`` for rows that come before the cut, ``at`` for those at it, else 0."""
+    row, cut = F.struct(F.col("_hash").alias("h"), F.col("_id").alias("i"), F.col("_size").alias("s")), F.struct(F.col("_cut_hash").alias("h"), F.col("_cut_id").alias("i"), F.col("_cut_size").alias("s"))
+    return F.when(F.col("_cut_hash").isNull(), 0).when(row < cut, before).when(row.eqNullSafe(cut), at).otherwise(0)
+
+
 def _taken() -> Column:
     """Words the mix takes of a row, from its size and its source's plan."""
-    row, cut = F.struct(F.col("_hash").alias("h"), F.col("_id").alias("i"), F.col("_size").alias("s")), F.struct(F.col("_cut_hash").alias("h"), F.col("_cut_id").alias("i"), F.col("_cut_size").alias("s"))
-    part = F.when(F.col("_cut_hash").isNull(), 0).when(row < cut, F.col("_size")).when(row.eqNullSafe(cut), F.col("_cut_words")).otherwise(0)
-    return (F.col("_whole") * F.col("_size") + part).cast("long")
+    return (F.col("_whole") * F.col("_size") + _fraction(F.col("_size"), F.col("_cut_words"))).cast("long")
 
 
 def mix(df: DataFrame, row_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -105,18 +109,26 @@ def mix(df: DataFrame, row_id: str = "doc_id", text: str = "text", source: str =
     return sizes.join(plan, "_source").select(F.col("_id").alias(row_id), F.col("_size").alias("size"), "source_size", "target", _taken().alias("taken"))
 
 
-def materialise_mix(df: DataFrame, row_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def materialise_mix(df: DataFrame, row_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, whole: bool = False) -> DataFrame:
     """The mix itself: the columns of ``df``, a row for each repetition.
 
     The row at a source's cut comes once more with its first words only, joined by
-    single spaces. Rows without words are in no mix.
+    single spaces, so the words are those of ``mix``. With ``whole`` no text is cut:
+    that row comes whole if at least half of it is due, else not; of several with one
+    id and size, a share by a hash of the text. Rows without words are repeated as
+    the others of their source.
     """
     sizes = written(sized(df, row_id, text, source, seed))
     plan = mixing_plan(sizes, weights, max_epochs)
     row = F.struct(*df.columns).alias("_row")
     rows = df.select(row, F.col(row_id).alias("_id"), F.col(text).alias("_text"), _source_key(source).alias("_source"), word_count(text).alias("_size"), _order_hash(row_id, seed).alias("_hash"))
-    rows = rows.join(plan, "_source").withColumn("_taken", _taken()).where("_taken > 0")
-    copies = F.expr("transform(sequence(1L, _taken div _size + int(_taken % _size > 0)), i -> least(_size, _taken - (i - 1) * _size))")
+    due = F.when(F.col("_cut_rows") == 1, F.col("_cut_share") >= 0.5).otherwise(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < F.col("_cut_share") * (1 << 30))
+    times = (F.col("_whole") + _fraction(F.lit(1), due.cast("int"))).cast("int")
+    rows = rows.join(plan, "_source").withColumn("_taken", _taken()).withColumn("_times", times)
+    copies = F.array_repeat("_size", F.col("_times"))
+    if not whole:
+        cut = F.expr("transform(sequence(1L, _taken div _size + int(_taken % _size > 0)), i -> least(_size, _taken - (i - 1) * _size))")
+        copies = F.when(F.col("_size") == 0, copies).when(F.col("_taken") > 0, cut)
     rows = rows.withColumn("_words", F.explode(copies))
     first = F.array_join(F.slice(F.filter(F.split(text_or_empty("_text"), rf"{SPACE}+"), lambda w: w != ""), 1, F.col("_words").cast("int")), " ")
     part = F.col("_words") < F.col("_size")
