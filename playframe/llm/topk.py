@@ -14,6 +14,7 @@ has to do.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,19 @@ BLOCK = 8192
 GROUP = 2048
 #: Queries and candidates whose dense score array is filled at a time (1 MB of 32-bit scores).
 TILE_QUERIES, TILE_ROWS = 64, 4096
-#: Components beyond this magnitude count as this magnitude, so that scores of 1,024 terms, with their place in a tile, fit in 64 bits.
-LIMIT = 1 << 20
 
 RESULT = "query_id long, vec_id long, score long"
 
 
-def quantised(vector: str, scale: float) -> Column:
-    """floor(scale * x) of every component, x as double."""
-    return F.transform(F.col(vector), lambda x: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), x.cast("double") * scale))).cast("int"))
+def quantised(vector: str, scale: float) -> tuple[Column, Column]:
+    """floor(scale * x) of every component, x as double: as integers of 32 bits, else null; and where one doesn't fit, as doubles, which hold it exactly."""
+    fits = F.forall(vector, lambda x: F.abs(x.cast("double") * scale) < F.lit(float(2**31 - 1)))
+
+    def wide(x: Column) -> Column:
+        v = x.cast("double") * scale
+        return F.when(F.abs(v) < F.lit(float(2**52)), F.floor(v).cast("double")).otherwise(v)
+
+    return F.when(fits, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))), F.when(~fits, F.transform(vector, wide))
 
 
 def _sound(vector: str) -> Column:
@@ -45,9 +50,13 @@ def _sound(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))), F.lit(False))
 
 
+def _lengths(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
 def _matrix(vectors: pa.ListArray, terms: int) -> np.ndarray:
     """Rows padded with zeros to the longest vector."""
-    flat, lengths = vectors.flatten().to_numpy(zero_copy_only=False), np.diff(vectors.offsets.to_numpy())
+    flat, lengths = vectors.flatten().to_numpy(zero_copy_only=False), _lengths(vectors)
     out = np.zeros((len(lengths), terms), np.int64)
     out[np.arange(terms)[None, :] < lengths[:, None]] = flat
     return out
@@ -71,14 +80,42 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores.astype(np.int64)
 
 
+def _wide_rows(matrix: np.ndarray, wide: pa.ListArray) -> dict[int, np.ndarray]:
+    """Rows with components so large that a score could exceed 64 bits, as Python integers; they become zeros in ``matrix``."""
+    terms = matrix.shape[1]
+    limit = math.isqrt((2**63 - 1) // max(1, terms))
+    found = {i: [int(x) for x in wide[i].as_py()] for i in np.flatnonzero(wide.is_valid().to_numpy(zero_copy_only=False)).tolist()}
+    found |= {i: matrix[i].tolist() for i in np.flatnonzero((np.abs(matrix) > limit).any(axis=1)).tolist()}
+    matrix[list(found)] = 0
+    return {i: np.array([*v, *[0] * (terms - len(v))], object) for i, v in found.items()}
+
+
+def _scores(queries: np.ndarray, candidates: np.ndarray, wide_queries: dict[int, np.ndarray], wide_candidates: dict[int, np.ndarray]) -> np.ndarray:
+    """Exact scores of a tile, as Python integers if there are wide rows in it."""
+    scores = accumulate(queries, candidates)
+    if not wide_queries and not wide_candidates:
+        return scores
+    scores, queries, candidates = (x.astype(object) for x in (scores, queries, candidates))
+    for i, v in wide_queries.items():
+        queries[i] = v
+    for j, v in wide_candidates.items():
+        candidates[j] = v
+    for i, v in wide_queries.items():
+        scores[i] = candidates @ v
+    for j, v in wide_candidates.items():
+        scores[:, j] = queries @ v
+    return scores
+
+
 def _best(scores: np.ndarray, query: np.ndarray, ids: np.ndarray, own: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Per query the block's best rows; candidates are in ascending order of id, so position breaks ties."""
-    n = scores.shape[1]
-    rank = scores * n + np.arange(n - 1, -1, -1)
     for i in range(len(query)):
         there = np.flatnonzero(own != query[i])
         if len(there) > top:
-            there = there[np.argpartition(rank[i, there], len(there) - top)[-top:]]
+            s, at = scores[i, there], len(there) - top
+            least = (np.sort(s) if s.dtype == object else np.partition(s, at))[at]
+            above = there[s > least]
+            there = np.concatenate((above, there[s == least][: top - len(above)]))
         yield np.full(len(there), query[i]), ids[there], scores[i, there]
 
 
@@ -87,17 +124,19 @@ def _cell(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatc
         for r in range(b.num_rows):
             q, c = (b.column(i)[r].values for i in (0, 1))
             query, ids = (x.field(0).to_numpy(zero_copy_only=False) for x in (q, c))
-            vectors = [x.field(1) for x in (q, c)]
-            terms = max(int(np.diff(v.offsets.to_numpy()).max(initial=0)) for v in vectors)
+            vectors, wide = ([x.field(i) for x in (q, c)] for i in (1, 2))
+            terms = max(int(_lengths(v).max(initial=0)) for v in (*vectors, *wide))
             left, right = (_matrix(v, terms) for v in vectors)
             order = np.argsort(ids, kind="stable")
             ids, right = ids[order], right[order]
+            wide_left, wide_right = _wide_rows(left, wide[0]), _wide_rows(right, wide[1].take(pa.array(order)))
             for lo in range(0, len(query), TILE_QUERIES):
                 part = slice(lo, lo + TILE_QUERIES)
                 found = []
                 for at in range(0, len(ids), TILE_ROWS):
                     own = ids[at : at + TILE_ROWS]
-                    found += _best(accumulate(left[part], right[at : at + TILE_ROWS]), query[part], own, own, top)
+                    near = [{i - start: v for i, v in rows.items() if start <= i < start + n} for rows, start, n in ((wide_left, lo, TILE_QUERIES), (wide_right, at, TILE_ROWS))]
+                    found += _best(_scores(left[part], right[at : at + TILE_ROWS], *near), query[part], own, own, top)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -106,7 +145,7 @@ def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     """(``name``, ``name_rows``): lists of about ``size`` rows, dealt by a hash of the row's number; and how many lists."""
     count = max(1, -(-rows.count() // size))
     key = F.pmod(F.xxhash64("uid"), F.lit(count))
-    return rows.groupBy(key.alias(name)).agg(F.collect_list(F.struct("id", "vector")).alias(f"{name}_rows")), count
+    return rows.groupBy(key.alias(name)).agg(F.collect_list(F.struct("id", "vector", "wide")).alias(f"{name}_rows")), count
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, row_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, top: int = TOP, block: int = BLOCK, group: int = GROUP) -> DataFrame:
@@ -117,10 +156,12 @@ def top_inner_products(vectors: DataFrame, is_query: Column, row_id: str = "vec_
     that are null or hold null or non-finite components take no part, nor do null
     ids. A shorter vector counts as padded with zeros; an empty one scores 0. Equal
     rows are a single candidate, and ids that stand on different vectors keep one
-    candidate each. An empty table gives no rows. Further columns are not read.
+    candidate each. Components may be of any finite size; a score that is among a
+    block's best and doesn't fit in 64 bits fails the query. An empty table gives no rows. Further columns are not read.
     """
-    rows = vectors.where(_sound(vector) & F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), quantised(vector, scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = written(rows.dropDuplicates(["id", "vector"]).withColumn("uid", F.monotonically_increasing_id()))
+    small, wide = quantised(vector, scale)
+    rows = vectors.where(_sound(vector) & F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), small.alias("vector"), wide.alias("wide"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = written(rows.dropDuplicates(["id", "vector", "wide"]).withColumn("uid", F.monotonically_increasing_id()))
     blocks, n_blocks = _dealt(rows, block, "block")
     groups, n_groups = _dealt(rows.where("asks"), group, "group")
     left = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
