@@ -20,9 +20,11 @@ _WRITTEN: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _OWN_DIR.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="playframe-"))
     return found.rstrip("/")
 
@@ -64,9 +66,17 @@ def _remove_all() -> None:
             _WRITTEN.pop(path, None)
 
 
-def worker_state() -> dict:
-    """What a Python worker keeps from task to task. Functions pickled by value get new globals in each task; this is one a process."""
-    return vars(sys.modules.setdefault("_playframe_worker", types.ModuleType("_playframe_worker")))
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator, ``owner``; what it kept for another is dropped.
+
+    Functions pickled by value get new globals in each task; this is one a process.
+    Workers outlive a stage, so without the drop each operator of a pipeline would
+    add its own tables to those of the operators before.
+    """
+    kept = sys.modules.setdefault("_playframe_worker", types.ModuleType("_playframe_worker"))
+    if getattr(kept, "owner", None) != owner:
+        kept.owner, kept.state = owner, {}
+    return kept.state
 
 
 def text_or_empty(text: str) -> Column:

@@ -43,7 +43,8 @@ BLOCK = 512
 #: at the threshold 96 of 128 are expected with a deviation of 5, so 70 is beyond five deviations.
 LEAST_AGREEING = 70
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-MEMO_WORDS = 500_000
+#: Word hashes a Python worker keeps, some 150 bytes each, and the longest word kept.
+MEMO_WORDS, MEMO_BYTES = 200_000, 64
 CHUNK_BYTES = 1 << 20
 #: Odd multipliers that combine the words of a shingle, and seeds of the two permutations.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -65,14 +66,15 @@ def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     words = WORDS.findall((text or "").encode().lower())  # bytes.lower changes A-Z only
     if not words:
         return np.zeros(0, np.uint64)
-    memo = worker_state().setdefault("word_hashes", {})
+    memo = worker_state("shingles").setdefault("word_hashes", {})
     if len(memo) > MEMO_WORDS:
         memo.clear()
     try:
         codes = [memo[w] for w in words]
     except KeyError:
-        memo.update({w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in set(words) if w not in memo})
-        codes = [memo[w] for w in words]
+        new = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in set(words) if w not in memo}
+        codes = [new[w] if w in new else memo[w] for w in words]
+        memo.update((w, h) for w, h in new.items() if len(w) <= MEMO_BYTES)
     h = np.array(codes, np.uint64)
     n = min(width, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)

@@ -31,7 +31,7 @@ ROUNDS = 8
 KEY = b"registered query, not a secret"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-MEMO_VALUES = 200_000
+MEMO_VALUES = 100_000
 
 EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", re.ASCII)
 PATTERNS = {
@@ -250,7 +250,7 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
     Where a match fails its check, other ends of it and the kinds that come later are
     tried; then the search goes on behind its first group of characters.
     """
-    memo = worker_state().setdefault("pseudonyms", {})
+    memo = worker_state("pii").setdefault("pseudonyms", {})
     if len(memo) > MEMO_VALUES:
         memo.clear()
     out, spans, done = [], [], 0

@@ -42,7 +42,8 @@ MIN_EFFECT = 1.0
 MIN_Z = 2.5
 #: Cost of a token outside the lexicon: what a passage may hold of them between two hits.
 DRIFT = 0.05
-MEMO_WORDS = 1_000_000
+#: Token scores a Python worker keeps, some 150 bytes each, and the longest token kept.
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 TOKEN = re.compile(r"\w+")
 
 
@@ -71,9 +72,11 @@ class _Memo(dict):
         self.lexicon = lexicon
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        found = self[token] = next((self.lexicon[u] for u in units(token) if u in self.lexicon), 0.0)
+        found = next((self.lexicon[u] for u in units(token) if u in self.lexicon), 0.0)
+        if len(token) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[token] = found
         return found
 
 
@@ -249,7 +252,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lexicon.value
-        state = worker_state()
+        state = worker_state("toxicity")
         if state.get("toxicity_lexicon") != m.lexicon:
             state["toxicity_lexicon"], state["toxicity_memo"] = m.lexicon, _Memo(m.lexicon)
         memo = state["toxicity_memo"]
