@@ -16,7 +16,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIR: dict[str, str] = {}
-_WRITTEN: dict[str, tuple[SparkSession, str]] = {}
+_WRITTEN: dict[str, tuple[SparkSession, list[str]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +38,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/playframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[path] = (spark, path)
+    _WRITTEN[path] = (spark, [path])
     back._playframe_path = path
     return back
 
@@ -49,12 +49,19 @@ def drop(*tables: DataFrame) -> None:
         _remove(table._playframe_path)
 
 
+def drop_later(table: DataFrame, folder: str) -> None:
+    """Let ``folder``, what a table made by ``written`` refers to, go with it."""
+    spark, paths = _WRITTEN[table._playframe_path]
+    _WRITTEN[table._playframe_path] = (spark, [*paths, folder])
+
+
 def _remove(path: str) -> None:
-    spark, _ = _WRITTEN.pop(path)
+    spark, paths = _WRITTEN.pop(path)
     jvm = spark.sparkContext._jvm
     if jvm is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        for one in paths:
+            where = jvm.org.apache.hadoop.fs.Path(one)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
@@ -79,8 +86,13 @@ def worker_state(owner: str) -> dict:
     return kept.state
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row, whatever their names, as the struct ``_row``."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def text_or_empty(text: str) -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
 
 def normalised(text: str) -> Column:

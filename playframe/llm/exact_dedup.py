@@ -5,7 +5,7 @@ Built-in functions only. A first scan writes the two cheap keys of every row
 their rows; of the others, prefixes that occur once within their length do. A
 second scan computes the full SHA-256 only for rows that neither level settled.
 
-What a level leaves open is carried to the scan as a bit table of fixed size
+What a level leaves open is carried to the scan as a bit table of bounded size
 (see ``slots``), so texts are never shuffled. Two keys in one slot only send more
 rows on to the next level; the full hash decides.
 """
@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, normalised, written
-from .slots import marked, open_slots, slot
+from .common import drop, normalised, whole_row, written
+from .slots import marked, open_slots, slot, slot_bits
 
 PREFIX_CHARS = 64
 
@@ -32,14 +32,15 @@ def refined(df: DataFrame, row_id: str, text: str) -> DataFrame:
     ``_full`` is the SHA-256 of the normalised text where length and prefix left the
     row open, null where they already show that no other row has its text.
     """
-    keys = written(_keyed(df.select(F.col(text).alias("_text")), "_text").select("_len", "_prefix"))
-    by_length = written(open_slots(keys, slot(F.col("_len")), "lengths"))
-    left = marked(keys, slot(F.col("_len")), by_length, "lengths").where("lengths")
-    prefix_slots = slot(F.col("_len"), F.col("_prefix"))
+    keys = written(_keyed(df.select(F.col(f"`{text}`").alias("_text")), "_text").select("_len", "_prefix"))
+    bits = slot_bits(keys.count())
+    length_slots, prefix_slots = slot(bits, F.col("_len")), slot(bits, F.col("_len"), F.col("_prefix"))
+    by_length = written(open_slots(keys, length_slots, "lengths"))
+    left = marked(keys, length_slots, by_length, "lengths").where("lengths")
     by_prefix = written(open_slots(left, prefix_slots, "prefixes"))
     drop(keys)
-    rows = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text"), F.struct(*df.columns).alias("_row"))
-    rows = marked(_keyed(rows, "_text"), slot(F.col("_len")), by_length, "lengths")
+    rows = df.select(F.col(f"`{row_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), whole_row(df))
+    rows = marked(_keyed(rows, "_text"), length_slots, by_length, "lengths")
     rows = marked(rows, prefix_slots, by_prefix, "prefixes")
     return rows.withColumn("_full", F.when(F.col("lengths") & F.col("prefixes"), F.sha2(F.col("_norm"), 256))).drop("lengths", "prefixes", "_text")
 
@@ -62,7 +63,7 @@ def exact_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     sides get an exchange of their own, which lets Spark split a hot group.
     """
     carry = carry or {}
-    rows = refined(df.select(row_id, text), row_id, text).select("_id", "_len", "_prefix", "_full", *[e.alias(n) for n, e in carry.items()])
+    rows = refined(df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`")), row_id, text).select("_id", "_len", "_prefix", "_full", *[e.alias(n) for n, e in carry.items()])
     rows = written(rows.withColumn("_uid", F.monotonically_increasing_id()))
     several = rows.where("_full is not null")
     groups = several.groupBy("_len", "_prefix", "_full").agg(_first("_uid"), F.count(F.lit(1)).alias("group_size"))

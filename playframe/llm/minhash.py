@@ -9,10 +9,10 @@ for each band and each value of its coordinates. Links are found in two rounds a
 always confirmed on the full sets:
 
 * every member of a bucket against the bucket's smallest, one pair a member;
-* in buckets whose members aren't all connected yet, members of different
-  components against each other. A bucket is cut into blocks of ``BLOCK`` members
-  and each pair of blocks is one group of rows, so a large bucket is many bounded
-  groups and its pairs stay inside the tasks that test them.
+* in buckets whose members aren't all connected yet, members outside the largest
+  component against all others. They are cut into blocks of ``BLOCK``, and the
+  bucket's members pass by each block, so that a large bucket is many tasks and its
+  pairs stay inside them.
 
 No bucket is capped. A pair at the threshold shares a bucket with probability
 1 - (1 - 0.75 ** 4) ** 32, all but 5 in a million.
@@ -30,18 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, text_or_empty, worker_state, written
+from .common import drop, text_or_empty, whole_row, worker_state, written
 from .components import components
-from .slots import SLOT_BITS, marked, slot
+from .slots import marked, slot, slot_bits
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, ROWS = 32, 4
-BLOCK = 512
+#: Rows of a bucket in one block, and rows that pass by a block in one task.
+BLOCK, STRIPE = 512, 4096
 #: Of the signature's low bytes, how many must agree before the full sets are compared:
-#: at the threshold 96 of 128 are expected with a deviation of 5, so 70 is beyond five deviations.
-LEAST_AGREEING = 70
+#: at the threshold 96 of 128 are expected with a deviation of 5, so 56 is beyond eight deviations.
+LEAST_AGREEING = 56
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Word hashes a Python worker keeps, some 150 bytes each, and the longest word kept.
 MEMO_WORDS, MEMO_BYTES = 200_000, 64
@@ -170,47 +171,84 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _links([(x, y) for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64))])
 
 
-def _block_links(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Links between components found in one pair of blocks: rows (bucket, i, j, block, node, label, shingles, sketch, keys).
+def _block_links(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
+    """Links that join components, from rows (bucket, i, stripe, block, node, label, shingles, sketch, keys), those of block i first.
 
-    Within the group a found link joins its two components, so further pairs of
-    these are not compared. A pair in several buckets belongs to the first band.
+    Block i holds members outside the bucket's largest component; the bucket's members
+    pass by them once, in stripes of about ``STRIPE``, a chunk of rows at a time. A found link joins its two
+    components, so further pairs of these are not compared. Two members of small
+    components meet where the block of the one with the smaller block number is, and a
+    pair in several buckets belongs to the first band.
     """
-    bucket, i, j = rows[0][:3]
-    block, node, label = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-    sets = [np.frombuffer(r[6], np.uint64) for r in rows]
-    sizes = np.array([len(s) for s in sets])
-    sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-    keys = np.frombuffer(b"".join(r[8] for r in rows), np.int64).reshape(len(rows), -1)
-    band = int(np.flatnonzero(keys[0] == bucket)[0])
-    found = []
-    for x in range(len(rows)):
-        if i != j and block[x] != i:
+    own: list[tuple] = []
+    joined: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while joined.get(label, label) != label:
+            label = joined[label]
+        return label
+
+    def arrays(part: list[tuple]) -> tuple:
+        sets = [np.frombuffer(r[6], np.uint64) for r in part]
+        sketch = np.frombuffer(b"".join(r[7] for r in part), np.uint8).reshape(len(part), -1)
+        keys = np.frombuffer(b"".join(r[8] for r in part), np.int64).reshape(len(part), -1)
+        return sets, np.array([len(s) for s in sets]), sketch, keys
+
+    def meet(part: list[tuple], base: tuple) -> Iterator[tuple[int, int]]:
+        if not part:
+            return
+        here, sizes, sketch, keys = base
+        nodes = np.array([r[4] for r in own])
+        sets, _, sketches, every_key = arrays(part)
+        for r, s, one, k in zip(part, sets, sketches, every_key, strict=True):
+            bucket, i, _, block, node, label = r[:6]
+            band = int(np.flatnonzero(k == bucket)[0])
+            able = (100 * np.minimum(sizes, len(s)) >= PERCENT * np.maximum(sizes, len(s))) & (nodes != node)
+            if block == i:
+                able &= nodes > node
+            elif 0 <= block < i:
+                continue
+            other = np.flatnonzero(able)
+            agreeing = np.count_nonzero(sketch[other] == one, axis=1)
+            other, agreeing = other[agreeing >= LEAST_AGREEING], agreeing[agreeing >= LEAST_AGREEING]
+            first = np.argmax(keys[other] == k, axis=1) == band
+            other, agreeing = other[first], agreeing[first]
+            for y in other[np.argsort(-agreeing, kind="stable")].tolist():
+                a, b = root(label), root(own[y][5])
+                if a != b and linked(s, here[y]):
+                    joined[max(a, b)] = min(a, b)
+                    yield node, own[y][4]
+
+    part: list[tuple] = []
+    base = None
+    for r in rows:
+        if r[1] == r[3]:
+            own.append(r)
             continue
-        other = np.flatnonzero((label != label[x]) & ((node > node[x]) if i == j else (block == j)))
-        other = other[100 * np.minimum(sizes[other], sizes[x]) >= PERCENT * np.maximum(sizes[other], sizes[x])]
-        agreeing = np.count_nonzero(sketch[other] == sketch[x], axis=1)
-        other, agreeing = other[agreeing >= LEAST_AGREEING], agreeing[agreeing >= LEAST_AGREEING]
-        first = np.argmax(keys[other] == keys[x], axis=1) == band
-        other, agreeing = other[first], agreeing[first]
-        for y in other[np.argsort(-agreeing, kind="stable")].tolist():
-            if label[y] != label[x] and linked(sets[x], sets[y]):
-                found.append((int(node[x]), int(node[y])))
-                label[label == label[y]] = label[x]
-    return found
+        if not own:  # the hash has dealt nothing to this block
+            return
+        base = base or arrays(own)
+        part.append(r)
+        if len(part) == BLOCK:
+            yield from meet(part, base)
+            part = []
+    base = base or arrays(own)
+    if own[0][2] == 0:
+        yield from meet(own, base)
+    yield from meet(part, base)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
     for _, own in itertools.groupby(rows, key=lambda r: r[:3]):
-        found = _block_links(list(own))
+        found = list(_block_links(own))
         if found:
             yield _links(found)
 
 
-def _marks(ids: DataFrame) -> DataFrame:
-    """The slots of the ids given, as a bit table of fixed size (see ``slots``)."""
-    at = ids.select(slot(F.col("doc")).alias("slot")).distinct()
+def _marks(ids: DataFrame, bits: int) -> DataFrame:
+    """The slots of the ids given, as a bit table of bounded size (see ``slots``)."""
+    at = ids.select(slot(bits, F.col("doc")).alias("slot")).distinct()
     return at.groupBy(F.shiftright("slot", 6).alias("wanted_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63L))")).alias("wanted_mask"))
 
 
@@ -225,7 +263,7 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     are all ``kept`` but only one is ``first``. An empty table gives no rows. Only the
     id and the text are read.
     """
-    docs = df.select(F.col(row_id).cast("long").alias("doc"), text_or_empty(text).alias("text"))
+    docs = df.select(F.col(f"`{row_id}`").cast("long").alias("doc"), text_or_empty(text).alias("text"))
     signed = docs.mapInArrow(_signed, "doc long, n_shingles long, set_key binary, bands array<long>")
     signed = written(signed.withColumn("uid", F.monotonically_increasing_id()))
     full = signed.where("n_shingles > 0")
@@ -239,7 +277,8 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
 
     several = members.select("node").distinct()
     wanted = written(vertices.join(several, "node").select("node", "doc", "set_key"))
-    again = marked(docs, slot(F.col("doc")), written(_marks(wanted)), "wanted").where("wanted").select("doc", "text")
+    bits = slot_bits(wanted.count())
+    again = marked(docs, slot(bits, F.col("doc")), written(_marks(wanted, bits)), "wanted").where("wanted").select("doc", "text")
     detail = again.mapInArrow(_detailed, "doc long, set_key binary, shingles binary, sketch binary, keys binary")
     detail = detail.withColumnsRenamed({"doc": "_doc", "set_key": "_set"})
     sets = written(wanted.join(detail, F.col("set_key").eqNullSafe(F.col("_set")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("node", "shingles", "sketch", "keys").dropDuplicates(["node"]))
@@ -253,13 +292,17 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
     known = members.join(own, F.col("node") == F.col("_node"), "left").select("bucket", "node", "n", F.coalesce("_label", "node").alias("label"))
     known = written(known)
-    still_open = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("_bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    rows = known.join(still_open, F.col("bucket") == F.col("_bucket")).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("_node"), "label")
-    rows = rows.join(sets, F.col("_node") == F.col("node")).select("bucket", "i", "j", "block", "node", "label", "shingles", "sketch", "keys")
-    second = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_grouped, "a long, b long")
+    parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    largest = largest.select(F.col("bucket").alias("_bucket"), F.col("_top.label").alias("_largest"), F.ceil((F.col("_all") - F.col("_top._n")) / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("_all") / STRIPE).cast("long").alias("stripes"))
+    rows = known.join(written(largest), F.col("bucket") == F.col("_bucket")).withColumn("small", F.col("label") != F.col("_largest"))
+    rows = rows.withColumn("block", F.when(F.col("small"), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(-1))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every, one = F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1), F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("stripes")))
+    rows = rows.withColumn("stripe", F.explode(F.when(F.col("block") == F.col("i"), every).otherwise(one)))
+    rows = rows.select("bucket", "i", "stripe", "block", F.col("node").alias("_node"), "label")
+    rows = rows.join(sets, F.col("_node") == F.col("node")).select("bucket", "i", "stripe", "block", "node", "label", "shingles", "sketch", "keys")
+    second = rows.repartition("bucket", "i", "stripe").sortWithinPartitions("bucket", "i", "stripe", F.col("block") != F.col("i")).mapInArrow(_grouped, "a long, b long")
     links = written(first.union(second))
     drop(members, known, sets, labels, buckets)
 
@@ -284,7 +327,7 @@ def drop_near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "tex
     after all others. An empty table gives no rows.
     """
     own = F.col(f"_row.`{row_id}`")
-    keyed = written(df.select(F.struct(*df.columns).alias("_row")).withColumn("_uid", F.monotonically_increasing_id()))
+    keyed = written(df.select(whole_row(df)).withColumn("_uid", F.monotonically_increasing_id()))
     found = near_duplicates(keyed.select("_uid", F.col(f"_row.`{text}`").alias("_text")), "_uid", "_text").select(F.col("_uid").alias("_at"), "component_id")
     grouped = keyed.select("_uid", own.alias("_id")).join(found, F.col("_uid") == F.col("_at"))
     stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_uid")).alias("top")).select(F.col("top._uid").alias("_stays"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty, word_count, written
+from .common import SPACE, text_or_empty, whole_row, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -32,15 +32,15 @@ BUCKET_DIGITS = 3
 
 def _source_key(source: str) -> Column:
     """A key that is never null: null sources form one source of their own."""
-    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("-"))
 
 
 def _order_hash(row_id: str, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{row_id}`").cast("string"), F.lit(""))))
 
 
 def sized(df: DataFrame, row_id: str, text: str, source: str, seed: str) -> DataFrame:
-    return df.select(F.col(row_id).alias("_id"), _source_key(source).alias("_source"), word_count(text).alias("_size"), _order_hash(row_id, seed).alias("_hash"))
+    return df.select(F.col(f"`{row_id}`").alias("_id"), _source_key(source).alias("_source"), word_count(text).alias("_size"), _order_hash(row_id, seed).alias("_hash"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -120,8 +120,8 @@ def materialise_mix(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
     """
     sizes = written(sized(df, row_id, text, source, seed))
     plan = mixing_plan(sizes, weights, max_epochs)
-    row = F.struct(*df.columns).alias("_row")
-    rows = df.select(row, F.col(row_id).alias("_id"), F.col(text).alias("_text"), _source_key(source).alias("_source"), word_count(text).alias("_size"), _order_hash(row_id, seed).alias("_hash"))
+    row = whole_row(df)
+    rows = df.select(row, F.col(f"`{row_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), _source_key(source).alias("_source"), word_count(text).alias("_size"), _order_hash(row_id, seed).alias("_hash"))
     due = F.when(F.col("_cut_rows") == 1, F.col("_cut_share") >= 0.5).otherwise(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < F.col("_cut_share") * (1 << 30))
     times = (F.col("_whole") + _fraction(F.lit(1), due.cast("int"))).cast("int")
     rows = rows.join(plan, "_source").withColumn("_taken", _taken()).withColumn("_times", times)

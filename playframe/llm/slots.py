@@ -1,9 +1,11 @@
-"""Which keys occur more than once, as a bit table of fixed size.
-
-Keys are hashed to ``2 ** SLOT_BITS`` slots; a slot that at least two rows share is
-open. The table has one long mask for 64 slots, so it has at most
-``2 ** (SLOT_BITS - 6)`` rows to broadcast, whatever the input. A row whose slot
-isn't open has a key of its own; an open slot proves nothing.
+"""Which keys occur more than once, as a bit table sized by the number of keys.
+
+Keys are hashed to ``2 ** bits`` slots, at least eight for each key up to
+``MOST_BITS``; a slot that at least two rows share is open. The table has one long
+mask for 64 slots, so its size is bounded: 2 ** 28 slots are at most 4 million rows of
+16 bytes to broadcast, enough for 33 million keys. Beyond that more slots are open by
+chance. A row whose slot isn't open has a key of its own; an open slot proves nothing,
+it only sends the row on to the exact comparison.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2 ** 22 bits are 65,536 rows of 16 bytes.
-SLOT_BITS = 22
+LEAST_BITS, MOST_BITS = 12, 28
+
+
+def slot_bits(keys: int) -> int:
+    return max(LEAST_BITS, min(MOST_BITS, (8 * max(1, keys) - 1).bit_length()))
 
 
-def slot(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(1 << SLOT_BITS))
+def slot(bits: int, *key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1 << bits))
 
 
 def open_slots(rows: DataFrame, at: Column, name: str) -> DataFrame:

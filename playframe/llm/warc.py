@@ -11,8 +11,8 @@ the response and the others are revisits that name it. Rows whose digest no othe
 row shares (see ``slots``) are written where they are read; only the others are
 joined with their group.
 
-Reading: selected index rows are dealt out by archive and stretch of ``SPAN_BYTES``
-and sorted by offset; a task merges ranges with gaps up to ``GAP_BYTES`` and makes
+Reading: selected index rows are dealt out by archive and stretch of ``MIN_READ``
+bytes, to a number of tasks that follows the bytes, and sorted by offset; a task merges ranges with gaps up to ``GAP_BYTES`` and makes
 one read for each.
 """
 
@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_or_empty, written
-from .slots import marked, open_slots, slot
+from .common import drop, drop_later, shared_dir, text_or_empty, written
+from .slots import marked, open_slots, slot, slot_bits
 
 REVISIT_BYTES = 1000
-SPAN_BYTES = 8 << 20
+#: Bytes of records a task reads, about; a stretch of an archive that goes to one task.
+SPAN_BYTES, MIN_READ = 8 << 20, 1 << 20
 GAP_BYTES = 64 << 10
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the WARC 1.1 standard.
@@ -45,39 +46,65 @@ RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, h
 
 
 def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per page what its record will be: ``page_id, url, html, digest, record_type, refers_to``."""
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), text_or_empty(html).alias("html"))
+    """Per page what its record will be: ``page_id, url, html, digest, record_type, refers_to, refers_url``."""
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), text_or_empty(html).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("_large", F.octet_length("html") >= REVISIT_BYTES)
-    shared = written(open_slots(rows.where("_large"), slot(F.col("digest")), "digests"))
-    rows = marked(rows, slot(F.col("digest")), shared, "digests").withColumn("_open", F.col("_large") & F.col("digests")).drop("_large", "digests")
+    at = slot(slot_bits(pages.count()), F.col("digest"))
+    rows = marked(rows, at, written(open_slots(rows.where("_large"), at, "digests")), "digests").withColumn("_open", F.col("_large") & F.col("digests")).drop("_large", "digests")
     several = rows.where("_open")
     #: Grouped by one column more than joined on: both sides get an exchange that Spark can split.
-    groups = several.groupBy("digest", F.octet_length("html").alias("bytes")).agg(F.max("page_id").alias("_response")).select(F.col("digest").alias("_digest"), "_response")
+    groups = several.groupBy("digest", F.octet_length("html").alias("bytes")).agg(F.max(F.struct("page_id", "url")).alias("_top")).select(F.col("digest").alias("_digest"), F.col("_top.page_id").alias("_response"), F.col("_top.url").alias("_url"))
     several = several.join(groups, F.col("digest") == F.col("_digest"))
     revisit = F.coalesce(F.col("page_id") != F.col("_response"), F.col("_response").isNotNull())
-    several = several.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_response")))
-    single = rows.where("not _open").withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long"))
-    names = ["page_id", "url", F.when(F.col("record_type") == "response", F.col("html")).alias("html"), "digest", "record_type", "refers_to"]
+    several = several.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_response"))).withColumn("refers_url", F.when(revisit, F.col("_url")))
+    single = rows.where("not _open").withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")).withColumn("refers_url", F.lit(None).cast("string"))
+    names = ["page_id", "url", F.when(F.col("record_type") == "response", F.col("html")).alias("html"), "digest", "record_type", "refers_to", "refers_url"]
     return single.select(*names).unionByName(several.select(*names))
 
 
-def _record(page_id: int | None, url: str | None, html: str | None, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
+def _record_id(page_id: int | None, digest: str) -> str:
+    """The same for one page and payload whenever it is written, so that revisits can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
+
+
+def _uri(url: str) -> str:
+    return quote(url, safe=":/?#[]@!$&()*+,;=%~")
+
+
+def _assembled(head: list[str], kind: str, block: bytes) -> bytes:
+    head = [VERSION, *head, f"Content-Type: {kind}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _info(archive: str, date: str) -> bytes:
+    """The record that describes an archive."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {archive}"]
+    return _assembled(head, "application/warc-fields", b"format: WARC File Format 1.1\r\n")
+
+
+def _record(page_id: int | None, url: str | None, html: str | None, digest: str, kind: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
     """One record, uncompressed. The page ids go into extension fields."""
-    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    own = _record_id(page_id, digest) if kind == "response" else f"<urn:uuid:{uuid.uuid4()}>"
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
-        head.append(f"Page-URL: {base64.b64encode(url.encode()).decode()}")
+        head += [f"WARC-Target-URI: {_uri(url)}", f"Page-URL: {base64.b64encode(url.encode()).decode()}"]
     if page_id is not None:
         head.append(f"Page-Id: {page_id}")
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     payload = (html or "").encode()
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Date: {date}", f"Refers-To-Page-Id: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     else:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return _assembled(head, "application/http;msgtype=response", block)
+
+
+def _member(record: bytes) -> bytes:
+    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
 
 
 def _parsed(record: bytes) -> tuple:
@@ -111,7 +138,12 @@ def _layout(schema: str) -> tuple[list[str], list[pa.DataType]]:
 
 
 def write_archives(records: DataFrame, date: str = DATE) -> DataFrame:
-    """Write planned records; returns the index, itself written to the shared folder."""
+    """Write planned records; returns the index, itself written to the shared folder.
+
+    Each archive begins with a warcinfo record. Dropping the index drops the archives.
+    Archives are opened by ``pyarrow.fs``, so the shared folder's scheme must be one it
+    knows (a local path, file, hdfs, s3, gs).
+    """
     folder = f"{shared_dir(records.sparkSession)}/playframe/warc-{uuid.uuid4().hex}"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +156,20 @@ def write_archives(records: DataFrame, date: str = DATE) -> DataFrame:
         with store.open_output_stream(f"{path}/{archive}", compression=None) as out:
             for b in batches:
                 rows = []
-                for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    member = packer.compress(_record(*r, date)) + packer.flush()
+                for r in itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.slice(lo, 256).columns), strict=True) for lo in range(0, b.num_rows, 256)):
+                    if not offset:
+                        head = _member(_info(archive, date))
+                        out.write(head)
+                        offset = len(head)
+                    member = _member(_record(*r, date))
                     out.write(member)
                     rows.append((r[0], r[1], r[3], r[4], f"{folder}/{archive}", offset, len(member)))
                     offset += len(member)
                 yield _columns(rows, *_layout(INDEX_SCHEMA))
 
-    return written(records.select("page_id", "url", "html", "digest", "record_type", "refers_to").mapInArrow(task, INDEX_SCHEMA))
+    index = written(records.select("page_id", "url", "html", "digest", "record_type", "refers_to", "refers_url").mapInArrow(task, INDEX_SCHEMA))
+    drop_later(index, folder)
+    return index
 
 
 def read_records(index: DataFrame, span: int = SPAN_BYTES, gap: int = GAP_BYTES) -> DataFrame:
@@ -161,8 +198,10 @@ def read_records(index: DataFrame, span: int = SPAN_BYTES, gap: int = GAP_BYTES)
                     data = memoryview(file.read_at(run[-1][1] + run[-1][2] - start, start))
                     yield _columns([_parsed(zlib.decompress(data[o - start : o - start + n], 31)) for _, o, n in run], *_layout(RECORD_SCHEMA))
 
-    stretch = F.expr(f"offset div {span}")
-    return index.withColumn("_span", stretch).repartition("archive", "_span").sortWithinPartitions("archive", "offset").select("archive", "offset", "length").mapInArrow(task, RECORD_SCHEMA)
+    #: A number of tasks that follows the bytes to read: index rows are small, and by their own size would end up in a few.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(size // span + 1, min(index.sparkSession.sparkContext.defaultParallelism, size // MIN_READ + 1))
+    return index.withColumn("_span", F.expr(f"offset div {min(span, MIN_READ)}")).repartition(tasks, "archive", "_span").sortWithinPartitions("archive", "offset").select("archive", "offset", "length").mapInArrow(task, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -183,5 +222,6 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         raise ValueError("a payload read back doesn't have the digest of its record")
     target = whole.groupBy("page_id", "payload_digest", "payload_bytes").count().select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
     again = read.where("record_type = 'revisit'").join(target, (F.col("refers_to") == F.col("_page")) & (F.col("header_digest") == F.col("_digest")), "left")
+    drop(index)
     again = again.select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to")
     return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(again)
