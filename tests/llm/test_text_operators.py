@@ -1,8 +1,12 @@
+import heapq
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from playframe.llm import licences, mixing, packing, pii, sharding, topk, toxicity, warc
@@ -29,7 +33,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert found[2].text == f"again {card}"
     assert found[3].text is None and found[4].text == ""
     assert found[5].text == rows.collect()[4].text and not found[5].pii_found
-    assert pii.pseudonymise(rows.limit(0)).count() == 0
+    assert pii.pseudonymise(rows.limit(0), KEY).count() == 0
 
 
 def test_valid_values_stay_valid():
@@ -184,21 +188,47 @@ def test_packing_round_trip(spark):
         assert at <= 2048
 
 
+def by_heap(sizes, shards):
+    """Longest processing time first, one item at a time; the shard of each item, equal loads by number."""
+    heap, out = [(0, k) for k in range(shards)], []
+    for size in sizes:
+        load, k = heapq.heappop(heap)
+        out.append(k)
+        heapq.heappush(heap, (load + size, k))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(8, 30), max_size=200), st.integers(1, 7))
+def test_runs_are_scheduled_as_by_the_heap(sizes, shards):
+    sizes = sorted(sizes, reverse=True)
+    placed = Counter(zip(sizes, by_heap(sizes, shards)))
+    runs = sorted(Counter(sizes).items(), reverse=True)
+    assert {(size, k): n for size, given_to in sharding.scheduled(runs, shards) for k, n in enumerate(given_to) if n} == dict(placed)
+
+
 def test_shards(spark):
-    texts = ["same" * 50] * 40 + [f"text {i} " * (i % 17 + 1) for i in range(400)] + [None, ""]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    data = [(i, "x" * (i * 37 % 400) + str(i % 150)) for i in range(900)] + [(5000, None), (5001, ""), (5001, ""), (None, "y"), (5002, "long " * 50_000)]
+    data += [(6000 + i, "hot copy") for i in range(500)]
+    rows = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "1 as shard", "2 as `size.of`").repartition(5)
     found = sharding.shard_by_bytes(rows).collect()
-    load, slots, by_text = [0] * 24, {}, {}
+    assert len(found) == len(data)
+    size_of = Counter()
+    for _, text in data:
+        size_of[text or ""] += len((text or "").encode()) + 8
+    crc = {zlib.crc32(t.encode()): t for t in size_of}
+    load, slots, by_text = Counter(), {}, {}
     for r in found:
-        text = (texts[r.doc_id] or "").encode()
-        assert r["size"] == len(text) + 8 and r.text_crc32 == zlib.crc32(text)
         load[r.shard] += r["size"]
         slots.setdefault(r.shard, []).append(r.slot)
-        by_text.setdefault(text, set()).add(r.shard)
-    assert all(len(s) == 1 for s in by_text.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    rest = [x for x in load if x < max(load)]
-    assert max(rest) - min(rest) < 0.05 * max(rest)
+        by_text.setdefault(crc[r.text_crc32], set()).add(r.shard)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    sizes = sorted(size_of.values(), reverse=True)
+    want = Counter()
+    for size, k in zip(sizes, by_heap(sizes, 24)):
+        want[k] += size
+    assert sorted(load.values()) == sorted(want.values())
     assert sharding.shard_by_bytes(rows.limit(0)).count() == 0
 
 
