@@ -31,7 +31,7 @@ GROUP = 2048
 #: Queries and candidates whose dense score array is filled at a time (1 MB of 32-bit scores).
 TILE_QUERIES, TILE_ROWS = 64, 4096
 
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_uid long, query_id long, vec_id long, score long"
 
 
 def quantised(vector: str, scale: float) -> tuple[Column, Column]:
@@ -107,66 +107,68 @@ def _scores(queries: np.ndarray, candidates: np.ndarray, wide_queries: dict[int,
     return scores
 
 
-def _best(scores: np.ndarray, query: np.ndarray, ids: np.ndarray, own: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per query the block's best rows; candidates are in ascending order of id, so position breaks ties."""
-    for i in range(len(query)):
-        there = np.flatnonzero(own != query[i])
+def _best(scores: np.ndarray, query: np.ndarray, ids: np.ndarray, uids: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per query (uid, id) the tile's best rows but its own; candidates are in ascending order of id, so position breaks ties."""
+    for i, (own, asked) in enumerate(query):
+        there = np.flatnonzero(uids != own)
         if len(there) > top:
             s, at = scores[i, there], len(there) - top
             least = (np.sort(s) if s.dtype == object else np.partition(s, at))[at]
             above = there[s > least]
             there = np.concatenate((above, there[s == least][: top - len(above)]))
-        yield np.full(len(there), query[i]), ids[there], scores[i, there]
+        yield np.full(len(there), own), np.full(len(there), asked), ids[there], scores[i, there]
 
 
 def _cell(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in range(b.num_rows):
             q, c = (b.column(i)[r].values for i in (0, 1))
-            query, ids = (x.field(0).to_numpy(zero_copy_only=False) for x in (q, c))
-            vectors, wide = ([x.field(i) for x in (q, c)] for i in (1, 2))
+            (asking, query), (uids, ids) = ([x.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)] for x in (q, c))
+            vectors, wide = ([x.field(i) for x in (q, c)] for i in (2, 3))
             terms = max(int(_lengths(v).max(initial=0)) for v in (*vectors, *wide))
             left, right = (_matrix(v, terms) for v in vectors)
             order = np.argsort(ids, kind="stable")
-            ids, right = ids[order], right[order]
+            ids, uids, right = ids[order], uids[order], right[order]
             wide_left, wide_right = _wide_rows(left, wide[0]), _wide_rows(right, wide[1].take(pa.array(order)))
             for lo in range(0, len(query), TILE_QUERIES):
                 part = slice(lo, lo + TILE_QUERIES)
                 found = []
                 for at in range(0, len(ids), TILE_ROWS):
-                    own = ids[at : at + TILE_ROWS]
+                    tile = slice(at, at + TILE_ROWS)
                     near = [{i - start: v for i, v in rows.items() if start <= i < start + n} for rows, start, n in ((wide_left, lo, TILE_QUERIES), (wide_right, at, TILE_ROWS))]
-                    found += _best(_scores(left[part], right[at : at + TILE_ROWS], *near), query[part], own, own, top)
+                    found += _best(_scores(left[part], right[tile], *near), np.stack((asking[part], query[part]), 1), ids[tile], uids[tile], top)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["query_uid", "query_id", "vec_id", "score"])
 
 
 def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     """(``name``, ``name_rows``): lists of about ``size`` rows, dealt by a hash of the row's number; and how many lists."""
     count = max(1, -(-rows.count() // size))
     key = F.pmod(F.xxhash64("uid"), F.lit(count))
-    return rows.groupBy(key.alias(name)).agg(F.collect_list(F.struct("id", "vector", "wide")).alias(f"{name}_rows")), count
+    return rows.groupBy(key.alias(name)).agg(F.collect_list(F.struct("uid", "id", "vector", "wide")).alias(f"{name}_rows")), count
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, row_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, top: int = TOP, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """Per query row its ``top`` highest integer inner products: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
     ``is_query`` picks the queries, an expression over the columns of ``vectors``. All
-    rows but the query's own id are candidates; ties go to the smaller id. Vectors
+    rows but the query's own are candidates; ties go to the smaller id. Vectors
     that are null or hold null or non-finite components take no part, nor do null
-    ids. A shorter vector counts as padded with zeros; an empty one scores 0. Equal
-    rows are a single candidate, and ids that stand on different vectors keep one
-    candidate each. Components may be of any finite size; a score that is among a
-    block's best and doesn't fit in 64 bits fails the query. An empty table gives no rows. Further columns are not read.
+    ids. A shorter vector counts as padded with zeros; an empty one scores 0. Rows
+    count, not ids: each of several rows of one id, repeated whole or not, is a
+    candidate of all other rows and asks for itself. Components may be of any finite
+    size; a score that is among a block's best and doesn't fit in 64 bits fails the
+    query, as its column can't hold it. An empty table gives no rows. Further columns
+    are not read.
     """
-    small, wide = quantised(vector, scale)
-    rows = vectors.where(_sound(vector) & F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), small.alias("vector"), wide.alias("wide"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = written(rows.dropDuplicates(["id", "vector", "wide"]).withColumn("uid", F.monotonically_increasing_id()))
+    small, wide = quantised(f"`{vector}`", scale)
+    rows = vectors.where(_sound(f"`{vector}`") & F.col(f"`{row_id}`").isNotNull()).select(F.col(f"`{row_id}`").cast("long").alias("id"), small.alias("vector"), wide.alias("wide"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()))
     blocks, n_blocks = _dealt(rows, block, "block")
     groups, n_groups = _dealt(rows.where("asks"), group, "group")
     left = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     right = blocks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
     cells = left.join(right.withColumnsRenamed({"block": "_block", "group": "_group"}), (F.col("group") == F.col("_group")) & (F.col("block") == F.col("_block")))
     found = cells.select("group_rows", "block_rows").mapInArrow(lambda batches: _cell(batches, top), RESULT)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

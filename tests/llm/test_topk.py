@@ -26,5 +26,12 @@ def test_large_components_and_ties(spark):
 
 def test_many_terms_with_ties():
     scores = np.array([[2**61, 2**61, 5, 2**61, -(2**61)]])
-    ((_, ids, best),) = topk._best(scores, np.array([9]), np.arange(5), np.arange(5), 2)
+    ((_, _, ids, best),) = topk._best(scores, np.array([[9, 9]]), np.arange(5), np.arange(5), 2)
     assert ids.tolist() == [0, 1] and best.tolist() == [2**61] * 2
+
+
+def test_rows_count_not_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (5, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_inner_products(df, F.col("vec_id") == 20, top=3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted([(20, 1, 3, 8192), (20, 2, 3, 8192), (20, 3, 20, 4096)] * 2)
