@@ -5,8 +5,11 @@ format, permuted within that domain and written back in the same format. The
 permutation depends on the key and the kind only, so equal values get equal
 pseudonyms in every document and different values get different ones.
 
-What is found: e-mail addresses, payment cards (Luhn), IBANs (mod 97), US social
-security numbers, IPv4 addresses, telephone numbers and calendar dates. What fails
+What is found: e-mail addresses (the part before the @; hosts stay in clear text),
+payment cards (Luhn), IBANs (mod 97), US social security numbers, IPv4 and IPv6
+addresses, telephone numbers and calendar dates of the years 1 to 9999. Spellings of
+one value stay linked: separators, zeros, letter case and the form of a date don't
+enter the permutation. What fails
 its check, such as 16 digits without a right Luhn digit, is left as it stands. A card
 or an IBAN is also found among further digits or capital words beside it, at any
 separator: an expiry date, a CVV, a quantity, a currency or a bank code.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 import string
 from collections.abc import Callable, Iterator
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import worker_state
 
 ROUNDS = 8
-#: For tests and reruns of the registered query; production passes its own secret.
-KEY = b"registered query, not a secret"
+#: Dates of these years get pseudonyms among them, all other dates among all others.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+DAYS, ALL_DAYS = LAST_DAY - FIRST_DAY + 1, datetime.date.max.toordinal()
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 MEMO_VALUES = 100_000
 
@@ -37,8 +41,10 @@ EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0
 PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"""(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-]|\.[0-9])
-      |(?<![A-Za-z])(?:January|February|March|April|May|June|July|August|September|October|November|December)[ ][0-9]{1,2},[ ][0-9]{4}(?![0-9])""",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:]|\.[0-9])",
+    "date": rf"""(?<![0-9/.-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}})(?![0-9/-]|\.[0-9])
+      |(?<![A-Za-z])(?:{"|".join(MONTHS)})[ ][0-9]{{1,2}},?[ ][0-9]{{4}}(?![0-9])
+      |(?<![0-9/.-])[0-9]{{1,2}}[ ](?:{"|".join(MONTHS)})[ ][0-9]{{4}}(?![0-9])""",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
@@ -48,6 +54,8 @@ NUMBER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.A
 LATER = {k: re.compile("|".join(f"(?P<{n}>{PATTERNS[n]})" for n in list(PATTERNS)[i + 1 :]), re.ASCII | re.VERBOSE) for i, k in enumerate(PATTERNS) if k != "phone"}
 GROUP = re.compile("[^A-Za-z0-9]*[A-Za-z0-9]+")
 DIGITS = re.compile("[0-9]+")
+#: International calling codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Digits of the groups in which cards are printed; one group is usual too.
 LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 3), (6, 13)}
 #: Characters of an IBAN by country.
@@ -66,11 +74,13 @@ def permute(value: int, domain: int, key: bytes, tweak: str, back: bool = False)
     """A keyed permutation of 0 .. domain - 1 (``back``: its inverse): a balanced Feistel network, walked until it falls into the domain."""
     if domain < 2:
         return value
+    if len(key) > 64:
+        key = hashlib.blake2b(key).digest()
     half = max(1, ((domain - 1).bit_length() + 1) // 2)
     mask, size = (1 << half) - 1, (half + 7) // 8
 
     def mix(i: int, x: int) -> int:
-        state = hashlib.blake2b(f"{tweak}:{domain}:{i}:".encode() + x.to_bytes(size, "big"), key=key[:64], digest_size=min(64, size)).digest()
+        state = hashlib.blake2b(f"{tweak}:{domain}:{i}:".encode() + x.to_bytes(size, "big"), key=key, digest_size=min(64, size)).digest()
         return int.from_bytes(state, "big") & mask
 
     while True:
@@ -206,37 +216,62 @@ def _ipv4(text: str, shift: Shift) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _ipv6(text: str, shift: Shift) -> str | None:
+    """Written out in full or shortened, and in capitals, as the given one is."""
+    try:
+        value = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    new = ipaddress.IPv6Address(shift(int(value), 1 << 128))
+    written = new.compressed if "::" in text or any(len(x) < 4 for x in text.split(":")) else new.exploded
+    return written.upper() if any(c.isupper() for c in text) else written
+
+
+def _calling_code(digits: str) -> int:
+    """How many digits of an international number are its country's."""
+    if digits[0] in "17":
+        return 1
+    return 2 if digits[:2] in TWO_DIGIT_CODES else 3
+
+
 def _phone(text: str, shift: Shift) -> str:
-    """The country code stands, the other digits are permuted."""
-    head = re.match(r"\+[0-9]{1,3}(?=[^0-9])", text)
-    at = head.end() if head else 0
-    return text[:at] + _refilled(text[at:], _characters(re.sub("[^0-9]", "", text[at:]), shift))
+    """The country code stands, the other digits are permuted, whatever separates them."""
+    digits = re.sub("[^0-9]", "", text)
+    code = _calling_code(digits) if text[0] == "+" else 0
+    return _refilled(text, digits[:code] + _characters(digits[code:], shift))
 
 
 def _date(text: str, shift: Shift) -> str | None:
     """Order, separators and zeros as written. With slashes the month comes first where it can, else the day."""
+    year_of = lambda d: f"{d.year:04d}"
+    words = text.replace(",", "").split(" ")
     if text[0].isalpha():
-        name, day, year = text.replace(",", "").split(" ")
-        parts, form = (int(year), MONTHS.index(name) + 1, int(day)), lambda d: f"{MONTHS[d.month - 1]} {d.day}, {d.year}"
-    elif "-" in text:
-        parts, form = tuple(map(int, text.split("-"))), lambda d: d.isoformat()
+        comma = "," if "," in text else ""
+        parts, form = (int(words[2]), MONTHS.index(words[0]) + 1, int(words[1])), lambda d: f"{MONTHS[d.month - 1]} {d.day}{comma} {year_of(d)}"
+    elif len(words) == 3:
+        parts, form = (int(words[2]), MONTHS.index(words[1]) + 1, int(words[0])), lambda d: f"{d.day} {MONTHS[d.month - 1]} {year_of(d)}"
+    elif text[4] in "-/":
+        parts, form = tuple(map(int, text.split(text[4]))), lambda d: d.isoformat().replace("-", text[4])
     else:
         sign = "/" if "/" in text else "."
         a, b, year = map(int, text.split(sign))
         wide = all(len(x) == 2 for x in text.split(sign)[:2])
         number = (lambda n: f"{n:02d}") if wide else str
         if sign == "/" and a <= 12:  # month first
-            parts, form = (year, a, b), lambda d: f"{number(d.month)}/{number(d.day)}/{d.year}"
+            parts, form = (year, a, b), lambda d: f"{number(d.month)}/{number(d.day)}/{year_of(d)}"
         else:
-            parts, form = (year, b, a), lambda d: f"{number(d.day)}{sign}{number(d.month)}{sign}{d.year}"
+            parts, form = (year, b, a), lambda d: f"{number(d.day)}{sign}{number(d.month)}{sign}{year_of(d)}"
     try:
         day = datetime.date(*parts).toordinal()
     except ValueError:
         return None
-    return form(datetime.date.fromordinal(shift(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1) + FIRST_DAY)) if FIRST_DAY <= day <= LAST_DAY else None
+    if FIRST_DAY <= day <= LAST_DAY:
+        return form(datetime.date.fromordinal(shift(day - FIRST_DAY, DAYS) + FIRST_DAY))
+    other = shift(day - 1 if day < FIRST_DAY else day - 1 - DAYS, ALL_DAYS - DAYS)
+    return form(datetime.date.fromordinal(other + 1 if other + 1 < FIRST_DAY else other + 1 + DAYS))
 
 
-KINDS: dict[str, Callable[[str, Shift], str | None]] = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+KINDS: dict[str, Callable[[str, Shift], str | None]] = {"email": _email, "iban": _iban, "ipv4": _ipv4, "ipv6": _ipv6, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
@@ -287,15 +322,15 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]
     return "".join(out) + text[done:], spans
 
 
-DIGIT_OR_AT = re.compile("[0-9@]")
+DIGIT_OR_AT = re.compile("[0-9@]|::")
 FOUND = pa.list_(pa.struct([("kind", pa.string()), ("first_char", pa.int64()), ("end_char", pa.int64())]))
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """All columns of ``df`` with pseudonyms in ``text``, and ``pii_found``: kind and character range in the original of each value.
 
-    A column of that name is replaced. Null texts stay null, with nothing found. Dates
-    out of 1900 to 2099, impossible dates and numbers that fail their check stand as
+    ``key`` is a secret of any length: who has it can undo the pseudonyms. A column
+    ``pii_found`` is replaced. Null texts stay null, with nothing found. Impossible dates and numbers that fail their check stand as
     they are. Every row is treated alike, so repeated rows stay equal. An empty table
     gives no rows.
     """
@@ -313,7 +348,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    types = [t for _, t in df.select(*keep).dtypes]
+    types = [t for _, t in df.select(*[F.col(f"`{c}`") for c in keep]).dtypes]
     schema = ", ".join(f"c{i} {t}" for i, t in enumerate([*types, "array<struct<kind: string, first_char: long, end_char: long>>"]))
     placed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     return placed.mapInArrow(task, schema).toDF(*keep, "pii_found")

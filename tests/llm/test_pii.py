@@ -1,6 +1,10 @@
+import datetime
+import ipaddress
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from playframe.llm import pii
 
@@ -54,3 +58,31 @@ def test_long_rows_of_numbers_end():
     text = " ".join(str(i % 97) for i in range(20_000))
     new, _ = pii.pseudonymised(text, KEY)
     assert len(new) == len(text)
+
+
+def new_of(text):
+    return pii.pseudonymised(text, b"k")[0]
+
+
+@pytest.mark.parametrize("text", ["31/12/1899", "2020/02/29", "29 February 2020", "February 29 2020", "4111 1111 1111 1111 12/25", "4111 1111 1111 1111 123", "BE68 5390 0754 7034 EUR 500", "2001:db8::8a2e:370:7334", "FE80:0000:0000:0000:0202:B3FF:FE1E:8329", "::1"])
+def test_values_that_used_to_stay(text):
+    assert new_of(f"see {text}, please") != f"see {text}, please"
+
+
+def test_spellings_stay_linked():
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    assert digits(new_of("+10175557713")) == digits(new_of("+1 (017) 555-7713"))
+    dates = [new_of(t) for t in ("2020-02-29", "2020/02/29", "29 February 2020", "February 29, 2020")]
+    assert len({datetime.date.fromisoformat(dates[0]), datetime.date.fromisoformat(dates[1].replace("/", "-")), *(datetime.datetime.strptime(t.replace(",", ""), f).date() for t, f in zip(dates[2:], ("%d %B %Y", "%B %d %Y")))}) == 1
+    assert ipaddress.ip_address(new_of("2001:db8:0:0:0:0:0:1")) == ipaddress.ip_address(new_of("2001:DB8::1"))
+
+
+def test_long_keys_count_whole():
+    assert pii.permute(5, 10**6, b"k" * 64 + b"a", "t") != pii.permute(5, 10**6, b"k" * 64 + b"b", "t")
+
+
+@given(st.integers(1, datetime.date.max.toordinal()))
+def test_any_date_has_one_pseudonym(day):
+    text = datetime.date.fromordinal(day).isoformat()
+    new = datetime.date.fromisoformat(pii.pseudonym("date", text, b"k"))
+    assert (1900 <= new.year <= 2099) == (1900 <= int(text[:4]) <= 2099)
