@@ -2,8 +2,9 @@
 
 Learning, on a bounded sample of labelled rows:
 
-* Of near copies one is used: texts with one least hash over their five-word runs.
-* Units are words and their prefixes of ``PREFIXES`` letters. The numbers of documents
+* Texts with one least hash over their five-word runs, mostly near copies, share one
+  document's weight and are in the same half; no labelled row is left out.
+* Units are words and their prefixes of ``PREFIXES`` letters. The weights of documents
   with a unit by class give its log-odds under an informative Dirichlet prior whose
   mass per unit is ``PRIOR`` times its count. Units with an effect and a z-value
   beyond the thresholds form the lexicon.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state, written
+from .common import drop, whole_row, worker_state, written
 from .minhash import shingle_set
 
 #: Labelled rows to learn from, at most; the rows with the smallest seeded hash.
@@ -45,6 +46,8 @@ DRIFT = 0.05
 #: Token scores a Python worker keeps, some 150 bytes each, and the longest token kept.
 MEMO_WORDS, MEMO_CHARS = 200_000, 64
 TOKEN = re.compile(r"\w+")
+#: Columns of unit counts: clean and toxic documents of each half.
+PARTS = ("clean0", "toxic0", "clean1", "toxic1")
 
 
 @dataclass
@@ -119,10 +122,10 @@ def held_out(row_id: str) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, row_id: str, text: str, label: str, sample: int) -> DataFrame:
     """(y, half, text) of at most ``sample`` labelled ids that aren't held out; the ids are broadcast, which ``sample`` bounds."""
-    known = labels.where(F.col(label).isNotNull() & ~held_out(row_id)).groupBy(F.col(row_id).alias("_id")).agg(F.max(label).alias("y"))
+    known = labels.where(F.col(f"`{label}`").isNotNull() & ~held_out(f"`{row_id}`")).groupBy(F.col(f"`{row_id}`").alias("_id")).agg(F.max(f"`{label}`").alias("y"))
     order = F.xxhash64(F.col("_id"), F.lit(17))
     chosen = known.select("_id", F.col("y").cast("int").alias("y"), order.alias("_order")).orderBy("_order").limit(sample)
-    rows = docs.select(F.col(row_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen.select("_id", "y")), "_id").where("text is not null")
+    rows = docs.select(F.col(f"`{row_id}`").alias("_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen.select("_id", "y")), "_id").where("text is not null")
     kind = rows.select("_id").dtypes[0][1]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,37 +133,41 @@ def training_sample(docs: DataFrame, labels: DataFrame, row_id: str, text: str,
             least = [int(runs[0]) >> 1 if len(runs) else 0 for runs in map(shingle_set, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=[*b.schema.names, "_sketch"])
 
-    rows = rows.select("_id", "y", "text").mapInArrow(sketched, f"_id {kind}, y int, text string, _sketch long")
-    rows = rows.groupBy("_sketch").agg(F.min(F.struct("_id", "y", "text")).alias("_row")).select("_sketch", "_row.*")
-    return rows.select("y", F.pmod(F.xxhash64("_sketch"), F.lit(2)).cast("int").alias("half"), "text")
+    rows = written(rows.select("_id", "y", "text").mapInArrow(sketched, f"_id {kind}, y int, text string, _sketch long"))
+    weights = rows.groupBy(F.col("_sketch").alias("_of")).agg((1.0 / F.count(F.lit(1))).alias("weight"))
+    rows = rows.join(weights, F.col("_sketch") == F.col("_of"))
+    return rows.select("y", F.pmod(F.xxhash64("_sketch"), F.lit(2)).cast("int").alias("half"), "weight", "text")
 
 
 def _lexicons(sample: DataFrame) -> list[dict[str, float]]:
     """Lexicons learned from half 0, half 1 and the whole sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Counter() for _ in range(4)]
+        seen: list[dict[str, float]] = [defaultdict(float) for _ in range(4)]
         for b in batches:
-            for y, half, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen[2 * half + (y > 0)].update({u for t in set(TOKEN.findall(text.lower())) for u in units(t)})
+            for y, half, weight, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = seen[2 * half + (y > 0)]
+                for unit in {u for t in set(TOKEN.findall(text.lower())) for u in units(t)}:
+                    own[unit] += weight
         names = list(set().union(*seen))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([x[n] for n in names], pa.int64()) for x in seen)], names=["unit", "clean0", "toxic0", "clean1", "toxic1"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([x.get(n, 0.0) for n in names], pa.float64()) for x in seen)], names=["unit", *PARTS])
 
-    parts = ["clean0", "toxic0", "clean1", "toxic1"]
-    counts = sample.select("y", "half", "text").mapInArrow(count, "unit string, " + ", ".join(f"{c} long" for c in parts))
-    counts = written(counts.groupBy("unit").agg(*[F.sum(c).alias(c) for c in parts]))
+    counts = sample.select("y", "half", "weight", "text").mapInArrow(count, "unit string, " + ", ".join(f"{c} double" for c in PARTS))
+    counts = written(counts.groupBy("unit").agg(*[F.round(F.sum(c), 6).alias(c) for c in PARTS]))
     whole = (F.col("clean0") + F.col("clean1"), F.col("toxic0") + F.col("toxic1"))
-    return [_lexicon(counts.select("unit", a.alias("clean"), b.alias("toxic"))) for a, b in ((F.col("clean0"), F.col("toxic0")), (F.col("clean1"), F.col("toxic1")), whole)]
+    found = [_lexicon(counts.select("unit", a.alias("clean"), b.alias("toxic"))) for a, b in ((F.col("clean0"), F.col("toxic0")), (F.col("clean1"), F.col("toxic1")), whole)]
+    drop(counts)
+    return found
 
 
 def _lexicon(counts: DataFrame) -> dict[str, float]:
-    toxic, clean = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    toxic, clean = counts.agg(F.coalesce(F.round(F.sum("toxic"), 3), F.lit(0.0)), F.coalesce(F.round(F.sum("clean"), 3), F.lit(0.0))).first()
     if not toxic or not clean:
         return {}
     counts = counts.where("toxic + clean > 0")
     prior, mass = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")), PRIOR * (toxic + clean)
 
-    def log_odds(name: str, total: int) -> Column:
+    def log_odds(name: str, total: float) -> Column:
         return F.log((F.col(name) + prior) / (total + mass - F.col(name) - prior))
 
     scored = counts.withColumn("score", log_odds("toxic", toxic) - log_odds("clean", clean))
@@ -173,9 +180,9 @@ def _evidence(segments: list[tuple[int, int, float]], tokens: int, decay: float,
     return sum(max(0.0, decay * s - log_k - math.log(tokens)) for _, _, s in segments)
 
 
-def _decay(hits: Counter, tokens: int) -> float:
+def _decay(hits: dict[float, float], tokens: float) -> float:
     """The positive root of E[exp(x * score)] = 1 over the clean tokens, by bisection."""
-    rest = max(1, tokens - sum(hits.values()))
+    rest = max(1.0, tokens - sum(hits.values()))
 
     def excess(x: float) -> float:
         return (sum(n * math.exp(min(700.0, x * s)) for s, n in hits.items()) + rest * math.exp(-x * DRIFT)) / (rest + sum(hits.values())) - 1.0
@@ -187,13 +194,13 @@ def _decay(hits: Counter, tokens: int) -> float:
     return low
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, base) by Newton's method; a small ridge keeps separable classes finite."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(slope, base) by Newton's method on weighted rows; a small ridge keeps separable classes finite."""
     beta, a = np.zeros(2), np.column_stack([x, np.ones_like(x)])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         ridge = np.array([1e-2, 1e-4])
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * beta)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (weight * (y - p)) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
@@ -209,33 +216,46 @@ def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
     rows = written(training_sample(docs, labels, row_id, text, label, sample))
     *halves, lexicon = _lexicons(rows)
     if not lexicon:
+        drop(rows)
         return Model()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of clean documents, scored by the lexicon of the other half: how often each score comes; null for tokens, NaN for segments."""
         memos = [_Memo(x) for x in reversed(halves)]
+        scores: dict[float, float] = defaultdict(float)
+        tokens = segments = 0.0
         for b in batches:
-            ys, at, scores, tokens = [], [], [], []
-            for y, half, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                hits, n = _hits(t, memos[half])
-                ys.append(y)
-                at.append([i for i, _ in hits])
-                scores.append([s for _, s in hits])
-                tokens.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(at, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64())), pa.array(tokens, pa.int64())], names=["y", "at", "scores", "tokens"])
-
-    seen = rows.select("y", "half", "text").mapInArrow(scan, "y int, at array<long>, scores array<double>, tokens long").collect()
-    seen = [(r.y, list(zip(r["at"], r.scores, strict=True)), r.tokens) for r in seen if r.tokens]
-    if not seen:
-        return Model()
-    clean = Counter(s for y, hits, _ in seen if not y for _, s in hits)
-    clean.update({max(lexicon.values()): 1})
-    tokens = sum(n for y, _, n in seen if not y) + 1
-    decay = _decay(clean, tokens)
+            for y, half, weight, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hits, n = _hits(t, memos[half]) if not y else ([], 0)
+                tokens += weight * n
+                segments += weight * len(maximal_segments(hits))
+                for _, s in hits:
+                    scores[s] += weight
+        yield pa.RecordBatch.from_arrays([pa.array([None, math.nan, *scores], pa.float64()), pa.array([tokens, segments, *scores.values()], pa.float64())], names=["score", "n"])
+
+    # One row for each score of the lexicons.
+    seen = {r.score if r.score == r.score else "segments": r.n for r in rows.select("y", "half", "weight", "text").mapInArrow(observed, "score double, n double").groupBy("score").agg(F.round(F.sum("n"), 6).alias("n")).collect()}
+    tokens, segments = seen.pop(None, 0.0) + 1, seen.pop("segments", 0.0)
+    seen[max(lexicon.values())] = seen.get(max(lexicon.values()), 0.0) + 1
+    decay = _decay(seen, tokens)
     least = min(s for s in lexicon.values() if s > 0) if max(lexicon.values()) > 0 else 1.0
-    segments = sum(len(maximal_segments(hits)) for y, hits, _ in seen if not y)
     log_k = math.log((segments + 0.5) / tokens) + decay * least
-    x = np.array([_evidence(maximal_segments(hits), n, decay, log_k) for _, hits, n in seen])
-    slope, base = _logistic(x, np.array([float(y > 0) for y, _, _ in seen]))
+
+    def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos = [_Memo(x) for x in reversed(halves)]
+        for b in batches:
+            out = []
+            for half, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                hits, n = _hits(t, memos[half])
+                out.append(_evidence(maximal_segments(hits), n, decay, log_k) if n else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.float64())], names=["y", "weight", "evidence"])
+
+    # Three numbers for each of at most ``sample`` labelled documents.
+    found = rows.select("y", "half", "weight", "text").mapInArrow(evidences, "y int, weight double, evidence double").where("evidence is not null").groupBy("y", F.round("evidence", 9).alias("evidence")).agg(F.round(F.sum("weight"), 6).alias("weight")).orderBy("evidence", "y").toPandas()
+    drop(rows)
+    if not len(found):
+        return Model()
+    slope, base = _logistic(found["evidence"].to_numpy(float), (found["y"] > 0).to_numpy(float), found["weight"].to_numpy(float))
     return Model(lexicon, decay, log_k, slope, base)
 
 
@@ -248,10 +268,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Adds two columns to all columns of ``docs`` (replacing any so named). Null and
     empty texts score as texts without evidence. Only the text decides.
     """
-    lexicon = docs.sparkSession.sparkContext.broadcast(model)
+    m = model  # goes with the function; Spark broadcasts functions that are large
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = lexicon.value
         state = worker_state("toxicity")
         if state.get("toxicity_lexicon") != m.lexicon:
             state["toxicity_lexicon"], state["toxicity_memo"] = m.lexicon, _Memo(m.lexicon)
@@ -271,12 +290,17 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(SEGMENT))], names=[*b.schema.names[:-1], "score", "passages"])
 
     keep = [c for c in docs.columns if c not in ("score", "passages", "_text")]
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*[F.col(f"`{c}`") for c in keep]).dtypes)
     schema += (", " if schema else "") + "score double, passages array<struct<first_char: long, end_char: long, score: double, e_value: double>>"
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(scan, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(scan, schema)
 
 
 def clean_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is under the threshold, with the columns of ``docs``."""
-    scored = score(docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns}), model, text=f"c_{text}")
-    return scored.where(F.col("score") < threshold).select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+    """The rows whose score is under the threshold, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts have no evidence and stay; repeated rows are judged alike; an
+    empty table gives no rows. Every row is scored on its whole text.
+    """
+    held = docs.select(whole_row(docs), F.col(f"`{text}`").alias("_text"))
+    kept = score(held.withColumnRenamed("_text", "_body"), model, text="_body").where(F.col("score") < threshold)
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
