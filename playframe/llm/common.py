@@ -7,7 +7,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,14 @@ def worker_state(owner: str) -> dict:
     return kept.state
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: what a task makes of a batch, and sends back at once, stays small beside it."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of a row, whatever their names, as the struct ``_row``."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")

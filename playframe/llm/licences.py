@@ -338,7 +338,7 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", templates: t
     than two words, match nothing. Repeated rows give repeated results. An empty table
     gives no rows. Only the id and the text are read.
     """
-    kind = df.select(F.col(row_id).alias("id")).dtypes[0][1]
+    kind = df.select(F.col(f"`{row_id}`").alias("id")).dtypes[0][1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
@@ -352,4 +352,4 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", templates: t
             types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(task, f"id {kind}, {SCHEMA}").withColumnRenamed("id", row_id)
+    return df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(task, f"id {kind}, {SCHEMA}").withColumnRenamed("id", row_id)

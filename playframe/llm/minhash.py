@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, text_or_empty, whole_row, worker_state, written
+from .common import drop, slices, text_or_empty, whole_row, worker_state, written
 from .components import components
 from .slots import marked, slot, slot_bits
 
@@ -108,7 +108,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and shingle sets, in chunks of about ``CHUNK_BYTES`` of text."""
-    for b in batches:
+    for b in slices(batches):
         ids, sets, held = [], [], 0
         for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids.append(row)
@@ -167,7 +167,7 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, set of a, set of b) that are linked."""
-    for b in batches:
+    for b in slices(batches):
         yield _links([(x, y) for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64))])
 
 
@@ -239,7 +239,7 @@ def _block_links(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+    rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in slices(batches))
     for _, own in itertools.groupby(rows, key=lambda r: r[:3]):
         found = list(_block_links(own))
         if found:

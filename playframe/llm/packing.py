@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state, written
+from .common import slices, worker_state, written
 
 CAPACITY = 2048
 #: Windows packed together; bounds a task's memory and the work of differencing.
@@ -270,15 +270,14 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of about ``CHUNK_CHARS``; a null text is empty."""
     ids, texts, held = [], [], 0
-    for b in batches:
-        for lo in range(0, b.num_rows, 64):
-            for row, text in zip(*(b.column(i).slice(lo, 64).to_pylist() for i in (0, 1)), strict=True):
-                ids.append(row)
-                texts.append(text or "")
-                held += len(text or "")
-            if held >= CHUNK_CHARS:
-                yield ids, texts
-                ids, texts, held = [], [], 0
+    for b in slices(batches, 64):
+        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids.append(row)
+            texts.append(text or "")
+            held += len(text or "")
+        if held >= CHUNK_CHARS:
+            yield ids, texts
+            ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
 

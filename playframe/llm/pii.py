@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import slices, worker_state
 
 ROUNDS = 8
 #: Dates of these years get pseudonyms among them, all other dates among all others.
@@ -338,7 +338,7 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     at = keep.index(text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, found = [], []
             for t in b.column(at).to_pylist():
                 new, spans = pseudonymised(t, key) if t and DIGIT_OR_AT.search(t) else (t, [])

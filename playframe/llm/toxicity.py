@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, whole_row, worker_state, written
+from .common import drop, slices, whole_row, worker_state, written
 from .minhash import shingle_set
 
 #: Labelled rows to learn from, at most; the rows with the smallest seeded hash.
@@ -129,7 +129,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, row_id: str, text: str,
     kind = rows.select("_id").dtypes[0][1]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             least = [int(runs[0]) >> 1 if len(runs) else 0 for runs in map(shingle_set, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=[*b.schema.names, "_sketch"])
 
@@ -144,7 +144,7 @@ def _lexicons(sample: DataFrame) -> list[dict[str, float]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[dict[str, float]] = [defaultdict(float) for _ in range(4)]
-        for b in batches:
+        for b in slices(batches):
             for y, half, weight, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = seen[2 * half + (y > 0)]
                 for unit in {u for t in set(TOKEN.findall(text.lower())) for u in units(t)}:
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
         memos = [_Memo(x) for x in reversed(halves)]
         scores: dict[float, float] = defaultdict(float)
         tokens = segments = 0.0
-        for b in batches:
+        for b in slices(batches):
             for y, half, weight, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 hits, n = _hits(t, memos[half]) if not y else ([], 0)
                 tokens += weight * n
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str =
 
     def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos = [_Memo(x) for x in reversed(halves)]
-        for b in batches:
+        for b in slices(batches):
             out = []
             for half, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 hits, n = _hits(t, memos[half])
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         if state.get("toxicity_lexicon") != m.lexicon:
             state["toxicity_lexicon"], state["toxicity_memo"] = m.lexicon, _Memo(m.lexicon)
         memo = state["toxicity_memo"]
-        for b in batches:
+        for b in slices(batches):
             scores, passages = [], []
             for t in b.column("_text").to_pylist():
                 hits, n = _hits(t, memo)
