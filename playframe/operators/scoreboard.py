@@ -95,7 +95,7 @@ def document_faults(samples: DataFrame, teams: list[str], labels: list[str], run
     time = F.col("time_s").isNull() | (F.col("time_s") < 0) | F.coalesce(F.col("time_s") <= F.lag("time_s").over(w), F.lit(False))
     empty = F.col("period").isNull() & (F.col("scores").isNotNull() | F.col("clock_s").isNotNull())
     bad = F.col("period").isNotNull() & ~valid_reading(F.col("period"), F.col("clock_s"), F.col("scores"), F.array(*map(F.lit, teams)))
-    rows = samples.select(F.explode(F.array_compact(F.array(F.when(time, F.lit("invalid_times")), F.when(empty | bad, F.lit("invalid_reading"))))).alias("reason"))
+    rows = samples.select(F.array_compact(F.array(F.when(time, F.lit("invalid_times")), F.when(empty | bad, F.lit("invalid_reading")))).alias("_r")).select(F.explode("_r").alias("reason"))
     return spark.createDataFrame([(k,) for k, v in whole.items() if v], "reason string").union(rows).distinct()
 
 

@@ -269,3 +269,55 @@ def q_batched_scan(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_custkey")
     part = runs.in_batches(rows, 512, lambda b: b.assign(n=1, s=b["o_custkey"] % 10).groupby("o_orderstatus", as_index=False)[["n", "s"]].sum(), "o_orderstatus string, n long, s long")
     return part.groupBy("o_orderstatus").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+READS = "r AS (SELECT o_custkey AS track, o_orderkey AS frame_index, o_orderkey::DOUBLE / 40 AS time_s, (o_orderkey % 7 // 3)::VARCHAR AS number, (1 + o_orderkey % 5) / 4 AS weight, 0.9 + (o_orderkey % 4) / 20 AS confidence FROM orders)"
+
+
+def number_reads(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), k.alias("frame_index"), (k.cast("double") / 40).alias("time_s"), F.floor(k % 7 / 3).cast("string").alias("number"), ((1 + k % 5) / 4).alias("weight"), (0.9 + (k % 4) / 20).alias("confidence"))
+
+
+@query(f"""WITH {READS}, i AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY time_s) AS i FROM r), v AS (SELECT a.track, a.frame_index, b.number, b.weight, b.i, a.i AS now FROM i a JOIN i b ON b.track = a.track AND b.i BETWEEN a.i - 7 AND a.i AND a.time_s - b.time_s <= 12),
+s AS (SELECT track, frame_index, number, sum(weight) AS w, count(*) AS c FROM v GROUP BY ALL), t AS (SELECT track, frame_index, arg_max(number, (round(w, 9), number)) AS best, arg_max(c, (round(w, 9), number)) AS votes, max(w) / sum(w) AS agreement FROM s GROUP BY ALL),
+l AS (SELECT track, frame_index, count(*) AS n, count(*) FILTER (i > now - 2) AS recent FROM v GROUP BY ALL), m AS (SELECT v.track, v.frame_index, bool_and(v.number = t.best) AS same FROM v JOIN t USING (track, frame_index) WHERE v.i > v.now - 2 GROUP BY ALL)
+SELECT frame_index, votes, round(agreement, 6) AS agreement, CASE WHEN votes >= 2 AND n >= 2 AND same AND agreement >= 0.75 THEN best END AS decided FROM t JOIN l USING (track, frame_index) JOIN m USING (track, frame_index)""")
+def q_causal_agreement(spark, sf_dir):
+    from playframe.operators import evidence
+
+    return evidence.causal_agreement(number_reads(spark, sf_dir), ["track"]).select("frame_index", F.col("votes").cast("long").alias("votes"), r6("agreement"), "decided")
+
+
+@query(f"""WITH {READS}, s AS (SELECT frame_index, time_s / 100 AS time_s, number, row_number() OVER (ORDER BY frame_index) AS i FROM (SELECT frame_index, time_s, (frame_index // 40 % 3)::VARCHAR AS number, confidence FROM r) WHERE confidence >= 0.95),
+c AS (SELECT a.i, count(*) AS n, list_sort(list(b.time_s))[3] - a.time_s AS third FROM s a JOIN s b ON b.i BETWEEN a.i AND a.i + 4 AND b.number = a.number GROUP BY a.i, a.time_s),
+k AS (SELECT s.*, CASE WHEN n >= 3 AND third <= 2 THEN number END AS now FROM s JOIN c USING (i)),
+b AS (SELECT *, last_value(now IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) SELECT frame_index, sum(coalesce(now <> before, false)::INT) OVER (ORDER BY i)::BIGINT AS episode FROM b""")
+def q_number_episodes(spark, sf_dir):
+    from playframe.operators import evidence
+
+    rows = number_reads(spark, sf_dir).withColumn("number", (F.floor(F.col("frame_index") / 40) % 3).cast("string")).withColumn("time_s", F.col("time_s") / 100).withColumn("run", F.lit(0))
+    return evidence.number_episodes(rows, ["run"]).select("frame_index", "episode")
+
+
+@query(f"""WITH {P}, f AS (SELECT frame_index, any_value(timestamp_s) AS t, any_value(segment_id) AS segment_id, any_value(scene_cut) AS scene_cut, frame_index % 9 = 0 AS fitted FROM p GROUP BY frame_index),
+g AS (SELECT *, sum(scene_cut::INT) OVER (PARTITION BY segment_id ORDER BY frame_index) AS shot FROM f), l AS (SELECT *, last_value(CASE WHEN fitted THEN t END IGNORE NULLS) OVER (PARTITION BY segment_id, shot ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS at_fit FROM g)
+SELECT frame_index, CASE WHEN fitted THEN 'fit' WHEN t - at_fit <= 0.55 THEN 'propagated' ELSE 'unavailable' END AS court_status, CASE WHEN t - at_fit <= 0.55 THEN round(t - at_fit, 6) END AS fit_age FROM l""")
+def q_calibration_states(spark, sf_dir):
+    from playframe.operators import evidence
+
+    rows = persons(spark, sf_dir).select("frame_index", "timestamp_s", "segment_id", "scene_cut").distinct().withColumn("fitted", F.col("frame_index") % 9 == 0)
+    return evidence.calibration_states(rows, ["segment_id"], 0.55).select("frame_index", "court_status", r6("fit_age"))
+
+
+@query(f"""WITH {P}, f AS (SELECT frame_index, any_value(included) AS included, any_value(scene_cut) AS cut, frame_index % 9 < 5 AS court, frame_index % 4 > 0 AS ball FROM p GROUP BY 1),
+a AS (SELECT count(*) AS frames, count(*) FILTER (included) AS included_frames, count(*) FILTER (court) AS court_frames, count(*) FILTER (ball) AS ball_frames, count(*) FILTER (cut) AS cuts FROM f),
+b AS (SELECT count(*) FILTER (role = 'player') AS players, count(*) FILTER (role = 'player' AND x IS NOT NULL) AS placed, count(*) FILTER (role = 'player' AND known) AS named, count(DISTINCT (segment_id, track_id)) FILTER (role = 'player') AS fragments FROM p)
+SELECT *, round(court_frames / frames, 6) AS court_share, round(placed / players, 6) AS placed_share, round(named / players, 6) AS named_share FROM a, b""")
+def q_run_health(spark, sf_dir):
+    from playframe.operators import evidence
+
+    rows = persons(spark, sf_dir)
+    f = F.col("frame_index")
+    found = evidence.health(rows.select("frame_index", "included", "scene_cut").distinct().withColumn("court_ok", f % 9 < 5).withColumn("ball_ok", f % 4 > 0), rows)
+    return found.select("frames", "included_frames", "court_frames", "ball_frames", "cuts", "players", "placed", "named", "fragments", r6("court_share"), r6("placed_share"), r6("named_share"))
