@@ -77,7 +77,7 @@ def density(grid: DataFrame, keys: Keys, cells: tuple[int, int], sigma: float) -
 def share_difference(grid: DataFrame, side: str, first: str, second: str) -> DataFrame:
     """Per cell the share of the first side's mass less that of the second's."""
     total = grid.groupBy(side).agg(F.sum("mass").alias("_total"))
-    shares = grid.join(F.broadcast(total), side).withColumn("_share", F.try_divide("mass", F.when(F.col("_total") != 0, F.col("_total"))))
+    shares = grid.join(total, side).withColumn("_share", F.try_divide("mass", F.when(F.col("_total") != 0, F.col("_total"))))
     of = lambda s: F.coalesce(F.sum(F.when(F.col(side) == s, F.col("_share"))), F.lit(0.0))
     return shares.groupBy("cell_x", "cell_y").agg((of(first) - of(second)).alias("difference"))
 
@@ -132,7 +132,7 @@ def prototypes(df: DataFrame, label: str, values: list[str]) -> DataFrame:
     """Per label and value: the lower median and the lower median of absolute deviations."""
     long = df.select(label, F.expr(f"stack({len(values)}, " + ", ".join(f"'{v}', cast({v} as double)" for v in values) + ") as (name, x)")).where("x is not null")
     centre = long.groupBy(label, "name").agg(F.expr("percentile_disc(0.5) within group (order by x)").alias("centre"))
-    away = long.join(F.broadcast(centre), [label, "name"]).withColumn("_d", F.abs(F.col("x") - F.col("centre")))
+    away = long.join(centre, [label, "name"]).withColumn("_d", F.abs(F.col("x") - F.col("centre")))
     return away.groupBy(label, "name", "centre").agg(F.expr("percentile_disc(0.5) within group (order by _d)").alias("spread"), F.count(F.lit(1)).alias("n"))
 
 
@@ -145,8 +145,8 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
-def homography(x: Column, y: Column, m: list[float]) -> tuple[Column, Column]:
-    """The point under a 3 x 3 matrix (row by row); null where it goes to infinity."""
+def homography(x: Column, y: Column, m: list[float | Column]) -> tuple[Column, Column]:
+    """The point under a 3 x 3 matrix, row by row, of numbers or of columns; null where it goes to infinity."""
     w = m[6] * x + m[7] * y + m[8]
     safe = F.when(F.abs(w) > 1e-9, w)
     return (m[0] * x + m[1] * y + m[2]) / safe, (m[3] * x + m[4] * y + m[5]) / safe

@@ -12,15 +12,21 @@ Keys = list[str]
 def asof(left: DataFrame, right: DataFrame, keys: Keys, time: str, value: str, hold: float, out: str) -> DataFrame:
     """Every left row with ``out``: the right value at the latest time not after its own, if no older than ``hold``.
 
-    Both sides go through one window per key, without a join. Of right rows at one
-    time the largest value counts.
+    Both sides lie in buckets of ``hold``, and each bucket also gets the last right row
+    of the one before, so the latest value is always in the row's own bucket: windows
+    run over (key, bucket), and a key with many rows is spread. Of right rows at one
+    time the largest value counts. Left rows without a time have no value.
     """
-    l = left.select(F.struct(*left.columns).alias("_left"), *[F.col(k) for k in keys], F.col(time).alias("_t"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(1).alias("_side"))
-    r = right.where(F.col(value).isNotNull()).select(F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), *[F.col(k) for k in keys], F.col(time).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    w = W.partitionBy(*keys).orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    bucket = F.floor(F.col(time) / hold)
+    l = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_left"), *[F.col(k) for k in keys], bucket.alias("_bucket"), F.col(time).alias("_t"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(1).alias("_side"))
+    r = right.where(F.col(value).isNotNull() & F.col(time).isNotNull()).select(*[F.col(k) for k in keys], bucket.alias("_bucket"), F.col(time).alias("_t"), F.col(value).alias("_v"))
+    carried = r.groupBy(*keys, "_bucket").agg(F.max(F.struct("_t", "_v")).alias("_last")).select(*keys, (F.col("_bucket") + 1).alias("_bucket"), "_last.*")
+    none = F.lit(None).cast(l.schema["_left"].dataType).alias("_left")
+    both = l.unionByName(r.unionByName(carried).select(none, *keys, "_bucket", "_t", "_v", F.lit(0).alias("_side")))
+    w = W.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("_side") == 0, F.struct("_t", "_v")), ignorenulls=True).over(w)
-    both = l.unionByName(r).withColumn("_seen", seen).where("_side = 1")
-    return both.select("_left.*", F.when(F.col("_t") - F.col("_seen._t") <= hold, F.col("_seen._v")).alias(out))
+    rows = both.withColumn("_seen", seen).where("_side = 1")
+    return rows.select("_left.*", F.when(F.col("_t") - F.col("_seen._t") <= hold, F.col("_seen._v")).alias(out))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: Keys, left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:

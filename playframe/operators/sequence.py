@@ -7,6 +7,7 @@ index); rows with a null order sort first and never continue an island.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,43 +84,67 @@ def missing_ranges(df: DataFrame, value: str, bucket: int = 1 << 20) -> DataFram
     return gaps.select((F.col("p") + 1).alias("first"), (F.col("v") - 1).alias("last"), (F.col("v") - F.col("p") - 1).alias("n"))
 
 
-def until_confirmed(df: DataFrame, keys: Keys, order: str, value: str, votes: int, share: float) -> DataFrame:
-    """Rows up to the first at which one value has ``votes`` votes and ``share`` of all so far; adds ``attempt`` and ``confirmed``."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    own = W.partitionBy(*keys, value).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+def until_confirmed(df: DataFrame, keys: Keys, order: str, value: str, votes: int, share: float, tie: str | None = None) -> DataFrame:
+    """Rows up to the first at which one value has ``votes`` votes and ``share`` of all so far; adds ``attempt`` and ``confirmed``.
+
+    Rows of one ``order`` go by ``tie``; without it their order is not determined.
+    """
+    by = [order, tie] if tie else [order]
+    w = W.partitionBy(*keys).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy(*keys, value).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
     counted = df.withColumn("attempt", F.count(value).over(w)).withColumn("_own", F.count(value).over(own))
     counted = counted.withColumn("confirmed", F.coalesce((F.col("_own") >= votes) & (F.col("_own") >= share * F.col("attempt")), F.lit(False)))
-    done = F.coalesce(F.max("confirmed").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    done = F.coalesce(F.max("confirmed").over(W.partitionBy(*keys).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
     return counted.withColumn("_done", done).where("not _done").drop("_done", "_own")
 
 
 def smoothed(df: DataFrame, keys: Keys, order: str, value: str, tau: float) -> DataFrame:
     """Per key the time-aware exponential average of its values in order: ``smoothed`` (last) and ``n``.
 
-    The fold is one expression over the key's sorted values; null values are skipped.
+    The average is a weighted sum: what a step adds, 1 - exp(-dt / tau) of its value,
+    decays by exp(-age / tau) until the last row. So rows are summed in parts before
+    they move, and no key's history is held. Null values are skipped; of rows at one
+    time the later ones add nothing.
     """
-    rows = df.where(F.col(value).isNotNull() & F.col(order).isNotNull())
-    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("double").alias("t"), F.col(value).cast("double").alias("v")))).alias("_r"))
-    step = f"(s, x) -> struct(x.t as t, s.v + (1 - exp(-(x.t - s.t) / {tau})) * (x.v - s.v) as v)"
-    return rows.select(*keys, F.expr(f"aggregate(slice(_r, 2, size(_r)), _r[0], {step}).v").alias("smoothed"), F.size("_r").cast("long").alias("n"))
+    w = W.partitionBy(*keys).orderBy("_t", "_v")
+    rows = df.where(F.col(value).isNotNull() & F.col(order).isNotNull()).select(*keys, F.col(order).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"))
+    step = F.col("_t") - F.lag("_t").over(w)
+    rows = rows.withColumn("_add", F.coalesce(1 - F.exp(-step / tau), F.lit(1.0)) * F.col("_v"))
+    rows = rows.withColumn("_age", F.max("_t").over(W.partitionBy(*keys)) - F.col("_t"))
+    return rows.groupBy(*keys).agg(F.sum(F.col("_add") * F.exp(-F.col("_age") / tau)).alias("smoothed"), F.count(F.lit(1)).alias("n"))
 
 
-def switches(df: DataFrame, keys: Keys, order: str, value: str, ahead: int = 5, support: int = 3) -> DataFrame:
+def switches(df: DataFrame, keys: Keys, order: str, value: str, ahead: int = 5, support: int = 3, gap: float | None = None) -> DataFrame:
     """Sustained switches of a label: adds ``episode``, from 0.
 
     A known label that differs from the current one starts an episode if among this
-    and the next ``ahead - 1`` rows it has ``support`` votes and the current one has
-    none. The first current label is the first known one ahead. Whether a row
-    switches depends on the labels accepted before it, so this is a fold.
+    and the next ``ahead - 1`` rows, gaps or not, it has ``support`` votes and the
+    current one has none. The first current label is the first known one ahead. A step
+    of more than ``gap`` starts an episode too, and the current label anew. Whether a
+    row switches depends on the labels accepted before it, so a key is one fold, linear
+    in its rows.
     """
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).alias("v")))).alias("_r"))
-    near = f"filter(slice(_r, i, {ahead}), r -> r.v is not null)"
-    switch = f"x.v is not null and s.now is not null and x.v <> s.now and size(filter({near}, r -> r.v = x.v)) >= {support} and not exists({near}, r -> r.v = s.now)"
-    kind = dict(df.dtypes)[value]
-    zero = f"struct(1 as i, cast(filter(_r, r -> r.v is not null)[0].v as {kind}) as now, 0 as episode, cast(array() as array<int>) as out)"
-    near_s = near.replace("i, ", "s.i, ")
-    switch = switch.replace(near, near_s)
-    step = f"(s, x) -> struct(s.i + 1 as i, case when {switch} then x.v else coalesce(s.now, x.v) end as now, s.episode + int({switch}) as episode, concat(s.out, array(s.episode + int({switch}))) as out)"
-    found = rows.withColumn("_e", F.expr(f"aggregate(_r, {zero}, {step}).out"))
-    found = found.select(*keys, F.explode(F.arrays_zip("_r", "_e")).alias("_x"))
-    return found.select(*keys, F.col("_x._r.t").alias(order), F.col("_x._r.v").alias(value), F.col("_x._e").alias("episode"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], f"{order} {kinds[order]}", f"{value} {kinds[value]}", "episode int"])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([order, value], kind="stable", na_position="first")
+        labels = [None if pd.isna(v) else v for v in rows[value]]
+        times = rows[order].tolist()
+        known_ahead, first = [None] * len(labels), None
+        for i in range(len(labels) - 1, -1, -1):
+            first = known_ahead[i] = labels[i] if labels[i] is not None else first
+        now, episode, out = known_ahead[0] if labels else None, 0, []
+        for i, label in enumerate(labels):
+            if gap is not None and i and times[i] - times[i - 1] > gap:
+                episode, now = episode + 1, known_ahead[i]
+            elif label is not None and now is not None and label != now:
+                near = labels[i : i + ahead]
+                if near.count(label) >= support and now not in near:
+                    episode, now = episode + 1, label
+            elif now is None:
+                now = label
+            out.append(episode)
+        return rows.assign(episode=pd.array(out, "Int32"))[[*keys, order, value, "episode"]]
+
+    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(fold, schema)

@@ -127,7 +127,7 @@ d AS (SELECT *, own >= 3 AND own >= 0.4 * attempt AS confirmed FROM c),
 x AS (SELECT *, coalesce(bool_or(confirmed) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM d)
 SELECT user_id, event_id, attempt, confirmed FROM x WHERE NOT done""")
 def q_running_confirm(spark, sf_dir):
-    return sequence.until_confirmed(events(spark, sf_dir), ["user_id"], "us", "event_type", 3, 0.4).select("user_id", "event_id", "attempt", "confirmed")
+    return sequence.until_confirmed(events(spark, sf_dir), ["user_id"], "us", "event_type", 3, 0.4, "event_id").select("user_id", "event_id", "attempt", "confirmed")
 
 
 @query(f"""
