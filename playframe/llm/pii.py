@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import slices, worker_state
 
@@ -348,7 +349,6 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    types = [t for _, t in df.select(*[F.col(f"`{c}`") for c in keep]).dtypes]
-    schema = ", ".join(f"c{i} {t}" for i, t in enumerate([*types, "array<struct<kind: string, first_char: long, end_char: long>>"]))
     placed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    return placed.mapInArrow(task, schema).toDF(*keep, "pii_found")
+    added = StructType.fromDDL(f"c{len(keep)} array<struct<kind: string, first_char: long, end_char: long>>")
+    return placed.mapInArrow(task, StructType([*placed.schema.fields, *added.fields])).toDF(*keep, "pii_found")

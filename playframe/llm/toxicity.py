@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import drop, slices, whole_row, worker_state, written
 from .minhash import shingle_set
@@ -277,7 +278,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         memo = state["toxicity_memo"]
         for b in slices(batches):
             scores, passages = [], []
-            for t in b.column("_text").to_pylist():
+            for t in b.column(b.num_columns - 1).to_pylist():
                 hits, n = _hits(t, memo)
                 segments = maximal_segments(hits) if hits else []
                 scores.append(m.probability(_evidence(segments, n, m.decay, m.log_k) if segments else 0.0))
@@ -287,12 +288,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     spans = [x.span() for x in TOKEN.finditer(lower if len(lower) == len(t) else t)]
                     own = [(a, z, s, e) for a, z, s, e in own if z < len(spans)]
                 passages.append([{"first_char": spans[a][0], "end_char": spans[z][1], "score": s, "e_value": e} for a, z, s, e in own])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(SEGMENT))], names=[*b.schema.names[:-1], "score", "passages"])
+            columns = [*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(SEGMENT))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
+    # Names that hold dots or clash never reach the task: columns go by their place.
     keep = [c for c in docs.columns if c not in ("score", "passages", "_text")]
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*[F.col(f"`{c}`") for c in keep]).dtypes)
-    schema += (", " if schema else "") + "score double, passages array<struct<first_char: long, end_char: long, score: double, e_value: double>>"
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(scan, schema)
+    placed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
+    added = StructType.fromDDL(f"c{len(keep)} double, c{len(keep) + 1} array<struct<first_char: long, end_char: long, score: double, e_value: double>>")
+    return placed.mapInArrow(scan, StructType([*placed.schema.fields[:-1], *added.fields])).toDF(*keep, "score", "passages")
 
 
 def clean_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
