@@ -166,3 +166,40 @@ def phase_durations(spans: DataFrame, team: Column, start: float, end: float, ke
         total(owned & ~F.col("method").isin("settled", "court")).alias("contacts"), total(owned & F.col("direction").isNull()).alias("no_direction"),
     )
     return out.withColumn("unknown", F.greatest(F.lit(0.0), F.lit(end - start) - F.col("offense") - F.col("defense")))
+
+
+def density_field(grid: DataFrame, keys: list[str], length: float, width: float, cells: tuple[int, int], sigma: float = 0.85, per_metre: int = 8) -> DataFrame:
+    """Mass per square metre on ``per_metre`` samples a metre: every cell's mass spread by a Gaussian of ``sigma`` metres that is normalised over the court.
+
+    The kernel is separable: one join with a fixed table an axis, and sums between.
+    Returns ``keys, sample_x, sample_y, density``; samples are cell middles of the fine grid.
+    """
+    spark = grid.sparkSession
+
+    def spread(rows: DataFrame, axis: str, n: int, extent: float, group: list[str]) -> DataFrame:
+        fine = round(extent * per_metre)
+        table = spark.range(n).select(F.col("id").cast("int").alias(f"cell_{axis}")).crossJoin(spark.range(fine).select(F.col("id").cast("int").alias(f"sample_{axis}")))
+        away = (F.col(f"cell_{axis}") + 0.5) * (extent / n) - (F.col(f"sample_{axis}") + 0.5) * (extent / fine)
+        table = table.withColumn("_k", F.exp(-away * away / (2 * sigma * sigma)))
+        table = table.withColumn("_k", F.col("_k") / F.sum("_k").over(W.partitionBy(f"cell_{axis}")))
+        return rows.join(F.broadcast(table), f"cell_{axis}").groupBy(*group, f"sample_{axis}").agg(F.sum(F.col("mass") * F.col("_k")).alias("mass"))
+
+    rows = spread(grid, "x", cells[0], length, [*keys, "cell_y"])
+    rows = spread(rows, "y", cells[1], width, [*keys, "sample_x"])
+    return rows.select(*keys, "sample_x", "sample_y", (F.col("mass") * per_metre * per_metre).alias("density"))
+
+
+def sampled(field: DataFrame, points: DataFrame, keys: list[str], per_metre: int = 8) -> DataFrame:
+    """Adds ``density`` at points ``x``, ``y`` in metres: bilinear between the four samples around, the edge's own beyond it."""
+    rows = points.withColumn("_id", F.monotonically_increasing_id())
+    at = {c: F.col(c) * per_metre - 0.5 for c in ("x", "y")}
+    corners = F.explode(F.array(*[F.struct((F.floor(at["x"]) + i).cast("int").alias("sample_x"), (F.floor(at["y"]) + j).cast("int").alias("sample_y"), ((at["x"] - F.floor(at["x"]) if i else 1 - at["x"] + F.floor(at["x"])) * (at["y"] - F.floor(at["y"]) if j else 1 - at["y"] + F.floor(at["y"]))).alias("share")) for i in (0, 1) for j in (0, 1)]))
+    near = rows.withColumn("_c", corners).select(*rows.columns, "_c.*")
+    got = near.join(field, [*keys, "sample_x", "sample_y"]).groupBy("_id").agg((F.sum(F.col("density") * F.col("share")) / F.nullif(F.sum("share"), F.lit(0.0))).alias("density"))
+    return rows.join(got, "_id", "left").drop("_id")
+
+
+def bands(field: DataFrame, keys: list[str], n: int = 7) -> DataFrame:
+    """Adds ``band`` 0 to n - 1: the density as a share of its key's largest, in equal steps; 0 is nothing."""
+    share = F.col("density") / F.nullif(F.max("density").over(W.partitionBy(*keys)), F.lit(0.0))
+    return field.withColumn("band", F.coalesce(F.least(F.lit(n - 1), F.ceil(share * (n - 1))), F.lit(0)).cast("int"))

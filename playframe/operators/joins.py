@@ -81,3 +81,23 @@ def leaks(df: DataFrame, content: Column, split: str) -> DataFrame:
     keyed = df.select(F.md5(content.cast("binary")).alias("content_md5"), F.col(split).alias("_split"))
     by = keyed.groupBy("content_md5", "_split").agg(F.count(F.lit(1)).alias("_n"))
     return by.groupBy("content_md5").agg(F.count(F.lit(1)).alias("n_splits"), F.sum("_n").alias("n_rows")).where("n_splits > 1")
+
+
+def by_detection(tracked: DataFrame, poses: DataFrame, frame: str, index: str) -> DataFrame:
+    """Tracked rows with the pose of the same detection; a pose that no row has, or that two have, is an error when the result is computed."""
+    p = poses.groupBy(frame, index).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[c for c in poses.columns if c not in (frame, index)])).alias("_pose"))
+    both = tracked.withColumn("_there", F.lit(True)).join(p, [frame, index], "full")
+    wrong = F.when(F.col("_there").isNull(), F.raise_error(F.lit("a pose belongs to no tracked detection"))).when(F.col("_n") > 1, F.raise_error(F.lit("a detection has two poses")))
+    return both.withColumn("_n", F.coalesce(wrong.cast("long"), F.col("_n"))).select(*tracked.columns, "_pose.*", (F.col("_n") > 0).alias("has_pose"))
+
+
+def reviewed(labels: DataFrame, objects: DataFrame, keys: Keys, digest: str) -> DataFrame:
+    """Objects with their review by key; a review of another image, told by its hash, doesn't count and is ``stale``."""
+    l = labels.withColumnsRenamed({c: f"_l_{c}" for c in labels.columns})
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_l_{k}"))
+    rows = objects.join(l, on, "left")
+    same = F.col(digest) == F.col(f"_l_{digest}")
+    rest = [c for c in labels.columns if c not in (*keys, digest)]
+    return rows.select(*objects.columns, *[F.when(same, F.col(f"_l_{c}")).alias(c) for c in rest], F.coalesce(~same, F.lit(False)).alias("stale"))

@@ -341,3 +341,30 @@ def test_references_move_only_from_where_they_are_expected(spark):
     assert runs.moved_reference(now, "people", "v1", "v2").collect()[0].asDict() == {"name": "people", "version": "v2", "previous": "v1"}
     with pytest.raises(ValueError, match="moved"):
         runs.moved_reference(now, "people", "v0", "v2")
+
+
+def test_density_keeps_mass(spark):
+    grid = spark.createDataFrame([("a", 0, 0, 2.0), ("a", 3, 2, 1.0)], "team string, cell_x int, cell_y int, mass double")
+    field = heatmaps.density_field(grid, ["team"], 4.0, 3.0, (4, 3))
+    rows = field.collect()
+    assert len(rows) == 32 * 24 and close(sum(r.density for r in rows) / 64, 3.0)
+    top = max(rows, key=lambda r: r.density)
+    banded = {(r.sample_x, r.sample_y): r.band for r in heatmaps.bands(field, ["team"]).collect()}
+    assert banded[top.sample_x, top.sample_y] == 6 and min(banded.values()) <= 1
+    spots = spark.createDataFrame([("a", (top.sample_x + 0.5) / 8, (top.sample_y + 0.5) / 8), ("a", 0.0, 0.0)], "team string, x double, y double")
+    got = sorted(r.density for r in heatmaps.sampled(field, spots, ["team"]).collect())
+    assert close(got[-1], top.density) and got[0] > 0
+
+
+def test_poses_and_reviews_meet_their_detection(spark):
+    from playframe.operators import joins
+
+    tracked = spark.createDataFrame([(0, 0, 7), (0, 1, None)], "frame int, detection int, track int")
+    poses = spark.createDataFrame([(0, 1, "p")], "frame int, detection int, pose string")
+    assert sorted((r.detection, r.pose) for r in joins.by_detection(tracked, poses, "frame", "detection").collect()) == [(0, None), (0 + 1, "p")]
+    with pytest.raises(Exception, match="belongs to no"):
+        joins.by_detection(tracked, spark.createDataFrame([(3, 1, "p")], "frame int, detection int, pose string"), "frame", "detection").collect()
+    labels = spark.createDataFrame([(0, 1, "h", "good"), (0, 2, "old", "bad")], "frame int, object int, sha string, verdict string")
+    objects = spark.createDataFrame([(0, 1, "h"), (0, 2, "h"), (0, 3, "h")], "frame int, object int, sha string")
+    got = {r.object: (r.verdict, r.stale) for r in joins.reviewed(labels, objects, ["frame", "object"], "sha").collect()}
+    assert got == {1: ("good", False), 2: (None, True), 3: (None, False)}
