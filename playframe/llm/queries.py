@@ -10,6 +10,7 @@ from .common import documents
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates over all documents: per document its set's size, the smallest id of its component, and whether it is that one."""
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("first")
 
 
@@ -21,18 +22,22 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts in all documents: one row per segment found."""
     return licences.scan(documents(spark, sf_dir))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every embedding whose id is divisible by 20, over all embeddings."""
     return topk.top_inner_products(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back: length, digest, kind and the response a revisit refers to."""
     return warc.round_trip(documents(spark, sf_dir, "pages"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels of documents that aren't held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.withColumnRenamed("text", "_body").withColumn("held_out", toxicity.held_out("doc_id")), model, text="_body")
@@ -40,20 +45,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes, equal texts together."""
     return sharding.shard_by_bytes(documents(spark, sf_dir))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with equal normalised texts: the id that stays, the group's size, and the text's SHA-256."""
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), carry={"text_sha256": F.sha2(F.col("_norm"), 256)})
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of at most 2,048 ids."""
     import public_tokenizers
 
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
     return mixing.mix(documents(spark, sf_dir))
 
 
