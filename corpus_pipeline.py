@@ -24,18 +24,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal normalised texts the smallest id stays; null and empty texts are equal, a null id comes last, of rows repeated whole one stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component of near duplicates stays; documents without words are linked with nothing and all stay."""
     return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, repeated or left out so that sources come near their targets; a null source is a source, documents without words follow theirs."""
     return mixing.materialise_mix(docs, whole=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every row, repetitions each for themselves; a null text is one piece of the end id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,11 +53,12 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores, hashed signatures and token ids have no SQL; tests hold every stage against a brute-force version.
+#: Learned scores, hashed signatures and token ids have no SQL; ``tests/llm/test_pipeline_stages.py`` holds each stage against plain Python on planted documents.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages from ``documents`` on; the tables between them are written to the shared folder. Empty documents give no pieces."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
