@@ -320,10 +320,18 @@ def q_iou_pairs(spark, sf_dir):
     return pairs.select("frame", "id_a", "id_b", F.round(iou, 6).alias("iou"))
 
 
-@query()
+@query(BOXES.replace("WITH b AS", "WITH RECURSIVE b AS") + """, pr AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, vec_id) AS r FROM b WHERE vec_id % 2 = 0), tr AS (SELECT * FROM b WHERE vec_id % 2 = 1),
+o AS (SELECT a.frame, a.r, t.vec_id AS t, greatest(0, least(a.x2, t.x2) - greatest(a.x1, t.x1)) * greatest(0, least(a.y2, t.y2) - greatest(a.y1, t.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS s FROM pr a JOIN tr t ON a.frame = t.frame),
+c AS (SELECT frame, r, t, i / (s - i) AS iou FROM o WHERE s > i AND i / (s - i) >= 0.1),
+g AS (SELECT DISTINCT frame, 0::BIGINT AS r, []::BIGINT[] AS taken, NULL::BIGINT AS t, NULL::DOUBLE AS iou FROM pr
+  UNION ALL SELECT s.frame, s.r, CASE WHEN s.t IS NULL THEN s.taken ELSE list_append(s.taken, s.t) END, s.t, s.iou FROM (
+    SELECT g.frame, g.r + 1 AS r, g.taken, arg_max(c.t, (c.iou, -c.t)) AS t, max(c.iou) AS iou FROM g JOIN pr ON pr.frame = g.frame AND pr.r = g.r + 1 LEFT JOIN c ON c.frame = g.frame AND c.r = g.r + 1 AND NOT list_contains(g.taken, c.t) GROUP BY g.frame, g.r, g.taken) s)
+SELECT pr.frame, CASE WHEN t IS NULL THEN 'fp' ELSE 'tp' END AS outcome, vec_id AS prediction_id, t AS truth_id, round(iou, 6) AS iou FROM g JOIN pr ON pr.frame = g.frame AND pr.r = g.r
+UNION ALL SELECT frame, 'fn', NULL, vec_id, NULL FROM tr WHERE vec_id NOT IN (SELECT t FROM g WHERE t IS NOT NULL)""")
 def q_greedy_match(spark, sf_dir):
     rows = boxes(spark, sf_dir)
-    return matching.greedy_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1").drop("score"), "frame", 0.1)
+    found = matching.greedy_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1").drop("score"), "frame", 0.1)
+    return found.select("frame", "outcome", "prediction_id", "truth_id", r6("iou"))
 
 
 @query()
