@@ -81,3 +81,33 @@ def test_peak_of_the_largest_region(spark):
         cells[i] = 0.9
     (a, b) = motion.peaks(spark.createDataFrame([(1, cells), (2, [0.0] * 24)], "k int, cells array<double>"), ["k"], 8).orderBy("k").collect()
     assert (a.x, a.y) == (1.5, 1.5) and b.x is None
+
+
+SAMPLE = """segment_id long, frame_index long, time_s double, scene_cut boolean, x double, y double, court array<double>, rims array<array<double>>,
+  track long, role string, team string, subject string, distance double, height double, raised boolean, ambiguous boolean, unique boolean"""
+
+
+def thrown(segment, landing=True, held=False, pan=0.0):
+    """A ball at a raised hand for five frames, then on a parabola to the rim; with ``pan`` the camera moves."""
+    rows = []
+    for i in range(40):
+        t = max(0.0, (i - 4) / 30)
+        x, y = (400 + 360 * t, 300 - 500 * t + 600 * t * t) if not held else (400.0, 300.0)
+        hand = i < 5 or held
+        court = [1.0, 0.0, -pan * i, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+        rim = [[400 + 360 * 0.9 + pan * i, 300 - 500 * 0.9 + 600 * 0.81]] if landing else None
+        rows.append((segment, i, i / 30, False, x + pan * i, y, court, rim, 7 if hand else None, "player" if hand else None, "a" if hand else None, "roster:a:7" if hand else None, 0.1 if hand else None, 100.0 if hand else None, hand or None, False if hand else None, hand or None))
+    return rows
+
+
+def test_a_throw_is_one_shot_and_a_held_ball_none(spark):
+    from playframe.operators import flights, shots
+
+    rows = thrown(0) + thrown(1, held=True) + thrown(2, pan=3.0) + thrown(3, landing=False)
+    found = flights.flights(spark.createDataFrame(rows, SAMPLE))
+    got = {r.segment_id: r for r in shots.one_event(found.withColumn("shot_id", F.monotonically_increasing_id()), ["segment_id"]).collect()}
+    assert got.keys() == {0, 2, 3}
+    assert got[0].status == "probable" and abs(got[0].time_s - 4 / 30) < 0.1 and got[0].track == 7 and got[0].error < 1e-6
+    assert abs(got[0].curvature - 12.0) < 1e-6 and got[0].rim and got[0].support >= 2
+    assert abs(got[2].rise - got[0].rise) < 1e-6 and got[2].status == "probable"
+    assert got[3].status == "candidate" and not got[3].rim
