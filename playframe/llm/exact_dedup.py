@@ -26,8 +26,8 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
     return norm.withColumn("_len", F.length("_norm").cast("long")).withColumn("_prefix", F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)))
 
 
-def refined(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Per row of ``df``: ``_id``, ``_row`` (all its columns), ``_norm``, ``_len``, ``_prefix`` and ``_full``.
+def refined(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Per row of ``df``, and the tables that this reads: ``_id``, ``_row`` (all its columns), ``_norm``, ``_len``, ``_prefix`` and ``_full``.
 
     ``_full`` is the SHA-256 of the normalised text where length and prefix left the
     row open, null where they already show that no other row has its text.
@@ -42,7 +42,8 @@ def refined(df: DataFrame, row_id: str, text: str) -> DataFrame:
     rows = df.select(F.col(f"`{row_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), whole_row(df))
     rows = marked(_keyed(rows, "_text"), length_slots, by_length, "lengths")
     rows = marked(rows, prefix_slots, by_prefix, "prefixes")
-    return rows.withColumn("_full", F.when(F.col("lengths") & F.col("prefixes"), F.sha2(F.col("_norm"), 256))).drop("lengths", "prefixes", "_text")
+    rows = rows.withColumn("_full", F.when(F.col("lengths") & F.col("prefixes"), F.sha2(F.col("_norm"), 256))).drop("lengths", "prefixes", "_text")
+    return rows, [by_length, by_prefix]
 
 
 def _first(*more: str) -> Column:
@@ -63,8 +64,10 @@ def exact_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text",
     sides get an exchange of their own, which lets Spark split a hot group.
     """
     carry = carry or {}
-    rows = refined(df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`")), row_id, text).select("_id", "_len", "_prefix", "_full", *[e.alias(n) for n, e in carry.items()])
+    rows, tables = refined(df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`")), row_id, text)
+    rows = rows.select("_id", "_len", "_prefix", "_full", *[e.alias(n) for n, e in carry.items()])
     rows = written(rows.withColumn("_uid", F.monotonically_increasing_id()))
+    drop(*tables)
     several = rows.where("_full is not null")
     groups = several.groupBy("_len", "_prefix", "_full").agg(_first("_uid"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select(F.col("_full").alias("_group"), F.col("_first.id").alias("keep_id"), F.col("_first._uid").alias("_keep_uid"), "group_size")
@@ -80,7 +83,7 @@ def drop_exact_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "te
     Rows that length and prefix settle pass straight through. Open rows meet their
     group joined on the hash and the id that stays, which spreads a hot group.
     """
-    source = refined(df, row_id, text)
+    source, _ = refined(df, row_id, text)
     several = source.where("_full is not null")
     groups = written(several.groupBy("_len", "_prefix", "_full").agg(_first()).select(F.col("_full").alias("_group"), F.col("_first.id").alias("_keep")))
     stay = several.join(groups, (F.col("_full") == F.col("_group")) & F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_full", "_id"])

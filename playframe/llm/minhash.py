@@ -278,10 +278,12 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     several = members.select("node").distinct()
     wanted = written(vertices.join(several, "node").select("node", "doc", "set_key"))
     bits = slot_bits(wanted.count())
-    again = marked(docs, slot(bits, F.col("doc")), written(_marks(wanted, bits)), "wanted").where("wanted").select("doc", "text")
+    marks = written(_marks(wanted, bits))
+    again = marked(docs, slot(bits, F.col("doc")), marks, "wanted").where("wanted").select("doc", "text")
     detail = again.mapInArrow(_detailed, "doc long, set_key binary, shingles binary, sketch binary, keys binary")
     detail = detail.withColumnsRenamed({"doc": "_doc", "set_key": "_set"})
     sets = written(wanted.join(detail, F.col("set_key").eqNullSafe(F.col("_set")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("node", "shingles", "sketch", "keys").dropDuplicates(["node"]))
+    drop(wanted, marks)
 
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     of = lambda end: sets.select(F.col("node").alias(f"_{end}"), F.col("shingles").alias(f"set_{end}"))
@@ -295,7 +297,8 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     largest = largest.select(F.col("bucket").alias("_bucket"), F.col("_top.label").alias("_largest"), F.ceil((F.col("_all") - F.col("_top._n")) / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("_all") / STRIPE).cast("long").alias("stripes"))
-    rows = known.join(written(largest), F.col("bucket") == F.col("_bucket")).withColumn("small", F.col("label") != F.col("_largest"))
+    largest = written(largest)
+    rows = known.join(largest, F.col("bucket") == F.col("_bucket")).withColumn("small", F.col("label") != F.col("_largest"))
     rows = rows.withColumn("block", F.when(F.col("small"), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(-1))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     every, one = F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1), F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("stripes")))
@@ -304,12 +307,13 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     rows = rows.join(sets, F.col("_node") == F.col("node")).select("bucket", "i", "stripe", "block", "node", "label", "shingles", "sketch", "keys")
     second = rows.repartition("bucket", "i", "stripe").sortWithinPartitions("bucket", "i", "stripe", F.col("block") != F.col("i")).mapInArrow(_grouped, "a long, b long")
     links = written(first.union(second))
-    drop(members, known, sets, labels, buckets)
+    drop(members, known, sets, labels, buckets, largest, first)
 
     labels = components(links)
     own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
     of_set = vertices.join(own, F.col("node") == F.col("_node"), "left").select(F.col("set_key").alias("_set"), F.coalesce("_label", "node").alias("label"))
     rows = written(full.select("uid", "doc", "n_shingles", "set_key").join(of_set, F.col("set_key") == F.col("_set")).select("uid", "doc", "n_shingles", "label"))
+    drop(vertices, links, labels)
     order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("uid").alias("uid"))
     # Grouped by one column more than joined on, so that both sides have an exchange that Spark can split.
     tops = rows.groupBy("label", F.lit(0).alias("_all")).agg(F.min(order).alias("top")).select(F.col("label").alias("_label"), F.col("top.doc").alias("component_id"), F.col("top.uid").alias("_uid"))

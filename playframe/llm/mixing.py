@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty, whole_row, word_count, written
+from .common import SPACE, drop, text_or_empty, whole_row, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -82,7 +82,9 @@ def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     ends = same.where("_before <= _rest and _rest < _before + _size * count").select(
         "_source", F.col("_hash").alias("_cut_hash"), F.col("_id").alias("_cut_id"), F.col("_size").alias("_cut_size"), F.expr("(_rest - _before) div count").alias("_cut_words"), F.col("count").alias("_cut_rows"), ((F.col("_rest") - F.col("_before")) / (F.col("count") * F.col("_size"))).alias("_cut_share")
     )
-    return written(plan.join(ends, "_source", "left").drop("_rest"))
+    found = written(plan.join(ends, "_source", "left").drop("_rest"))
+    drop(plan, cut)
+    return found
 
 
 def _fraction(before: Column | int, at: Column | int) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 SHARDS = 24
 ROW_BYTES = 8
@@ -107,9 +107,11 @@ def shard_by_bytes(df: DataFrame, row_id: str = "doc_id", text: str = "text", sh
     groups = written(rows.groupBy("_group").agg(F.sum("size").alias("_bytes")))
     runs = written(groups.groupBy("_bytes").agg(F.count(F.lit(1)).alias("_count")))
     plan = _plan(runs, shards)
+    drop(runs)
     spread = max(1, -(-groups.count() // PART_ROWS))
     placed = _numbered(groups, ["_bytes"], F.pmod(F.xxhash64("_group"), F.lit(spread)), ["_group"], "_at").join(plan, "_bytes")
     placed = written(placed.select(F.col("_group").alias("_of"), F.size(F.filter("_ends", lambda e: e <= F.col("_at"))).alias("shard")))
+    drop(groups)
     found = rows.join(placed, F.col("_group") == F.col("_of")).select("_id", "size", "text_crc32", "shard")
 
     count = rows.count()
