@@ -1,5 +1,7 @@
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -38,3 +40,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_is_read_without_a_session():
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, timeout=120).stdout.strip() == "True"
