@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import drop, slices, whole_row, worker_state, written
+from .common import drop, slices, worker_state, written
 from .minhash import shingle_set
 
 #: Labelled rows to learn from, at most; the rows with the smallest seeded hash.
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         memo = state["toxicity_memo"]
         for b in slices(batches):
             scores, passages = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
+            for t in b.column(at).to_pylist():
                 hits, n = _hits(t, memo)
                 segments = maximal_segments(hits) if hits else []
                 scores.append(m.probability(_evidence(segments, n, m.decay, m.log_k) if segments else 0.0))
@@ -288,14 +288,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     spans = [x.span() for x in TOKEN.finditer(lower if len(lower) == len(t) else t)]
                     own = [(a, z, s, e) for a, z, s, e in own if z < len(spans)]
                 passages.append([{"first_char": spans[a][0], "end_char": spans[z][1], "score": s, "e_value": e} for a, z, s, e in own])
-            columns = [*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(SEGMENT))]
+            columns = [*b.columns[:kept], pa.array(scores, pa.float64()), pa.array(passages, pa.list_(SEGMENT))]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    # Names that hold dots or clash never reach the task: columns go by their place.
-    keep = [c for c in docs.columns if c not in ("score", "passages", "_text")]
-    placed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
-    added = StructType.fromDDL(f"c{len(keep)} double, c{len(keep) + 1} array<struct<first_char: long, end_char: long, score: double, e_value: double>>")
-    return placed.mapInArrow(scan, StructType([*placed.schema.fields[:-1], *added.fields])).toDF(*keep, "score", "passages")
+    # Names that hold dots or clash never reach the task: columns go by their place, and the text goes once.
+    keep = [c for c in docs.columns if c not in ("score", "passages")]
+    sent = keep if text in keep else [*keep, text]
+    at, kept = sent.index(text), len(keep)
+    placed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)])
+    added = StructType.fromDDL(f"c{kept} double, c{kept + 1} array<struct<first_char: long, end_char: long, score: double, e_value: double>>")
+    return placed.mapInArrow(scan, StructType([*placed.schema.fields[:kept], *added.fields])).toDF(*keep, "score", "passages")
 
 
 def clean_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -304,6 +306,7 @@ def clean_documents(docs: DataFrame, model: Model, text: str = "text", threshold
     Null and empty texts have no evidence and stay; repeated rows are judged alike; an
     empty table gives no rows. Every row is scored on its whole text.
     """
-    held = docs.select(whole_row(docs), F.col(f"`{text}`").alias("_text"))
-    kept = score(held.withColumnRenamed("_text", "_body"), model, text="_body").where(F.col("score") < threshold)
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    names = docs.columns
+    placed = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
+    kept = score(placed, model, text=f"k{names.index(text)}").where(F.col("score") < threshold)
+    return kept.drop("score", "passages").toDF(*names)
