@@ -1,4 +1,8 @@
-"""Observed distance per subject: gap-aware pairs, exclusion reasons and the roll-up.
+"""Distance per subject on any ordered points: gap-aware pairs, exclusion reasons and the roll-up.
+
+The plain form for named columns. A track that comes back after a missing frame starts
+anew here; ``observed`` has the full rules for persons in frames: identity conflicts,
+tracking gaps, smoothing, warnings.
 
 Missing evidence is never bridged: a pair counts only if its row before is the
 track's previous frame, close in time, and no faster than the limit. Null is not
