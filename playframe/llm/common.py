@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import string
 import sys
 import tempfile
 import types
@@ -117,5 +118,11 @@ def word_count(text: str) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
+def ascii_lower(text: Column) -> Column:
+    """The text with A-Z lower-cased and nothing else; texts of ASCII alone take the quicker of two equal ways."""
+    slower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(slower)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

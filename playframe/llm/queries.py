@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licences, minhash, mixing, packing, pii, sharding, topk, toxicity, warc
+from . import exact_dedup, importance, licences, minhash, mixing, packing, pii, sharding, simhash, spelling, topk, toxicity, warc
 from .common import documents
 
 
@@ -66,6 +66,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 31 with a letter deleted, grouped under their most frequent near word."""
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the smallest id reachable over fingerprints at most four bits apart."""
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("first")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed by what their features gain in the benchmark's texts; a quarter of the longer ones is drawn."""
+    return importance.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 #: Only for reruns of the registered query to agree; a real run has a secret of its own.
 PII_KEY = b"registered query, not a secret"
 
@@ -80,8 +95,27 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pack": op9_pack,
     "op10_mix_sources": op10_mix_sources,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+#: The table of the reflected polynomial 0xEDB88320, and with it the CRC-32 of a text's UTF-8 bytes.
+CRC_TABLE = """crc_steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS v FROM crc_steps WHERE k = 8)"""
+
+
+def crc(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of ``text``, beside a column ``v`` of ``crc_table``."""
+    hexed = f"hex(encode({text}))"
+    octets = f"list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, v[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
 WITH RECURSIVE words AS (
@@ -135,5 +169,41 @@ ordered AS (
          coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes JOIN plan USING (source))
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ordered
+""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, k, {crc("id || ':' || run")} AS h FROM d, crc_table),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) AS t(i)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place FROM near),
+best AS (SELECT word, n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM ranked WHERE place = 1),
+walk AS (SELECT word, form AS at FROM best WHERE form IS NOT NULL UNION SELECT w.word, b.form FROM walk w JOIN best b ON b.word = w.at WHERE b.form IS NOT NULL),
+roots AS (SELECT w.word, w.at AS root FROM walk w LEFT JOIN best b ON b.word = w.at WHERE b.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n FROM words LEFT JOIN best USING (word) LEFT JOIN roots USING (word)
+""",
+    "op13_importance_resampling": rf"""
+WITH RECURSIVE {CRC_TABLE},
+texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+words AS (SELECT row_number() OVER () AS id, side, doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT id, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+crcs AS (SELECT f, {crc("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM runs), crc_table),
+hits AS (SELECT id, side, b FROM runs JOIN crcs USING (f)),
+counts AS (SELECT b, count(*) FILTER (side = 0)::DOUBLE AS s, count(*) FILTER (side = 1)::DOUBLE AS t, (sum(count(*) FILTER (side = 0)) OVER ())::DOUBLE AS s_all, (sum(count(*) FILTER (side = 1)) OVER ())::DOUBLE AS t_all FROM hits GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS g FROM counts),
+sums AS (SELECT id, count(*) AS n, sum(g)::BIGINT AS total FROM hits JOIN gain USING (b) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT id, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+         ('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT::DOUBLE AS h
+  FROM words LEFT JOIN sums USING (id) WHERE side = 0),
+noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n_able FROM noisy)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN n_words >= 20 AND place <= 25 * n_able // 100 THEN place END AS rank FROM placed
 """,
 }
