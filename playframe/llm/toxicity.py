@@ -89,9 +89,12 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
 
     ``hits`` are the positions and scores of its tokens that don't cost ``drift``. A
     segment's score is a difference of two running totals; each step keeps those
-    candidates that no later one can absorb, so the scan is linear.
+    candidates that no later one can absorb. Each keeps a link to the nearest earlier
+    one whose total before it is smaller: a search follows links, so it passes no
+    candidate that an earlier search has passed, and the scan is linear.
     """
     found: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
+    link: list[int] = []
     total, at = 0.0, 0
     for i, score in hits:
         total -= drift * (i - at)
@@ -99,16 +102,15 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
         before, total = total, total + score
         if score <= 0:
             continue
-        first = i
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= before:
-                k -= 1
-            if k < 0 or found[k][3] >= total:
-                found.append((first, i, before, total))
-                break
-            first, before = found[k][0], found[k][2]
-            del found[k:]
+        first, k = i, len(found) - 1
+        while k >= 0 and found[k][2] >= before:
+            k = link[k]
+        while k >= 0 and found[k][3] < total:
+            first, before, up = found[k][0], found[k][2], link[k]
+            del found[k:], link[k:]
+            k = up
+        found.append((first, i, before, total))
+        link.append(k)
     return [(a, b, after - before) for a, b, before, after in found]
 
 
@@ -122,7 +124,12 @@ def held_out(row_id: str) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, row_id: str, text: str, label: str, sample: int) -> DataFrame:
-    """(y, half, text) of at most ``sample`` labelled ids that aren't held out; the ids are broadcast, which ``sample`` bounds."""
+    """(y, half, weight, text) of at most ``sample`` labelled ids that aren't held out.
+
+    The ids are broadcast, which ``sample`` bounds. Texts stay in Spark; what learning
+    brings to the driver is the units beyond the thresholds, of which whole texts of
+    ``sample`` rows can hold no more than they have words and prefixes.
+    """
     known = labels.where(F.col(f"`{label}`").isNotNull() & ~held_out(f"`{row_id}`")).groupBy(F.col(f"`{row_id}`").alias("_id")).agg(F.max(f"`{label}`").alias("y"))
     order = F.xxhash64(F.col("_id"), F.lit(17))
     chosen = known.select("_id", F.col("y").cast("int").alias("y"), order.alias("_order")).orderBy("_order").limit(sample)

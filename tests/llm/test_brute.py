@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 from collections import Counter
 
 import pytest
@@ -119,3 +120,42 @@ def test_windows_never_exceed_the_capacity():
         windows = packing.windows_of(sizes, 100)
         assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and all(sum(sizes[i] for i in w) <= 100 for w in windows)
         assert len(windows) <= -(-sum(sizes) // 100) * 2
+
+
+def lines_run(hits):
+    """How many lines the scan executes."""
+    n = 0
+
+    def trace(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        toxicity.maximal_segments(hits)
+    finally:
+        sys.settrace(before)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["isolated", "rising", "falling", "mixed"])
+def test_the_scan_is_linear(kind):
+    rng = random.Random(4)
+    make = {
+        "isolated": lambda n: [(50 * i, 2.0) for i in range(n)],
+        "rising": lambda n: [(2 * i, 1.0 + i / n) for i in range(n)],
+        "falling": lambda n: [(i, 1.0 if i % 2 else -1.5) for i in range(n)],
+        "mixed": lambda n: [(3 * i, rng.uniform(-2, 2)) for i in range(n)],
+    }[kind]
+    assert lines_run(make(20_000)) <= 4.3 * lines_run(make(5_000))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scan_equals_recursion_on_the_best(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        scores = [rng.choice([-0.05, -0.05, rng.uniform(-2, 2)]) for _ in range(rng.randint(1, 40))]
+        got = [s for *_, s in toxicity.maximal_segments([(i, s) for i, s in enumerate(scores) if s != -0.05])]
+        assert got == pytest.approx(best_segments(scores))
