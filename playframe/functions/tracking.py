@@ -7,13 +7,18 @@ never counts as agreement.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How far apart two team colours must be, and the pairs used where they aren't.
 LEAST_COLOR_DISTANCE = 120.0
 
 
+def run_keys(df: DataFrame) -> list[str]:
+    """The columns that keep runs apart: ``run_id`` where a table holds it. Frame, track and segment numbers begin anew in every run."""
+    return ["run_id"] if "run_id" in df.columns else []
+
+
 def between(t: Column, spans: Column) -> Column:
     """Whether ``t`` is in one of the half-open ``spans`` (array of structs ``start``, ``end``)."""
     return F.exists(spans, lambda s: (t >= s["start"]) & (t < s["end"]))

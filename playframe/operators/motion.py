@@ -70,116 +70,144 @@ def fitted_homographies(pairs: DataFrame, keys: Keys, threshold: float, samples:
     return pairs.groupBy(*keys).applyInPandas(fit, schema)
 
 
-#: Fixed values of the filter: noise as shares of the box height (centre x, y, aspect, height, and their speeds).
-INITIAL = np.array([0.1, 0.1, 0, 0.1, 0.0625, 0.0625, 0, 0.0625])
-PROCESS = np.array([0.05, 0.05, 0, 0.05, 0.00625, 0.00625, 0, 0.00625])
-MEASURED = np.array([0.05, 0.05, 0, 0.05])
-MOVES = np.eye(8) + np.eye(8, k=4)
-
-
-class _Body:
-    """A tracked box: state and covariance of (centre x, centre y, aspect, height) and their speeds."""
-
-    def __init__(self, number: int, box: np.ndarray, frame: int, active: bool):
-        self.number, self.start, self.last, self.active, self.lost = number, frame, frame, active, False
-        self.mean = np.concatenate([self.measure(box), np.zeros(4)])
-        self.spread = np.diag(self._noise(INITIAL, 1e-2) ** 2)
-
-    @staticmethod
-    def measure(box: np.ndarray) -> np.ndarray:
-        w, h = box[2] - box[0], box[3] - box[1]
-        return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, w / h, h])
-
-    def _noise(self, shares: np.ndarray, aspect: float) -> np.ndarray:
-        out = shares * self.mean[3]
-        out[2] = aspect
-        if len(out) == 8:
-            out[6] = 1e-5
-        return out
-
-    def predict(self) -> None:
-        if self.lost:
-            self.mean[7] = 0
-        noise = np.diag(self._noise(PROCESS, 1e-2) ** 2)
-        self.mean, self.spread = MOVES @ self.mean, MOVES @ self.spread @ MOVES.T + noise
-
-    def update(self, box: np.ndarray, frame: int) -> None:
-        seen = self.spread[:4, :4] + np.diag(self._noise(MEASURED, 0.1) ** 2)
-        gain = np.linalg.solve(seen, self.spread[:4]).T
-        self.mean = self.mean + gain @ (self.measure(box) - self.mean[:4])
-        self.spread = self.spread - gain @ seen @ gain.T
-        self.last, self.lost, self.active = frame, False, True
-
-    def box(self) -> np.ndarray:
-        x, y, aspect, h = self.mean[:4]
-        return np.array([x - aspect * h / 2, y - h / 2, x + aspect * h / 2, y + h / 2])
-
-
-def _matched(bodies: list[_Body], boxes: np.ndarray, limit: float) -> list[tuple[int, int]]:
+#: Fixed values of the box filter: deviations of centre x, centre y, aspect and height and of their speeds. Those marked 0 are
+#: absolute, as aspect has no unit; the others are shares of the box height. At the start, of each step, of a measurement.
+SHARES = {"start": (0.1, 0.1, 0, 0.1, 0.0625, 0.0625, 0, 0.0625), "step": (0.05, 0.05, 0, 0.05, 0.00625, 0.00625, 0, 0.00625), "seen": (0.05, 0.05, 0, 0.05)}
+ABSOLUTE = {"start": (0, 0, 1e-2, 0, 0, 0, 1e-5, 0), "step": (0, 0, 1e-2, 0, 0, 0, 1e-5, 0), "seen": (0, 0, 1e-1, 0)}
+#: A step moves each quantity by its speed; a measurement shows the quantities.
+STEP = np.eye(8) + np.eye(8, k=4)
+SHOWN = np.eye(4, 8)
+TENTATIVE, FOLLOWED, LOST = range(3)
+#: Limits of the second and third association, and the overlap of tracks on one body.
+WEAK_LIMIT, TENTATIVE_LIMIT, ONE_BODY = 0.5, 0.7, 0.85
+
+
+def predicted(mean: np.ndarray, spread: np.ndarray, step: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States (n, d) and covariances (n, d, d) of linear systems after one step."""
+    return mean @ step.T, step @ spread @ step.T + noise
+
+
+def corrected(mean: np.ndarray, spread: np.ndarray, seen: np.ndarray, shown: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States and covariances given measurements ``seen`` (n, m) of ``shown`` (m, d) times the state, of covariance ``noise``."""
+    cross = spread @ shown.T
+    gain = cross @ np.linalg.inv(shown @ cross + noise)
+    return mean + np.einsum("nij,nj->ni", gain, seen - mean @ shown.T), spread - gain @ np.swapaxes(cross, 1, 2)
+
+
+def _noise(kind: str, heights: np.ndarray) -> np.ndarray:
+    deviation = np.outer(heights, SHARES[kind]) + np.array(ABSOLUTE[kind])
+    return (deviation**2)[:, :, None] * np.eye(deviation.shape[1])
+
+
+def _measured(boxes: np.ndarray) -> np.ndarray:
+    w, h = (boxes[:, 2:] - boxes[:, :2]).T
+    return np.column_stack([(boxes[:, :2] + boxes[:, 2:]) / 2, w / h, h])
+
+
+def _boxes(mean: np.ndarray) -> np.ndarray:
+    half = np.column_stack([mean[:, 2] * mean[:, 3], mean[:, 3]]) / 2
+    return np.column_stack([mean[:, :2] - half, mean[:, :2] + half])
+
+
+class Tracks:
+    """The tracks of one key as columns: filter state, number, first and last frame, status."""
+
+    def __init__(self):
+        self.mean, self.spread = np.zeros((0, 8)), np.zeros((0, 8, 8))
+        self.info = np.zeros((0, 4), np.int64)  # number, first frame, last frame, status
+        self.count = 0
+
+    def of(self, *statuses: int) -> np.ndarray:
+        return np.flatnonzero(np.isin(self.info[:, 3], statuses))
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.mean, self.spread, self.info = self.mean[rows], self.spread[rows], self.info[rows]
+
+    def move(self) -> None:
+        """A step for tracks that have been confirmed; a lost one doesn't grow."""
+        rows = self.of(FOLLOWED, LOST)
+        self.mean[self.of(LOST), 7] = 0
+        self.mean[rows], self.spread[rows] = predicted(self.mean[rows], self.spread[rows], STEP, _noise("step", self.mean[rows, 3]))
+
+    def see(self, rows: np.ndarray, boxes: np.ndarray, frame: int) -> None:
+        self.mean[rows], self.spread[rows] = corrected(self.mean[rows], self.spread[rows], _measured(boxes), SHOWN, _noise("seen", self.mean[rows, 3]))
+        self.info[rows, 2:] = frame, FOLLOWED
+
+    def begin(self, boxes: np.ndarray, frame: int, status: int) -> np.ndarray:
+        fresh = np.column_stack([_measured(boxes), np.zeros((len(boxes), 4))])
+        numbers = self.count + 1 + np.arange(len(boxes))
+        self.count += len(boxes)
+        self.mean, self.spread = np.concatenate([self.mean, fresh]), np.concatenate([self.spread, _noise("start", fresh[:, 3])])
+        self.info = np.concatenate([self.info, np.column_stack([numbers, *(np.full(len(boxes), v) for v in (frame, frame, status))])])
+        return numbers
+
+    def apart(self) -> None:
+        """Of a followed and a lost track on one body the one that was seen over more frames stays, the lost one if equal."""
+        a, b = self.of(FOLLOWED), self.of(LOST)
+        over = np.argwhere(iou_matrix(_boxes(self.mean[a]), _boxes(self.mean[b])) > ONE_BODY) if len(a) and len(b) else []
+        age = self.info[:, 2] - self.info[:, 1]
+        gone = [b[j] if age[a[i]] > age[b[j]] else a[i] for i, j in over]
+        self.keep(np.setdiff1d(np.arange(len(self.info)), gone))
+
+
+def _matched(tracks: np.ndarray, boxes: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of least total cost 1 - IoU among those up to ``limit``."""
-    if not bodies or not len(boxes):
-        return []
-    cost = 1 - iou_matrix(np.array([b.box() for b in bodies]), boxes)
-    able = cost <= limit
-    return [(i, j) for i, j in assignment(np.where(able, cost - limit - 1, 0.0)) if able[i, j]]
+    if not len(tracks) or not len(boxes):
+        return np.zeros(0, int), np.zeros(0, int)
+    cost = 1 - iou_matrix(tracks, boxes)
+    pairs = [(i, j) for i, j in assignment(np.where(cost <= limit, cost - limit - 1, 0.0)) if cost[i, j] <= limit]
+    return tuple(np.array(pairs, int).reshape(-1, 2).T)
+
+
+def followed(rows: pd.DataFrame, high: float, low: float, new: float, match: float, buffer: int) -> np.ndarray:
+    """The track number of each of one key's boxes, in order of frames; 0 for none."""
+    tracks, out = Tracks(), []
+    # What is tried in turn: which tracks, which of the boxes that are left, up to which cost, and what becomes of tracks without a box.
+    stages = (((FOLLOWED, LOST), lambda s: s >= high, match, None), ((FOLLOWED,), lambda s: (s > low) & (s < high), WEAK_LIMIT, LOST), ((TENTATIVE,), lambda s: s >= high, TENTATIVE_LIMIT, "gone"))
+    for n, (frame, now) in enumerate(rows.groupby("frame_index", sort=True)):
+        fresh = n == 0 or bool(now["reset"].any())
+        boxes, scores = now[["x1", "y1", "x2", "y2"]].to_numpy(float), now["score"].to_numpy(float)
+        given, number = np.zeros(len(now), bool), np.zeros(len(now), np.int64)
+        tracks.keep(np.flatnonzero((frame - tracks.info[:, 2] <= buffer) & (not fresh)))
+        tracks.move()
+        waiting = np.ones(len(tracks.info), bool)
+        before = tracks.info[:, 3].copy()
+        for statuses, able, limit, missed in stages:
+            pool = np.flatnonzero(waiting & np.isin(before, statuses))
+            left = np.flatnonzero(able(scores) & ~given)
+            i, j = _matched(_boxes(tracks.mean[pool]), boxes[left], limit)
+            tracks.see(pool[i], boxes[left[j]], int(frame))
+            waiting[pool[i]], given[left[j]], number[left[j]] = False, True, tracks.info[pool[i], 0]
+            if missed == LOST:
+                tracks.info[pool[waiting[pool]], 3] = LOST
+        tracks.keep(np.flatnonzero(~(waiting & (before == TENTATIVE))))
+        left = np.flatnonzero(~given & (scores >= max(new, high)))
+        born = tracks.begin(boxes[left], int(frame), FOLLOWED if fresh else TENTATIVE)
+        if fresh:
+            number[left] = born
+        tracks.apart()
+        out.append(number)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def tracked(detections: DataFrame, keys: Keys, high: float = 0.25, low: float = 0.1, new: float = 0.25, match: float = 0.8, buffer: int = 30) -> DataFrame:
     """Detections (frame_index, id, score, x1, y1, x2, y2, reset) with ``track_id``, per key (a run and role) in the order of frames.
 
-    Three stages: known tracks with scores from ``high`` on (cost up to ``match``), those
-    still followed with lower ones (0.5), tentative ones with what is left of the high
-    (0.7). A box from ``new`` on that is left begins a track, tentative unless the frame
-    is the key's first or a reset. A lost track waits ``buffer`` frames. Of an active
-    and a lost track on one place (IoU over 0.85) the longer-lived stays. Detections
-    without a confirmed track have none. State passes from frame to frame, so a key,
-    one camera run, is one fold over its boxes.
+    Three stages: confirmed tracks with scores from ``high`` on (cost up to ``match``),
+    those followed so far with scores above ``low`` (0.5), tentative ones with what is
+    left of the high (0.7). A box from ``new`` on that is left begins a track, tentative
+    unless the frame is the key's first or a reset. A lost track waits ``buffer`` frames.
+    Of a followed and a lost track on one place (IoU over 0.85) the longer-lived stays.
+    Detections without a confirmed track have none. State passes from frame to frame, so
+    a key, one camera run, is one fold over its boxes.
     """
     kinds = dict(detections.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], f"frame_index long, id {kinds['id']}, track_id long"])
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame_index", "id"], kind="stable")
-        head = [rows[c].iloc[0] for c in keys] if len(rows) else []
-        bodies: list[_Body] = []
-        count, out = 0, []
-        for n, (frame, now) in enumerate(rows.groupby("frame_index", sort=True)):
-            fresh = n == 0 or bool(now["reset"].any())
-            bodies = [] if fresh else [b for b in bodies if frame - b.last <= buffer]
-            boxes, scores, ids = now[["x1", "y1", "x2", "y2"]].to_numpy(float), now["score"].to_numpy(float), now["id"].tolist()
-            for b in bodies:
-                b.predict()
-            strong, weak = np.flatnonzero(scores >= high), np.flatnonzero((scores >= low) & (scores < high))
-            given: dict[int, _Body] = {}
-
-            def meet(part: list[_Body], which: np.ndarray, limit: float) -> list[_Body]:
-                """Give boxes to tracks; the tracks that got none."""
-                pairs = _matched(part, boxes[which], limit)  # noqa: B023
-                for i, j in pairs:
-                    part[i].update(boxes[which[j]], frame)  # noqa: B023
-                    given[int(which[j])] = part[i]  # noqa: B023
-                got = {i for i, _ in pairs}
-                return [b for i, b in enumerate(part) if i not in got]
-
-            known, tentative = [b for b in bodies if b.active], [b for b in bodies if not b.active]
-            missed = meet(known, strong, match)
-            for b in meet([b for b in missed if not b.lost], weak, 0.5):
-                b.lost = True
-            left = np.array([j for j in strong if j not in given], int)
-            gone = meet(tentative, left, 0.7)
-            bodies = [b for b in bodies if b not in gone]
-            for j in left:
-                if j not in given and scores[j] >= new:
-                    count += 1
-                    given[int(j)] = _Body(count, boxes[j], int(frame), fresh)
-                    bodies.append(given[int(j)])
-            active, lost = [b for b in bodies if not b.lost], [b for b in bodies if b.lost]
-            if active and lost:
-                same = iou_matrix(np.array([b.box() for b in active]), np.array([b.box() for b in lost])) > 0.85
-                drop = {id(lost[j] if a.last - a.start >= lost[j].last - lost[j].start else a) for i, a in enumerate(active) for j in np.flatnonzero(same[i])}
-                bodies = [b for b in bodies if id(b) not in drop]
-            out += [(*head, frame, ids[j], given[j].number if j in given and given[j].active else None) for j in range(len(ids))]
-        return pd.DataFrame(out, columns=[*keys, "frame_index", "id", "track_id"]).astype({"track_id": "Int64"})
+        number = pd.Series(followed(rows, high, low, new, match, buffer), rows.index, dtype="Int64") if len(rows) else pd.Series([], dtype="Int64")
+        return rows[[*keys, "frame_index", "id"]].assign(track_id=number.where(number > 0))
 
     return detections.groupBy(*keys).applyInPandas(fold, schema)
 
@@ -192,33 +220,42 @@ def peaks(maps: DataFrame, keys: Keys, width: int, least: float = 0.5) -> DataFr
     kinds = dict(maps.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "x double, y double"])
 
-    def middle(cells) -> tuple[float | None, float | None]:
-        on = {i for i, v in enumerate(cells) if v is not None and v >= least}
-        best = (0, None, None)
-        while on:
-            todo = [min(on)]
-            on.remove(todo[0])
-            xs, ys = [], []
-            while todo:
-                y, x = divmod(todo.pop(), width)
-                xs.append(x)
-                ys.append(y)
-                for dy in (-1, 0, 1):
-                    for dx in (-1, 0, 1):
-                        i = (y + dy) * width + x + dx
-                        if 0 <= x + dx < width and i in on:
-                            on.remove(i)
-                            todo.append(i)
-            area = (max(xs) - min(xs) + 1) * (max(ys) - min(ys) + 1)
-            if area > best[0]:
-                best = (area, (min(xs) + max(xs) + 1) / 2, (min(ys) + max(ys) + 1) / 2)
-        return best[1:]
-
     def task(parts):
         for part in parts:
-            spots = [middle(c) for c in part["cells"]]
+            spots = [largest_region(np.array([np.nan if v is None else v for v in c], float), width, least) for c in part["cells"]]
             out = part[keys].copy()
             out["x"], out["y"] = (pd.array([s[i] for s in spots], "Float64") for i in (0, 1))
             yield out
 
     return maps.select(*keys, "cells").mapInPandas(task, schema)
+
+
+def largest_region(cells: np.ndarray, width: int, least: float) -> tuple[float | None, float | None]:
+    """The middle of the region of connected cells with the largest bounding box.
+
+    Every cell takes the smallest label around it, then labels of labels, until none changes.
+    """
+    on = (cells >= least).reshape(-1, width)
+    ys, xs = np.nonzero(on)
+    if not len(ys):
+        return None, None
+    place = np.full((on.shape[0] + 2, width + 2), -1)
+    place[ys + 1, xs + 1] = np.arange(len(ys))
+    near = np.stack([place[ys + 1 + dy, xs + 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    near = np.where(near < 0, np.arange(len(ys)), near)
+    label = np.arange(len(ys))
+    while True:
+        least_near = label[near].min(0)
+        np.minimum.at(least_near, label, least_near.copy())
+        least_near = least_near[least_near]
+        if np.array_equal(least_near, label):
+            break
+        label = least_near
+    first, of = np.unique(label, return_inverse=True)
+    low = np.full((2, len(first)), np.iinfo(np.int64).max)
+    high = np.full((2, len(first)), -1)
+    for axis, v in enumerate((xs, ys)):
+        np.minimum.at(low[axis], of, v)
+        np.maximum.at(high[axis], of, v)
+    best = int(np.argmax(np.prod(high - low + 1, axis=0)))
+    return tuple(((low[:, best] + high[:, best] + 1) / 2).tolist())

@@ -148,3 +148,28 @@ def switches(df: DataFrame, keys: Keys, order: str, value: str, ahead: int = 5,
         return rows.assign(episode=pd.array(out, "Int32"))[[*keys, order, value, "episode"]]
 
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(fold, schema)
+
+
+def spaced(df: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:
+    """The rows of a key that are at least ``least`` after the last one kept, the first on.
+
+    What is kept depends on what was kept before. Only stretches whose rows follow each
+    other by less than ``least`` need that fold: a row after a longer pause is kept
+    whatever came before, so each stretch is a group of its own.
+    """
+    w = W.partitionBy(*keys).orderBy(time)
+    free = F.coalesce(F.col(time) - F.lag(time).over(w) >= least, F.lit(True))
+    rows = df.withColumn("_free", free.cast("int")).withColumn("_stretch", F.sum("_free").over(w)).drop("_free")
+
+    def keep(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(time, kind="stable")
+        stay, last = [], float("-inf")
+        for t in part[time]:
+            stay.append(t - last >= least)
+            last = t if stay[-1] else last
+        return part[stay]
+
+    single = F.count(F.lit(1)).over(W.partitionBy(*keys, "_stretch"))
+    rows = rows.withColumn("_n", single)
+    dense = rows.where("_n > 1").groupBy(*keys, "_stretch").applyInPandas(keep, rows.schema)
+    return rows.where("_n = 1").unionByName(dense).drop("_stretch", "_n")
