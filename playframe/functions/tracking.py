@@ -19,6 +19,14 @@ def run_keys(df: DataFrame) -> list[str]:
     return ["run_id"] if "run_id" in df.columns else []
 
 
+def same_keys(keys: list[str]) -> Column:
+    """Equal keys on both sides of a join, the right ones marked by an underscore."""
+    on = F.lit(True)
+    for c in keys:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return on
+
+
 def between(t: Column, spans: Column) -> Column:
     """Whether ``t`` is in one of the half-open ``spans`` (array of structs ``start``, ``end``)."""
     return F.exists(spans, lambda s: (t >= s["start"]) & (t < s["end"]))

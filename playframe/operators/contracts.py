@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playframe.functions.geometry import mask_valid
-from playframe.functions.tracking import finite
+from playframe.functions.tracking import finite, run_keys
 
 STATUSES = ("ok", "partial", "unavailable", "disabled", "failed")
 #: Paths and hashes that annotations may carry.
@@ -61,28 +61,30 @@ def frame_violations(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 def statistics_violations(stats: DataFrame) -> DataFrame:
     """Subjects whose totals contradict each other, and subjects that come twice."""
+    key = [*run_keys(stats), "subject"]
     d, m, t = F.col("distance"), F.col("measured"), F.col("tracked")
     rules = {
         "measured_within_tracked": (m >= 0) & (m <= t + 1e-9), "distance_needs_measured": d.isNull() | ((d >= 0) & (m > 0)),
-        "unavailable_is_null": d.isNull() == (F.col("status") == "unavailable"), "unique_subject": F.count(F.lit(1)).over(W.partitionBy("subject")) == 1,
+        "unavailable_is_null": d.isNull() == (F.col("status") == "unavailable"), "unique_subject": F.count(F.lit(1)).over(W.partitionBy(*key)) == 1,
     }
-    return stats.select("subject", _broken(rules).alias("_r")).select("subject", F.explode("_r").alias("rule"))
+    return stats.select(*key, _broken(rules).alias("_r")).select(*key, F.explode("_r").alias("rule"))
 
 
-def sequence_violations(persons: DataFrame, run: str) -> DataFrame:
+def sequence_violations(persons: DataFrame, run: str | Column) -> DataFrame:
     """Per frame: tracks or identities that stand on several rows, and identities on rows where they are suppressed; ids that aren't run:frame:n."""
-    key = ["frame_index"]
+    key = [*run_keys(persons), "frame_index"]
+    run = F.lit(run) if isinstance(run, str) else run
     twice = lambda c, rule: persons.where(F.col(c).isNotNull()).groupBy(*key, c).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key, F.lit(rule).alias("rule"))
     hidden = persons.where(F.col("suppressed") & F.col("named").isNotNull()).select(*key, F.lit("suppressed_identity").alias("rule"))
-    ids = persons.where(~F.coalesce(F.col("observation_id") == F.concat_ws(":", F.lit(run), F.col("frame_index").cast("string"), F.col("n").cast("string")), F.lit(False))).select(*key, F.lit("observation_id").alias("rule"))
+    ids = persons.where(~F.coalesce(F.col("observation_id") == F.concat_ws(":", run, F.col("frame_index").cast("string"), F.col("n").cast("string")), F.lit(False))).select(*key, F.lit("observation_id").alias("rule"))
     return twice("track_id", "repeated_track").union(twice("named", "repeated_identity")).union(hidden).union(ids)
 
 
 def time_mismatches(frames: DataFrame, expected: DataFrame) -> DataFrame:
     """Frames whose time isn't the expected one, on either side; missing ones have a null."""
-    e = expected.select(F.col("frame_index").alias("_i"), F.col("timestamp_s").alias("expected_s"))
-    both = frames.select("frame_index", "timestamp_s").join(e, F.col("frame_index") == F.col("_i"), "full")
-    return both.where(~F.col("timestamp_s").eqNullSafe(F.col("expected_s"))).select(F.coalesce("frame_index", "_i").alias("frame_index"), "timestamp_s", "expected_s")
+    key = [*run_keys(frames), "frame_index"]
+    both = frames.select(*key, "timestamp_s").join(expected.select(*key, F.col("timestamp_s").alias("expected_s")), key, "full")
+    return both.where(~F.col("timestamp_s").eqNullSafe(F.col("expected_s")))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], fixed: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from playframe.functions.tracking import run_keys
 from playframe.operators.matching import BOX, _in_frames, iou_matrix
 
 #: Area ranges in source pixels, both ends inside.
@@ -257,8 +258,9 @@ def track_states(truths: DataFrame, matches: DataFrame) -> DataFrame:
     frame right before: a switch is another track than the last one matched, a
     fragmentation a match after a miss of one matched before.
     """
-    w = W.partitionBy("segment_id", "person_id").orderBy("frame_index")
-    rows = truths.join(matches, ["frame_index", "person_id"], "left")
+    runs = run_keys(truths)
+    w = W.partitionBy(*runs, "segment_id", "person_id").orderBy("frame_index")
+    rows = truths.join(matches, [*runs, "frame_index", "person_id"], "left")
     consecutive = F.coalesce(F.lag("frame_index").over(w) == F.col("frame_index") - 1, F.lit(False))
     last = F.last("track", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     matched = F.col("track").isNotNull()

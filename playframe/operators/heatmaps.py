@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playframe.functions.geometry import distance
+from playframe.functions.tracking import run_keys, same_keys
 from playframe.operators.aggregates import union_duration
 
 SPACING = 0.20
@@ -18,7 +19,7 @@ SPACING = 0.20
 
 def plans(frames: DataFrame) -> DataFrame:
     """Adds ``plan``, from 0: a new camera plan begins at a cut and where the segment changes. Partitioned by ``run_id`` where there is one."""
-    keys = ["run_id"] if "run_id" in frames.columns else []
+    keys = run_keys(frames)
     w = W.partitionBy(*keys).orderBy("frame_index")
     new = F.coalesce(F.col("scene_cut"), F.lit(False)) | F.coalesce(F.col("segment_id") != F.lag("segment_id").over(w), F.lit(True))
     return frames.withColumn("plan", F.sum(new.cast("int")).over(w) - 1)
@@ -34,10 +35,11 @@ def intervals(persons: DataFrame, max_gap: float = 0.2, max_speed: float = 12.0)
     Points are void across another ground method and where the step is too fast.
     """
     rows = persons.where((F.col("role") == "player") & F.col("track_id").isNotNull())
-    n = lambda *keys: F.count(F.lit(1)).over(W.partitionBy("frame_index", *keys))
+    runs = run_keys(persons)
+    n = lambda *keys: F.count(F.lit(1)).over(W.partitionBy(*runs, "frame_index", *keys))
     rows = rows.where(F.col("frame_index").isNotNull()).withColumn("_tracks", n("track_id")).withColumn("_subjects", n("subject"))
     rows = rows.where((F.col("_tracks") == 1) & (F.col("subject").isNull() | (F.col("_subjects") == 1)) & F.col("team").isNotNull()).drop("_tracks", "_subjects")
-    w = W.partitionBy("plan", "track_id").orderBy("frame_index")
+    w = W.partitionBy(*runs, "plan", "track_id").orderBy("frame_index")
     rows = rows.withColumn("_p", F.lag(F.struct("frame_index", "timestamp_s", "included", "team", "subject", "x", "y", "ground_point_method")).over(w))
     dt = F.col("timestamp_s") - F.col("_p.timestamp_s")
     pair = (F.col("_p.frame_index") == F.col("frame_index") - 1) & F.col("included") & F.col("_p.included") & (dt > 0) & (dt <= max_gap + 1e-9)
@@ -46,66 +48,69 @@ def intervals(persons: DataFrame, max_gap: float = 0.2, max_speed: float = 12.0)
     sound = step.isNotNull() & F.col("ground_point_method").eqNullSafe(F.col("_p.ground_point_method")) & (step / dt <= max_speed)
     point = lambda c: F.when(sound, F.col(c))
     return rows.where(pair).select(
-        "plan", "track_id", "frame_index", "team", "subject", F.col("_p.timestamp_s").alias("start"), F.col("timestamp_s").alias("end"),
+        *runs, "plan", "track_id", "frame_index", "team", "subject", F.col("_p.timestamp_s").alias("start"), F.col("timestamp_s").alias("end"),
         point("_p.x").alias("x1"), point("_p.y").alias("y1"), point("x").alias("x2"), point("y").alias("y2"), *([c for c in ("segment_id",) if c in rows.columns]),
     )
 
 
 def with_distance(found: DataFrame, contributions: DataFrame) -> DataFrame:
     """Adds ``distance`` of the contribution that measures the same interval: equal track, frame and subject, start and length within 1e-6."""
+    runs = run_keys(found)
     own = contributions.select(
+        *[F.col(c).alias(f"_{c}") for c in runs],
         F.col("segment_id").alias("_s"), F.col("track_id").alias("_t"), F.col("frame_index").alias("_f"), F.col("subject").alias("_who"),
         F.col("distance").alias("_d"), F.col("interval_start").alias("_from"), F.col("measured").alias("_m"), F.col("reason").alias("_r"),
     )
-    rows = found.join(own, (F.col("segment_id") == F.col("_s")) & (F.col("track_id") == F.col("_t")) & (F.col("frame_index") == F.col("_f")), "left")
+    rows = found.join(own, same_keys(runs) & (F.col("segment_id") == F.col("_s")) & (F.col("track_id") == F.col("_t")) & (F.col("frame_index") == F.col("_f")), "left")
     same = F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("_r").isNull() & (F.col("_d") >= 0) & (F.abs(F.col("_from") - F.col("start")) <= 1e-6)
     same = same & (F.abs(F.col("_m") - (F.col("end") - F.col("start"))) <= 1e-6) & (F.col("subject").isNull() | (F.col("subject") == F.col("_who")))
-    return rows.withColumn("distance", F.when(same, F.col("_d"))).drop("_s", "_t", "_f", "_who", "_d", "_from", "_m", "_r")
+    return rows.withColumn("distance", F.when(same, F.col("_d"))).drop(*[f"_{c}" for c in runs], "_s", "_t", "_f", "_who", "_d", "_from", "_m", "_r")
 
 
 def with_phases(found: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``owner``, ``direction`` and ``episode`` of the phase span that ends at the interval's frame, as both are made of the same pairs of frames."""
-    own = spans.select(F.col("plan").alias("_p"), F.col("frame_index").alias("_f"), "owner", "direction", "episode")
-    return found.join(own, (F.col("plan") == F.col("_p")) & (F.col("frame_index") == F.col("_f")), "left").drop("_p", "_f")
+    runs = run_keys(found)
+    own = spans.select(*[F.col(c).alias(f"_{c}") for c in runs], F.col("plan").alias("_p"), F.col("frame_index").alias("_f"), "owner", "direction", "episode")
+    return found.join(own, same_keys(runs) & (F.col("plan") == F.col("_p")) & (F.col("frame_index") == F.col("_f")), "left").drop(*[f"_{c}" for c in runs], "_p", "_f")
 
 
 def clipped(found: DataFrame, start: float, end: float, length: float, width: float, half: bool) -> DataFrame:
-    """Intervals cut to [start, end): ``seconds``, ``kept`` (of it, inside the half) and the kept path; without points these are null.
+    """Intervals cut to [start, end): ``seconds``, ``localized`` and ``kept`` (of these inside the half), the kept path (ax, ay) to (bx, by) and its times.
 
     With ``half`` an interval of direction -1 is turned by 180 degrees, and only the
     right half counts, its line moved to 0; an interval without direction has no path.
+    A place on the way is a share of the interval, so a cut is a range of shares: the
+    query's range, less what lies before or behind the half line.
     """
     rows = found.withColumn("_a", F.greatest("start", F.lit(start))).withColumn("_b", F.least("end", F.lit(end))).where("_b > _a")
-    rows = rows.withColumn("seconds", F.col("_b") - F.col("_a"))
     span = F.col("end") - F.col("start")
-    located = F.col("x1").isNotNull() & F.col("x2").isNotNull()
-    turned = F.lit(False)
+    on_court = F.col("x1").isNotNull() & F.col("x2").isNotNull()
+    turned, line = F.lit(False), 0.0
     if half:
-        located, turned = located & F.col("direction").isNotNull(), F.col("direction") == -1
-
-    def at(axis: str, moment: str, extent: float) -> Column:
-        share = (F.col(moment) - F.col("start")) / span
-        v = F.col(f"{axis}1") + share * (F.col(f"{axis}2") - F.col(f"{axis}1"))
-        return F.when(located, F.when(turned, extent - v).otherwise(v))
-
-    for name, axis, moment, extent in (("px", "x", "_a", length), ("py", "y", "_a", width), ("qx", "x", "_b", length), ("qy", "y", "_b", width)):
-        rows = rows.withColumn(name, at(axis, moment, extent))
-    line = length / 2 if half else 0.0
-    cross = (line - F.col("px")) / F.nullif(F.col("qx") - F.col("px"), F.lit(0.0))
-    inside = ~((F.col("px") < line) & (F.col("qx") < line))
-    enter, leave = F.when(F.col("px") < line, cross).otherwise(0.0), F.when(F.col("qx") < line, cross).otherwise(1.0)
-    rows = rows.withColumn("_in", F.when(located & inside, enter)).withColumn("_out", F.when(located & inside, leave))
-    rows = rows.withColumn("localized", F.when(located, F.col("seconds")).otherwise(0.0)).withColumn("kept", F.coalesce(F.col("seconds") * (F.col("_out") - F.col("_in")), F.lit(0.0)))
-    rows = rows.withColumn("_from", F.col("_a") + F.col("seconds") * F.col("_in")).withColumn("_to", F.col("_a") + F.col("seconds") * F.col("_out"))
-    for name, p, q, share, off in (("ax", "px", "qx", "_in", line), ("ay", "py", "qy", "_in", 0.0), ("bx", "px", "qx", "_out", line), ("by", "py", "qy", "_out", 0.0)):
-        rows = rows.withColumn(name, F.col(p) + F.col(share) * (F.col(q) - F.col(p)) - off)
-    return rows.drop("px", "py", "qx", "qy", "_in", "_out")
+        on_court, turned, line = on_court & F.col("direction").isNotNull(), F.coalesce(F.col("direction") == -1, F.lit(False)), length / 2
+    at = lambda c, extent: F.when(on_court, F.when(turned, extent - F.col(c)).otherwise(F.col(c)) - (line if extent == length else 0.0))
+    rows = rows.withColumns({
+        "seconds": F.col("_b") - F.col("_a"), "_lo": (F.col("_a") - F.col("start")) / span, "_hi": (F.col("_b") - F.col("start")) / span,
+        "_x": at("x1", length), "_y": at("y1", width), "_dx": at("x2", length) - at("x1", length), "_dy": at("y2", width) - at("y1", width),
+    })
+    if half:
+        cross = -F.col("_x") / F.nullif(F.col("_dx"), F.lit(0.0))
+        outside = F.col("_dx").eqNullSafe(F.lit(0.0)) & (F.col("_x") < 0)
+        rows = rows.withColumns({"_lo": F.when(F.col("_dx") > 0, F.greatest("_lo", cross)).otherwise(F.col("_lo")), "_hi": F.when(outside, None).when(F.col("_dx") < 0, F.least("_hi", cross)).otherwise(F.col("_hi"))})
+    inside = F.col("_hi") >= F.col("_lo")
+    point = lambda c, share: F.when(inside, F.col(f"_{c}") + F.col(share) * F.col(f"_d{c}"))
+    moment = lambda share: F.when(inside & on_court, F.col("start") + F.col(share) * span)
+    rows = rows.withColumns({
+        "localized": F.when(on_court, F.col("seconds")).otherwise(0.0), "kept": F.coalesce(F.when(inside & on_court, (F.col("_hi") - F.col("_lo")) * span), F.lit(0.0)), "_from": moment("_lo"), "_to": moment("_hi"),
+        "ax": point("x", "_lo"), "ay": point("y", "_lo"), "bx": point("x", "_hi"), "by": point("y", "_hi"),
+    })
+    return rows.drop("_lo", "_hi", "_x", "_y", "_dx", "_dy")
 
 
 def cells(rows: DataFrame, keys: list[str], weight: Column, length: float, width: float, nx: int, ny: int) -> DataFrame:
     """Mass per grid cell: each kept path as ceil(length / 0.2) points in the middle of its parts, which share its weight."""
     path = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    rows = rows.withColumn("_w", weight).where("ax is not null and _w > 0").withColumn("_n", F.greatest(F.lit(1), F.ceil(path / SPACING)).cast("int"))
+    rows = rows.select(*keys, "ax", "ay", "bx", "by", weight.alias("_w"), F.greatest(F.lit(1), F.ceil(path / SPACING)).cast("int").alias("_n")).where("ax is not null and _w > 0")
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     share = (F.col("_i") + 0.5) / F.col("_n")
     spot = lambda a, b, extent, n: F.least(F.lit(n - 1), F.floor((F.col(a) + share * (F.col(b) - F.col(a))) / extent * n)).cast("int")

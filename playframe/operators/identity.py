@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playframe.functions.geometry import distance, foot_distance
+from playframe.functions.tracking import run_keys, same_keys
 from playframe.operators.aggregates import majority
 
 TRACK = ["segment_id", "track_id"]
@@ -52,6 +53,11 @@ def nearest_in_frames(left: DataFrame, right: DataFrame, keys: list[str], frame:
     return met.groupBy("_id", *left.columns).agg(near.alias("_n")).select(*left.columns, F.col("_n._v").alias("nearest"))
 
 
+def tracks_of(df: DataFrame) -> list[str]:
+    """The key of a track: its number within a segment, within a run where there are several."""
+    return [*run_keys(df), *TRACK]
+
+
 def assignments(reads: DataFrame, roster: DataFrame, teams: DataFrame, colors: DataFrame, least_confidence: float = 0.8) -> DataFrame:
     """Per track the roster player it is: ``team, number, name, share, method``.
 
@@ -64,55 +70,59 @@ def assignments(reads: DataFrame, roster: DataFrame, teams: DataFrame, colors: D
     at the frames of the reads must not contradict; on tracks of mixed colours they must
     agree.
     """
+    track = tracks_of(reads)
     numbers = roster.select("number").distinct()
     kept = reads.where(F.col("confidence") >= least_confidence).join(numbers, "number", "left_semi")
-    vote = majority(kept, TRACK, "number", "frame_index", min_votes=3, min_share=0.6).where("winner is not null").select(*TRACK, F.col("winner").alias("number"), "share")
-    strong = kept.where("confidence >= 0.95").join(vote.select(*TRACK, F.col("number").alias("_won")), TRACK)
+    vote = majority(kept, track, "number", "frame_index", min_votes=3, min_share=0.6).where("winner is not null").select(*track, F.col("winner").alias("number"), "share")
+    strong = kept.where("confidence >= 0.95").join(vote.select(*track, F.col("number").alias("_won")), track)
     sure = F.when(F.col("number") == F.col("_won"), F.col("frame_index"))
-    strong = strong.groupBy(*TRACK).agg(F.count_distinct(sure).alias("_frames"), (F.max(sure) - F.min(sure)).alias("_span"), F.max((F.col("number") != F.col("_won")).cast("int")).alias("_other"))
-    local = nearest_in_frames(kept.join(vote.select(*TRACK, "number"), [*TRACK, "number"], "left_semi").select(*TRACK, "frame_index"), colors, TRACK, "frame_index", "color")
-    local = majority(local, TRACK, "nearest", "frame_index", min_votes=2, min_share=0.6).select(*TRACK, F.col("winner").alias("_local"))
+    strong = strong.groupBy(*track).agg(F.count_distinct(sure).alias("_frames"), (F.max(sure) - F.min(sure)).alias("_span"), F.max((F.col("number") != F.col("_won")).cast("int")).alias("_other"))
+    local = nearest_in_frames(kept.join(vote.select(*track, "number"), [*track, "number"], "left_semi").select(*track, "frame_index"), colors, track, "frame_index", "color")
+    local = majority(local, track, "nearest", "frame_index", min_votes=2, min_share=0.6).select(*track, F.col("winner").alias("_local"))
     candidates = roster.withColumn("_same", F.count(F.lit(1)).over(W.partitionBy("number")))
-    rows = vote.join(teams.withColumnsRenamed({"team": "_team"}), TRACK, "left").join(strong, TRACK, "left").join(local, TRACK, "left").join(candidates, "number")
+    rows = vote.join(teams.withColumnsRenamed({"team": "_team"}), track, "left").join(strong, track, "left").join(local, track, "left").join(candidates, "number")
     seen = F.map_keys(F.map_filter(F.coalesce("counts", F.create_map().cast("map<string,bigint>")), lambda _, n: n > 0))
     single = (F.col("_same") == 1) & (F.col("share") >= 0.9) & (F.col("_frames") >= 3) & (F.col("_span") >= 4) & (F.col("_other") == 0) & (seen == F.array("team"))
     method = F.when(F.col("_team") == F.col("team"), "number_and_team").when(F.col("_team").isNull() & F.coalesce(single, F.lit(False)), "unique_number_corroborated")
     agrees = F.when(F.col("_local").isNotNull(), F.col("_local") == F.col("team")).otherwise(~F.coalesce("mixed", F.lit(False)))
-    return rows.withColumn("method", method).where(F.col("method").isNotNull() & agrees).select(*TRACK, "team", "number", "name", "share", "method")
+    return rows.withColumn("method", method).where(F.col("method").isNotNull() & agrees).select(*track, "team", "number", "name", "share", "method")
 
 
 def spans(persons: DataFrame) -> DataFrame:
     """Tracks cut where a frame is missing: adds ``span``, and one row per span from ``span_ends``."""
     from playframe.operators.sequence import islands
 
-    return islands(persons.where("role = 'player' and track_id is not null"), TRACK, "frame_index", 1).withColumnRenamed("island", "span")
+    return islands(persons.where("role = 'player' and track_id is not null"), tracks_of(persons), "frame_index", 1).withColumnRenamed("island", "span")
 
 
 def span_ends(rows: DataFrame, votes: DataFrame) -> DataFrame:
     """Per span its first and last frame, time and box, its number of frames, and its colour: three votes with 80 % of them, else null."""
+    track = tracks_of(rows)
     first, last = ((f(F.struct("frame_index", F.col("timestamp_s").alias("t"), F.col("box").alias("box")))) for f in (F.min, F.max))
-    ends = rows.groupBy(*TRACK, "span").agg(first.alias("first"), last.alias("last"), F.count(F.lit(1)).alias("frames"))
-    own = rows.select(*TRACK, "span", "frame_index").join(votes, [*TRACK, "frame_index"])
-    color = majority(own, [*TRACK, "span"], "color", "frame_index", min_votes=3, min_share=0.8).select(*TRACK, "span", F.col("winner").alias("color"))
-    return ends.join(color, [*TRACK, "span"], "left")
+    ends = rows.groupBy(*track, "span").agg(first.alias("first"), last.alias("last"), F.count(F.lit(1)).alias("frames"))
+    own = rows.select(*track, "span", "frame_index").join(votes, [*track, "frame_index"])
+    color = majority(own, [*track, "span"], "color", "frame_index", min_votes=3, min_share=0.8).select(*track, "span", F.col("winner").alias("color"))
+    return ends.join(color, [*track, "span"], "left")
 
 
 def direct_spans(rows: DataFrame, assigned: DataFrame, votes: DataFrame) -> DataFrame:
     """Frames that a track's player is known on: whole spans with five votes of the team's colour and none of another, where no other track of the player is in the frame."""
-    own = rows.join(assigned, TRACK).join(votes, [*TRACK, "frame_index"], "left")
-    w = W.partitionBy(*TRACK, "span")
+    track, runs = tracks_of(rows), run_keys(rows)
+    own = rows.join(assigned, track).join(votes, [*track, "frame_index"], "left")
+    w = W.partitionBy(*track, "span")
     same, other = F.sum((F.col("color") == F.col("team")).cast("int")).over(w), F.sum((F.col("color") != F.col("team")).cast("int")).over(w)
     pure = own.withColumn("_same", F.coalesce(same, F.lit(0))).withColumn("_other", F.coalesce(other, F.lit(0))).where("_same >= 5 and _other = 0")
-    held = F.count(F.lit(1)).over(W.partitionBy("segment_id", "frame_index", "team", "number"))
-    return pure.withColumn("_n", held).where("_n = 1").select(*TRACK, "span", "frame_index", "team", "number")
+    held = F.count(F.lit(1)).over(W.partitionBy(*runs, "segment_id", "frame_index", "team", "number"))
+    return pure.withColumn("_n", held).where("_n = 1").select(*track, "span", "frame_index", "team", "number")
 
 
 def crowded(rows: DataFrame, at: DataFrame) -> DataFrame:
     """Of the persons ``at`` (segment_id, frame_index, track_id, box, team) those with another player within 0.65 body heights whose colour isn't known to be another team's."""
-    other = rows.select("segment_id", "frame_index", F.col("track_id").alias("_k"), F.col("box").alias("_box"), F.col("color").alias("_color"))
+    runs = run_keys(rows)
+    other = rows.select(*runs, "segment_id", "frame_index", F.col("track_id").alias("_k"), F.col("box").alias("_box"), F.col("color").alias("_color"))
     box = lambda c: [F.col(c)[i] for i in range(4)]
     near = (F.col("track_id") != F.col("_k")) & (foot_distance(box("box"), box("_box")) < CROWD) & (F.col("_color").isNull() | (F.col("_color") == F.col("team")))
-    return at.join(other, ["segment_id", "frame_index"]).where(near).select(*at.columns).distinct()
+    return at.join(other, [*runs, "segment_id", "frame_index"]).where(near).select(*at.columns).distinct()
 
 
 def handoffs(ends: DataFrame, named: DataFrame, cuts: DataFrame, crowd: DataFrame) -> DataFrame:
@@ -126,12 +136,14 @@ def handoffs(ends: DataFrame, named: DataFrame, cuts: DataFrame, crowd: DataFram
     no crowd at either end. A source and a target with more than one partner have none,
     and links of one player that overlap in time are both dropped.
     """
-    source = ends.join(named, [*TRACK, "span"]).where(F.col("color").isNull() | (F.col("color") == F.col("team")))
-    target = ends.join(named, [*TRACK, "span"], "left_anti").where(F.col("frames") >= LEAST_FRAMES)
-    target = target.select("segment_id", F.col("track_id").alias("to_track"), F.col("span").alias("to_span"), F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("color").alias("_color"))
+    track, runs = tracks_of(ends), run_keys(ends)
+    segment = [*runs, "segment_id"]
+    source = ends.join(named, [*track, "span"]).where(F.col("color").isNull() | (F.col("color") == F.col("team")))
+    target = ends.join(named, [*track, "span"], "left_anti").where(F.col("frames") >= LEAST_FRAMES)
+    target = target.select(*segment, F.col("track_id").alias("to_track"), F.col("span").alias("to_span"), F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("color").alias("_color"))
     # Both ends are put into buckets of the longest gap: an end meets the begins of its own bucket and the next.
     source = source.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("last.t") / MAX_GAP), F.floor(F.col("last.t") / MAX_GAP) + 1)))
-    met = source.join(target.withColumn("_bucket", F.floor(F.col("_first.t") / MAX_GAP)), ["segment_id", "_bucket"])
+    met = source.join(target.withColumn("_bucket", F.floor(F.col("_first.t") / MAX_GAP)), [*segment, "_bucket"])
     gap = F.col("_first.t") - F.col("last.t")
     a, b = ([F.col(c)[i] for i in range(4)] for c in ("last.box", "_first.box"))
     heights = [x[3] - x[1] for x in (a, b)]
@@ -139,15 +151,15 @@ def handoffs(ends: DataFrame, named: DataFrame, cuts: DataFrame, crowd: DataFram
     rows = met.withColumn("gap", gap).withColumn("distance", away)
     rows = rows.where((F.col("gap") > 0) & (F.col("gap") <= MAX_GAP + 1e-9) & (F.col("track_id") != F.col("to_track")) & (F.col("distance") <= F.least(F.lit(MAX_DISTANCE), BASE_DISTANCE + F.col("gap"))))
     rows = rows.where((F.least(*heights) / F.greatest(*heights) >= HEIGHT_RATIO) & (F.col("_color").isNull() | (F.col("_color") == F.col("team"))))
-    cut = cuts.select(F.col("segment_id").alias("_s"), F.col("frame_index").alias("_cut"))
-    rows = rows.join(cut, (F.col("segment_id") == F.col("_s")) & (F.col("_cut") > F.col("last.frame_index")) & (F.col("_cut") <= F.col("_first.frame_index")), "left_anti")
+    cut = cuts.select(*[F.col(c).alias(f"_{c}") for c in segment], F.col("frame_index").alias("_cut"))
+    rows = rows.join(cut, same_keys(segment) & (F.col("_cut") > F.col("last.frame_index")) & (F.col("_cut") <= F.col("_first.frame_index")), "left_anti")
     for track, frame in (("track_id", "last.frame_index"), ("to_track", "_first.frame_index")):
-        c = crowd.select(F.col("segment_id").alias("_s"), F.col("frame_index").alias("_f"), F.col("track_id").alias("_k"))
-        rows = rows.join(c, (F.col("segment_id") == F.col("_s")) & (F.col(frame) == F.col("_f")) & (F.col(track) == F.col("_k")), "left_anti")
+        c = crowd.select(*[F.col(c).alias(f"_{c}") for c in segment], F.col("frame_index").alias("_f"), F.col("track_id").alias("_k"))
+        rows = rows.join(c, same_keys(segment) & (F.col(frame) == F.col("_f")) & (F.col(track) == F.col("_k")), "left_anti")
     n = F.count(F.lit(1))
-    rows = rows.withColumn("_from", n.over(W.partitionBy(*TRACK, "span"))).withColumn("_to", n.over(W.partitionBy("segment_id", "to_track", "to_span"))).where("_from = 1 and _to = 1")
-    rows = rows.select(*TRACK, "span", "to_track", "to_span", "team", "number", F.round("gap", 4).alias("gap"), F.round("distance", 4).alias("distance"), F.col("_first.t").alias("start"), F.col("_last.t").alias("end"))
-    return without_overlaps(rows, ["segment_id", "team", "number"], "start", "end").drop("start", "end")
+    rows = rows.withColumn("_from", n.over(W.partitionBy(*track, "span"))).withColumn("_to", n.over(W.partitionBy(*segment, "to_track", "to_span"))).where("_from = 1 and _to = 1")
+    rows = rows.select(*track, "span", "to_track", "to_span", "team", "number", F.round("gap", 4).alias("gap"), F.round("distance", 4).alias("distance"), F.col("_first.t").alias("start"), F.col("_last.t").alias("end"))
+    return without_overlaps(rows, [*segment, "team", "number"], "start", "end").drop("start", "end")
 
 
 def without_overlaps(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Persons are rows (frame_index, timestamp_s, segment_id, included, track_id, role, x, y,
 position_status, ground_point_method, named), ``named`` being the (team, number) struct
-of ``functions.tracking.identity``. A pair is measured only between consecutive frames
+of ``functions.tracking.identity``. Where they have a ``run_id`` column, runs are kept
+apart. A pair is measured only between consecutive frames
 of one track; a step that isn't measured restarts filter and anchor at the raw point.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def with_subjects(persons: DataFrame) -> DataFrame:
     Identities are counted over all tracked players, of excluded frames too.
     """
     rows = persons.where((F.col("role") == "player") & F.col("track_id").isNotNull())
-    holders = F.count(F.lit(1)).over(W.partitionBy("frame_index", "named"))
+    holders = F.count(F.lit(1)).over(W.partitionBy(*tracking.run_keys(persons), "frame_index", "named"))
     rows = rows.withColumn("conflict", F.col("named").isNotNull() & (holders > 1))
     who = F.when(~F.col("conflict"), F.col("named"))
     return rows.withColumn("named", who).withColumn("subject", tracking.subject(who, F.col("segment_id"), F.col("track_id")))
@@ -41,7 +42,8 @@ def contributions(persons: DataFrame, tau: float = 0.12, deadband: float = 0.025
     missing), another ground method, too fast a step. ``interval_start`` marks rows
     without a row of their track in the frame before.
     """
-    w = W.partitionBy(*TRACK).orderBy("frame_index")
+    track = [*tracking.run_keys(persons), *TRACK]
+    w = W.partitionBy(*track).orderBy("frame_index")
     rows = with_subjects(persons).where("included")
     before = F.lag(F.struct("frame_index", "timestamp_s", "x", "y", "ground_point_method", "subject", "conflict")).over(w)
     rows = rows.withColumn("_p", before).withColumn("_p", F.when(F.col("_p.frame_index") == F.col("frame_index") - 1, F.col("_p")))
@@ -81,16 +83,17 @@ def contributions(persons: DataFrame, tau: float = 0.12, deadband: float = 0.025
                 anchor = spot
         return part.assign(distance=pd.array(out, "Float64"))
 
-    return rows.groupBy(*TRACK, "_run").applyInPandas(filtered, rows.schema).drop("_run", "_step")
+    return rows.groupBy(*track, "_run").applyInPandas(filtered, rows.schema).drop("_run", "_step")
 
 
 def statistics(rows: DataFrame) -> DataFrame:
-    """Per subject of ``contributions``: distance, durations, coverage, status, ``excluded`` (reason to count), ``warnings`` and ``tracks``.
+    """Per subject (and run) of ``contributions``: distance, durations, coverage, status, ``excluded`` (reason to count), ``warnings`` and ``tracks``.
 
     Null is not zero: without a measured pair there is no distance. A track of a subject
     that comes back after a missing frame is excluded once as ``tracking_gap``.
     """
-    again = F.lag("frame_index").over(W.partitionBy("subject", *TRACK).orderBy("frame_index"))
+    who = [*tracking.run_keys(rows), "subject"]
+    again = F.lag("frame_index").over(W.partitionBy(*who, *TRACK).orderBy("frame_index"))
     rows = rows.withColumn("_gap", F.coalesce(again < F.col("frame_index") - 1, F.lit(False)))
     left_out = F.when(F.col("reason") != "interval_start", F.col("reason"))
     notes = F.array_compact(F.array(
@@ -99,17 +102,17 @@ def statistics(rows: DataFrame) -> DataFrame:
     ))
     counted = rows.withColumn("_why", F.array_compact(F.array(left_out, F.when(F.col("_gap"), F.lit("tracking_gap"))))).withColumn("_notes", notes)
     # Two levels: sums per track before they meet in their subject, and reasons counted before they become a map.
-    by_track = counted.groupBy("subject", *TRACK).agg(
+    by_track = counted.groupBy(*who, *TRACK).agg(
         F.sum("distance").alias("distance"), F.sum("tracked").alias("tracked"), F.sum("measured").alias("measured"),
         F.count(F.when(F.col("reason").isNull(), 1)).alias("pairs"), F.array_distinct(F.flatten(F.collect_set("_notes"))).alias("_notes"),
     )
-    totals = by_track.groupBy("subject").agg(
+    totals = by_track.groupBy(*who).agg(
         F.sum("distance").alias("distance"), F.sum("tracked").alias("tracked"), F.sum("measured").alias("measured"), F.sum("pairs").alias("pairs"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("_notes")))).alias("warnings"), F.sort_array(F.collect_list(F.struct(*TRACK))).alias("tracks"),
     )
-    reasons = counted.select("subject", F.explode("_why").alias("_r")).groupBy("subject", "_r").agg(F.count(F.lit(1)).alias("_n"))
-    reasons = reasons.groupBy("subject").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_r", "_n")))).alias("excluded"))
-    out = totals.join(reasons, "subject", "left").withColumn("distance", F.when(F.col("pairs") > 0, F.col("distance")))
+    reasons = counted.select(*who, F.explode("_why").alias("_r")).groupBy(*who, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    reasons = reasons.groupBy(*who).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_r", "_n")))).alias("excluded"))
+    out = totals.join(reasons, who, "left").withColumn("distance", F.when(F.col("pairs") > 0, F.col("distance")))
     status = F.when(F.col("pairs") == 0, "unavailable").when(F.col("measured") < F.col("tracked") - 1e-9, "partial").otherwise("ok")
     empty = F.create_map().cast("map<string,bigint>")
     return out.withColumn("coverage", F.try_divide("measured", F.nullif("tracked", F.lit(0.0)))).withColumn("status", status).withColumn("excluded", F.coalesce("excluded", empty))
@@ -118,9 +121,9 @@ def statistics(rows: DataFrame) -> DataFrame:
 def order_violations(frames: DataFrame) -> DataFrame:
     """Frames that don't follow the one before: ``index`` (not the next), ``time`` (not later) or ``segment`` (smaller); the first must have index 0.
 
-    One window over all frames of a run: partition by ``run_id`` where there are several.
+    One window over all frames of a run; without a ``run_id`` the table is one run.
     """
-    keys = ["run_id"] if "run_id" in frames.columns else []
+    keys = tracking.run_keys(frames)
     w = W.partitionBy(*keys).orderBy("frame_index")
     back = lambda c: F.lag(c).over(w)
     index = F.coalesce(F.col("frame_index") != back("frame_index") + 1, F.col("frame_index") != 0)
@@ -130,10 +133,10 @@ def order_violations(frames: DataFrame) -> DataFrame:
     return frames.select(*keys, "frame_index", rule.alias("rule")).where("rule is not null")
 
 
-def metrics_at(rows: DataFrame, frame: int) -> DataFrame:
-    """The leaderboard at a frame: per subject its running totals up to the last row not after it; measured subjects first, longest distance on top."""
+def metrics_at(rows: DataFrame, frame: int | Column) -> DataFrame:
+    """The leaderboard at a frame, a number or a column: per subject (and run) its running totals up to the last row not after it; measured subjects first, longest distance on top."""
     upto = rows.where(F.col("frame_index") <= frame)
-    sums = upto.groupBy("subject").agg(F.sum("distance").alias("distance"), F.sum("measured").alias("measured"), F.max("frame_index").alias("last_frame"))
+    sums = upto.groupBy(*tracking.run_keys(rows), "subject").agg(F.sum("distance").alias("distance"), F.sum("measured").alias("measured"), F.max("frame_index").alias("last_frame"))
     return sums.orderBy(F.col("distance").desc_nulls_last(), "subject")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playframe.functions.geometry import distance
+from playframe.functions.tracking import run_keys, same_keys
 from playframe.operators.aggregates import cell
 
 HALF_MARGIN = 0.5
@@ -50,15 +51,16 @@ def origins(shots: DataFrame, positions: DataFrame, segment: list[str]) -> DataF
     other without a cut or gap). It takes two positions, one ground method, and none
     more than 1.25 m from the median.
     """
+    shot = [*run_keys(shots), "shot_id"]
     p = positions.select(*segment, F.col("time_s").alias("_t"), F.col("track_id").alias("_k"), F.col("team").alias("_team"), "x", "y", F.col("ground_point_method").alias("_m"), F.col("unbroken_since").alias("_since"), F.floor(F.col("time_s") / 0.25).alias("_bucket"))
     s = shots.withColumn("_bucket", F.explode(F.array(F.floor(F.col("time_s") / 0.25), F.floor(F.col("time_s") / 0.25) - 1)))
     on = [F.col(f"_p.{c}") == F.col(f"_s.{c}") for c in (*segment, "_bucket")]
     met = s.alias("_s").join(p.alias("_p"), [*on, F.col("track_id") == F.col("_k"), F.col("_s.team") == F.col("_team")])
-    met = met.where((F.col("_t") <= F.col("time_s")) & (F.col("time_s") - F.col("_t") <= 0.25)).select("shot_id", "time_s", "_t", "x", "y", "_m", "_since")
-    last = met.withColumn("_last", F.max(F.struct("_t", "_since")).over(W.partitionBy("shot_id"))["_since"]).where("_t >= _last")
-    mid = last.groupBy("shot_id").agg(F.median("x").alias("_x"), F.median("y").alias("_y"), F.count(F.lit(1)).alias("_n"), F.count_distinct("_m").alias("_ms"), F.collect_list(F.struct("x", "y")).alias("_all"))
+    met = met.where((F.col("_t") <= F.col("time_s")) & (F.col("time_s") - F.col("_t") <= 0.25)).select(*[F.col(f"_s.{c}") for c in shot], "time_s", "_t", "x", "y", "_m", "_since")
+    last = met.withColumn("_last", F.max(F.struct("_t", "_since")).over(W.partitionBy(*shot))["_since"]).where("_t >= _last")
+    mid = last.groupBy(*shot).agg(F.median("x").alias("_x"), F.median("y").alias("_y"), F.count(F.lit(1)).alias("_n"), F.count_distinct("_m").alias("_ms"), F.collect_list(F.struct("x", "y")).alias("_all"))
     far = F.array_max(F.transform("_all", lambda q: distance(q["x"], q["y"], F.col("_x"), F.col("_y"))))
-    out = shots.join(mid, "shot_id", "left").withColumn("_far", far)
+    out = shots.join(mid, shot, "left").withColumn("_far", far)
     reason = F.when(F.col("track_id").isNull() | F.col("team").isNull(), "shooter_unassigned").when(F.coalesce("_n", F.lit(0)) < 2, "ground_position_unavailable").when((F.col("_ms") > 1) | (F.col("_far") > 1.25), "unstable_ground_position")
     out = out.withColumn("origin_reason", reason).withColumn("support", F.coalesce("_n", F.lit(0)))
     fine = F.col("origin_reason").isNull()
@@ -67,17 +69,19 @@ def origins(shots: DataFrame, positions: DataFrame, segment: list[str]) -> DataF
 
 def plan_of(shots: DataFrame, plans: DataFrame) -> DataFrame:
     """Adds ``plan``: the first camera plan of the shot's segment that contains its time, ends included. Plans are (segment_id, plan, start_s, end_s)."""
-    p = plans.select(F.col("segment_id").alias("_seg"), F.col("plan").alias("_plan"), F.col("start_s").alias("_a"), F.col("end_s").alias("_b"))
-    met = shots.select("shot_id", "segment_id", "time_s").join(p, (F.col("segment_id") == F.col("_seg")) & (F.col("time_s") >= F.col("_a")) & (F.col("time_s") <= F.col("_b")))
-    first = met.groupBy("shot_id").agg(F.min_by("_plan", "_a").alias("plan"))
-    return shots.join(first, "shot_id", "left")
+    runs = run_keys(shots)
+    p = plans.select(*[F.col(c).alias(f"_{c}") for c in runs], F.col("segment_id").alias("_seg"), F.col("plan").alias("_plan"), F.col("start_s").alias("_a"), F.col("end_s").alias("_b"))
+    met = shots.select(*runs, "shot_id", "segment_id", "time_s").join(p, same_keys(runs) & (F.col("segment_id") == F.col("_seg")) & (F.col("time_s") >= F.col("_a")) & (F.col("time_s") <= F.col("_b")))
+    first = met.groupBy(*runs, "shot_id").agg(F.min_by("_plan", "_a").alias("plan"))
+    return shots.join(first, [*runs, "shot_id"], "left")
 
 
 def directed(shots: DataFrame, views: DataFrame, first_team: str) -> DataFrame:
     """Adds ``court_direction``: the view's direction (plan, period) for the first team, its opposite for the other."""
-    v = views.select(F.col("plan").alias("_plan"), F.col("period").alias("_period"), F.col("direction").alias("_d"))
-    rows = shots.join(v, (F.col("plan") == F.col("_plan")) & F.col("period").eqNullSafe(F.col("_period")), "left")
-    return rows.withColumn("court_direction", F.when(F.col("team") == first_team, F.col("_d")).when(F.col("team").isNotNull(), -F.col("_d"))).drop("_plan", "_period", "_d")
+    runs = run_keys(shots)
+    v = views.select(*[F.col(c).alias(f"_{c}") for c in runs], F.col("plan").alias("_plan"), F.col("period").alias("_period"), F.col("direction").alias("_d"))
+    rows = shots.join(v, same_keys(runs) & (F.col("plan") == F.col("_plan")) & F.col("period").eqNullSafe(F.col("_period")), "left")
+    return rows.withColumn("court_direction", F.when(F.col("team") == first_team, F.col("_d")).when(F.col("team").isNotNull(), -F.col("_d"))).drop(*[f"_{c}" for c in runs], "_plan", "_period", "_d")
 
 
 def attributed(shots: DataFrame, phases: DataFrame, length: float) -> DataFrame:
@@ -85,21 +89,22 @@ def attributed(shots: DataFrame, phases: DataFrame, length: float) -> DataFrame:
 
     ``defensive_half``: the place is more than half a metre inside the own half.
     ``opposing_settled_attack``: a settled phase of the other team, of the same plan,
-    contains the time. Phases are (plan, start_s, end_s, method, owner) and don't overlap;
+    contains the time. Phases are (run and plan, start_s, end_s, method, owner) and don't overlap;
     the last one that began by the shot is looked at.
     """
-    w = W.partitionBy("plan").orderBy("time_s", "_side").rowsBetween(W.unboundedPreceding, 0)
+    keys = [*run_keys(shots), "plan"]
+    w = W.partitionBy(*keys).orderBy("time_s", "_side").rowsBetween(W.unboundedPreceding, 0)
     span = F.struct("start_s", "end_s", "method", "owner")
     empty = F.lit(None).cast("struct<start_s:double,end_s:double,method:string,owner:string>")
-    p = phases.select("plan", F.col("start_s").alias("time_s"), F.lit(0).alias("_side"), span.alias("_span"), F.lit(None).cast("long").alias("shot_id"))
-    both = p.unionByName(shots.select("plan", "time_s", F.lit(1).alias("_side"), empty.alias("_span"), "shot_id"))
-    seen = both.withColumn("_now", F.last("_span", ignorenulls=True).over(w)).where("_side = 1").select(F.col("shot_id").alias("_shot"), "_now")
-    rows = shots.join(seen, F.col("shot_id") == F.col("_shot"), "left")
+    p = phases.select(*keys, F.col("start_s").alias("time_s"), F.lit(0).alias("_side"), span.alias("_span"), F.lit(None).cast("long").alias("shot_id"))
+    both = p.unionByName(shots.select(*keys, "time_s", F.lit(1).alias("_side"), empty.alias("_span"), "shot_id"))
+    seen = both.withColumn("_now", F.last("_span", ignorenulls=True).over(w)).where("_side = 1").select(*run_keys(shots), "shot_id", "_now")
+    rows = shots.join(seen, [*run_keys(shots), "shot_id"], "left")
     attack = F.when(F.col("court_direction") == -1, length - F.col("origin_x")).when(F.col("court_direction") == 1, F.col("origin_x"))
     now = lambda c: F.col(f"_now.{c}")
     other = (F.col("time_s") < now("end_s")) & (now("method") == "settled") & (now("owner") != F.col("team"))
     reason = F.when(attack < length / 2 - HALF_MARGIN, "defensive_half").when(F.coalesce(other, F.lit(False)) & F.col("plan").isNotNull(), "opposing_settled_attack")
-    rows = rows.withColumn("unassigned", F.when(F.col("team").isNotNull(), reason)).drop("_now", "_shot")
+    rows = rows.withColumn("unassigned", F.when(F.col("team").isNotNull(), reason)).drop("_now")
     kept = F.col("unassigned").isNull()
     rows = rows.withColumn("previous_team", F.when(~kept, F.col("team")))
     for c in ("team", "track_id", "subject", "origin_x", "origin_y", "court_direction"):

@@ -289,15 +289,15 @@ def q_causal_agreement(spark, sf_dir):
     return evidence.causal_agreement(number_reads(spark, sf_dir), ["track"]).select("frame_index", F.col("votes").cast("long").alias("votes"), r6("agreement"), "decided")
 
 
-@query(f"""WITH {READS}, s AS (SELECT frame_index, time_s / 100 AS time_s, number, row_number() OVER (ORDER BY frame_index) AS i FROM (SELECT frame_index, time_s, (frame_index // 40 % 3)::VARCHAR AS number, confidence FROM r) WHERE confidence >= 0.95),
-c AS (SELECT a.i, count(*) AS n, list_sort(list(b.time_s))[3] - a.time_s AS third FROM s a JOIN s b ON b.i BETWEEN a.i AND a.i + 4 AND b.number = a.number GROUP BY a.i, a.time_s),
-k AS (SELECT s.*, CASE WHEN n >= 3 AND third <= 2 THEN number END AS now FROM s JOIN c USING (i)),
-b AS (SELECT *, last_value(now IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) SELECT frame_index, sum(coalesce(now <> before, false)::INT) OVER (ORDER BY i)::BIGINT AS episode FROM b""")
+@query(f"""WITH {READS}, s AS (SELECT frame_index // 1000 AS run, frame_index, time_s / 100 AS time_s, number, row_number() OVER (PARTITION BY frame_index // 1000 ORDER BY frame_index) AS i FROM (SELECT frame_index, time_s, (frame_index // 40 % 3)::VARCHAR AS number, confidence FROM r) WHERE confidence >= 0.95),
+c AS (SELECT a.run, a.i, count(*) AS n, list_sort(list(b.time_s))[3] - a.time_s AS third FROM s a JOIN s b ON a.run = b.run AND b.i BETWEEN a.i AND a.i + 4 AND b.number = a.number GROUP BY a.run, a.i, a.time_s),
+k AS (SELECT s.*, CASE WHEN n >= 3 AND third <= 2 THEN number END AS now FROM s JOIN c USING (run, i)),
+b AS (SELECT *, last_value(now IGNORE NULLS) OVER (PARTITION BY run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) SELECT run, frame_index, sum(coalesce(now <> before, false)::INT) OVER (PARTITION BY run ORDER BY i)::BIGINT AS episode FROM b""")
 def q_number_episodes(spark, sf_dir):
     from playframe.operators import evidence
 
-    rows = number_reads(spark, sf_dir).withColumn("number", (F.floor(F.col("frame_index") / 40) % 3).cast("string")).withColumn("time_s", F.col("time_s") / 100).withColumn("run", F.lit(0))
-    return evidence.number_episodes(rows, ["run"]).select("frame_index", "episode")
+    rows = number_reads(spark, sf_dir).withColumn("number", (F.floor(F.col("frame_index") / 40) % 3).cast("string")).withColumn("time_s", F.col("time_s") / 100).withColumn("run", F.floor(F.col("frame_index") / 1000))
+    return evidence.number_episodes(rows, ["run"]).select("run", "frame_index", "episode")
 
 
 @query(f"""WITH {P}, f AS (SELECT frame_index, any_value(timestamp_s) AS t, any_value(segment_id) AS segment_id, any_value(scene_cut) AS scene_cut, frame_index % 9 = 0 AS fitted FROM p GROUP BY frame_index),
@@ -310,14 +310,14 @@ def q_calibration_states(spark, sf_dir):
     return evidence.calibration_states(rows, ["segment_id"], 0.55).select("frame_index", "court_status", r6("fit_age"))
 
 
-@query(f"""WITH {P}, f AS (SELECT frame_index, any_value(included) AS included, any_value(scene_cut) AS cut, frame_index % 9 < 5 AS court, frame_index % 4 > 0 AS ball FROM p GROUP BY 1),
-a AS (SELECT count(*) AS frames, count(*) FILTER (included) AS included_frames, count(*) FILTER (court) AS court_frames, count(*) FILTER (ball) AS ball_frames, count(*) FILTER (cut) AS cuts FROM f),
-b AS (SELECT count(*) FILTER (role = 'player') AS players, count(*) FILTER (role = 'player' AND x IS NOT NULL) AS placed, count(*) FILTER (role = 'player' AND known) AS named, count(DISTINCT (segment_id, track_id)) FILTER (role = 'player') AS fragments FROM p)
-SELECT *, round(court_frames / frames, 6) AS court_share, round(placed / players, 6) AS placed_share, round(named / players, 6) AS named_share FROM a, b""")
+@query(f"""WITH {P}, f AS (SELECT run_id, frame_index, any_value(included) AS included, any_value(scene_cut) AS cut, frame_index % 9 < 5 AS court, frame_index % 4 > 0 AS ball FROM p GROUP BY ALL),
+a AS (SELECT run_id, count(*) AS frames, count(*) FILTER (included) AS included_frames, count(*) FILTER (court) AS court_frames, count(*) FILTER (ball) AS ball_frames, count(*) FILTER (cut) AS cuts FROM f GROUP BY run_id),
+b AS (SELECT run_id, count(*) FILTER (role = 'player') AS players, count(*) FILTER (role = 'player' AND x IS NOT NULL) AS placed, count(*) FILTER (role = 'player' AND known) AS named, count(DISTINCT (segment_id, track_id)) FILTER (role = 'player') AS fragments FROM p GROUP BY run_id)
+SELECT *, round(court_frames / frames, 6) AS court_share, round(placed / players, 6) AS placed_share, round(named / players, 6) AS named_share FROM a JOIN b USING (run_id)""")
 def q_run_health(spark, sf_dir):
     from playframe.operators import evidence
 
     rows = persons(spark, sf_dir)
     f = F.col("frame_index")
-    found = evidence.health(rows.select("frame_index", "included", "scene_cut").distinct().withColumn("court_ok", f % 9 < 5).withColumn("ball_ok", f % 4 > 0), rows)
-    return found.select("frames", "included_frames", "court_frames", "ball_frames", "cuts", "players", "placed", "named", "fragments", r6("court_share"), r6("placed_share"), r6("named_share"))
+    found = evidence.health(rows.select("run_id", "frame_index", "included", "scene_cut").distinct().withColumn("court_ok", f % 9 < 5).withColumn("ball_ok", f % 4 > 0), rows)
+    return found.select("run_id", "frames", "included_frames", "court_frames", "ball_frames", "cuts", "players", "placed", "named", "fragments", r6("court_share"), r6("placed_share"), r6("named_share"))

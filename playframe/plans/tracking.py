@@ -11,7 +11,7 @@ from playframe.plans.bindings import query, r6, table
 LENGTH, WIDTH = 32.0, 16.0
 
 P = """p AS (
-SELECT o_orderkey AS k, o_orderkey // 8 AS frame_index, o_orderkey % 8 + 1 AS track_id, o_orderkey // 800 AS segment_id, (o_orderkey // 8)::DOUBLE / 10 AS timestamp_s,
+SELECT o_orderkey AS k, o_orderkey // 8000 AS run_id, o_orderkey // 8 AS frame_index, o_orderkey % 8 + 1 AS track_id, o_orderkey // 800 AS segment_id, (o_orderkey // 8)::DOUBLE / 10 AS timestamp_s,
   (o_orderkey // 8) % 97 <> 50 AS included, (o_orderkey // 8) % 250 = 170 AS scene_cut, CASE WHEN o_orderkey % 8 = 7 THEN 'referee' ELSE 'player' END AS role,
   CASE WHEN o_custkey % 19 <> 3 THEN 2 + 3 * (o_orderkey % 8 + 1) + ((o_orderkey // 8) % 40)::DOUBLE / 20 + (o_custkey % 10)::DOUBLE / 50 END AS x,
   CASE WHEN o_custkey % 19 <> 3 THEN 2 + o_orderkey % 8 + (o_custkey % 7)::DOUBLE / 40 END AS y,
@@ -28,7 +28,7 @@ def persons(spark, sf_dir):
     number = F.when(c % 37 == 0, "1").otherwise(((slot + 1) % 4).cast("string"))
     team = F.when(slot < 4, "a").otherwise("b")
     return rows.select(
-        k.alias("k"), frame.alias("frame_index"), (slot + 1).alias("track_id"), F.floor(k / 800).alias("segment_id"), (frame.cast("double") / 10).alias("timestamp_s"), (frame % 97 != 50).alias("included"),
+        k.alias("k"), F.floor(k / 8000).alias("run_id"), frame.alias("frame_index"), (slot + 1).alias("track_id"), F.floor(k / 800).alias("segment_id"), (frame.cast("double") / 10).alias("timestamp_s"), (frame % 97 != 50).alias("included"),
         (frame % 250 == 170).alias("scene_cut"), F.when(slot == 7, "referee").otherwise("player").alias("role"),
         F.when(seen, 2 + 3 * (slot + 1) + (frame % 40).cast("double") / 20 + (c % 10).cast("double") / 50).alias("x"), F.when(seen, 2 + slot + (c % 7).cast("double") / 40).alias("y"),
         F.when(c % 23 == 5, "box").otherwise("feet").alias("ground_point_method"), F.when(seen, "projected").otherwise("outside_court").alias("position_status"),
@@ -43,7 +43,7 @@ l AS (SELECT *, lag(frame_index) OVER w AS pf, lag(timestamp_s) OVER w AS pt, la
 d AS (SELECT *, coalesce(pf = frame_index - 1, false) AS joined, timestamp_s - pt AS dt, sqrt((x - px) ** 2 + (y - py) ** 2) AS step FROM l),
 r AS (SELECT *, CASE WHEN NOT joined THEN 'interval_start' WHEN subject <> ps OR conflict OR pc THEN 'identity_transition_or_conflict' WHEN dt > 0.2 THEN 'timestamp_gap' WHEN step IS NULL THEN position_status
   WHEN ground_point_method <> pm THEN 'ground_point_method_change' WHEN step > 12 * dt THEN 'implausible_speed' END AS reason FROM d),
-g AS (SELECT *, coalesce(lag(frame_index) OVER (PARTITION BY subject, segment_id, track_id ORDER BY frame_index) < frame_index - 1, false) AS gap FROM r)
+g AS (SELECT *, coalesce(lag(frame_index) OVER (PARTITION BY run_id, subject, segment_id, track_id ORDER BY frame_index) < frame_index - 1, false) AS gap FROM r)
 """
 
 
@@ -51,91 +51,91 @@ def contributions(spark, sf_dir):
     return observed.contributions(persons(spark, sf_dir), tau=0, deadband=0)
 
 
-@query(CONTRIBUTIONS + """, t AS (SELECT subject, sum(step) FILTER (reason IS NULL) AS distance, sum(CASE WHEN joined AND ps = subject THEN dt ELSE 0 END) AS tracked, coalesce(sum(dt) FILTER (reason IS NULL), 0) AS measured,
-  count(*) FILTER (reason IS NULL) AS pairs, count(DISTINCT (segment_id, track_id)) AS n_tracks FROM g GROUP BY subject)
-SELECT subject, round(distance, 6) AS distance, round(tracked, 6) AS tracked, round(measured, 6) AS measured, pairs, n_tracks, round(CASE WHEN tracked > 0 THEN measured / tracked END, 6) AS coverage,
+@query(CONTRIBUTIONS + """, t AS (SELECT run_id, subject, sum(step) FILTER (reason IS NULL) AS distance, sum(CASE WHEN joined AND ps = subject THEN dt ELSE 0 END) AS tracked, coalesce(sum(dt) FILTER (reason IS NULL), 0) AS measured,
+  count(*) FILTER (reason IS NULL) AS pairs, count(DISTINCT (segment_id, track_id)) AS n_tracks FROM g GROUP BY run_id, subject)
+SELECT run_id, subject, round(distance, 6) AS distance, round(tracked, 6) AS tracked, round(measured, 6) AS measured, pairs, n_tracks, round(CASE WHEN tracked > 0 THEN measured / tracked END, 6) AS coverage,
   CASE WHEN pairs = 0 THEN 'unavailable' WHEN measured < tracked - 1e-9 THEN 'partial' ELSE 'ok' END AS status FROM t""")
 def q_distance_full(spark, sf_dir):
     found = observed.statistics(contributions(spark, sf_dir))
-    return found.select("subject", r6("distance"), r6("tracked"), r6("measured"), "pairs", F.size("tracks").cast("long").alias("n_tracks"), r6("coverage"), "status")
+    return found.select("run_id", "subject", r6("distance"), r6("tracked"), r6("measured"), "pairs", F.size("tracks").cast("long").alias("n_tracks"), r6("coverage"), "status")
 
 
-@query(CONTRIBUTIONS + """SELECT subject, reason, count(*) AS n FROM (SELECT subject, reason FROM g WHERE reason <> 'interval_start' UNION ALL SELECT subject, 'tracking_gap' FROM g WHERE gap) GROUP BY ALL""")
+@query(CONTRIBUTIONS + """SELECT run_id, subject, reason, count(*) AS n FROM (SELECT run_id, subject, reason FROM g WHERE reason <> 'interval_start' UNION ALL SELECT run_id, subject, 'tracking_gap' FROM g WHERE gap) GROUP BY ALL""")
 def q_distance_reasons(spark, sf_dir):
-    return observed.statistics(contributions(spark, sf_dir)).select("subject", F.explode("excluded").alias("reason", "n"))
+    return observed.statistics(contributions(spark, sf_dir)).select("run_id", "subject", F.explode("excluded").alias("reason", "n"))
 
 
-@query(CONTRIBUTIONS + """SELECT subject, round(sum(step) FILTER (reason IS NULL), 6) AS distance, round(coalesce(sum(dt) FILTER (reason IS NULL), 0), 6) AS measured, max(frame_index) AS last_frame FROM g WHERE frame_index <= 90 GROUP BY subject""")
+@query(CONTRIBUTIONS + """SELECT run_id, subject, round(sum(step) FILTER (reason IS NULL), 6) AS distance, round(coalesce(sum(dt) FILTER (reason IS NULL), 0), 6) AS measured, max(frame_index) AS last_frame FROM g WHERE frame_index <= run_id * 1000 + 990 GROUP BY run_id, subject""")
 def q_leaderboard_at(spark, sf_dir):
-    return observed.metrics_at(contributions(spark, sf_dir), 90).select("subject", r6("distance"), r6("measured"), "last_frame")
+    return observed.metrics_at(contributions(spark, sf_dir), F.col("run_id") * 1000 + 990).select("run_id", "subject", r6("distance"), r6("measured"), "last_frame")
 
 
-@query(CONTRIBUTIONS + """, t AS (SELECT subject, sum(step) FILTER (reason IS NULL) AS distance, sum(CASE WHEN joined AND ps = subject THEN dt ELSE 0 END) AS tracked, coalesce(sum(dt) FILTER (reason IS NULL), 0) AS measured FROM g GROUP BY subject)
+@query(CONTRIBUTIONS + """, t AS (SELECT run_id, subject, sum(step) FILTER (reason IS NULL) AS distance, sum(CASE WHEN joined AND ps = subject THEN dt ELSE 0 END) AS tracked, coalesce(sum(dt) FILTER (reason IS NULL), 0) AS measured FROM g GROUP BY run_id, subject)
 SELECT split_part(subject, ':', 2) AS team, round(sum(distance), 6) AS distance, round(sum(measured), 6) AS measured, round(sum(measured) / sum(tracked), 6) AS coverage FROM t WHERE subject LIKE 'roster:%' GROUP BY 1""")
 def q_player_card(spark, sf_dir):
     stats = observed.statistics(contributions(spark, sf_dir)).where("subject like 'roster:%'").withColumn("team", F.split("subject", ":")[1])
     return observed.player_card(stats, ["team"]).select("team", r6("distance"), r6("measured"), r6("coverage"))
 
 
-FRAMES = f"""{P}, f AS (SELECT frame_index, any_value(timestamp_s) AS timestamp_s, any_value(segment_id) AS segment_id, any_value(scene_cut) AS scene_cut, any_value(included) AS included FROM p GROUP BY frame_index),
-n AS (SELECT *, (scene_cut OR segment_id IS DISTINCT FROM lag(segment_id) OVER (ORDER BY frame_index))::INT AS new FROM f), plans AS (SELECT *, sum(new) OVER (ORDER BY frame_index)::BIGINT - 1 AS plan FROM n)"""
+FRAMES = f"""{P}, f AS (SELECT run_id, frame_index, any_value(timestamp_s) AS timestamp_s, any_value(segment_id) AS segment_id, any_value(scene_cut) AS scene_cut, any_value(included) AS included FROM p GROUP BY run_id, frame_index),
+n AS (SELECT *, (scene_cut OR segment_id IS DISTINCT FROM lag(segment_id) OVER (PARTITION BY run_id ORDER BY frame_index))::INT AS new FROM f), plans AS (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY frame_index)::BIGINT - 1 AS plan FROM n)"""
 
 
 def frame_table(spark, sf_dir):
-    return persons(spark, sf_dir).select("frame_index", "timestamp_s", "segment_id", "scene_cut", "included").distinct()
+    return persons(spark, sf_dir).select("run_id", "frame_index", "timestamp_s", "segment_id", "scene_cut", "included").distinct()
 
 
-@query(f"WITH {FRAMES} SELECT frame_index, plan FROM plans")
+@query(f"WITH {FRAMES} SELECT run_id, frame_index, plan FROM plans")
 def q_plans(spark, sf_dir):
-    return heatmaps.plans(frame_table(spark, sf_dir)).select("frame_index", "plan")
+    return heatmaps.plans(frame_table(spark, sf_dir)).select("run_id", "frame_index", "plan")
 
 
-@query(f"WITH {FRAMES} SELECT frame_index, sum((frame_index % 250 = 170)::INT) OVER (ORDER BY frame_index)::BIGINT AS segment FROM f")
+@query(f"WITH {FRAMES} SELECT run_id, frame_index, sum((frame_index % 250 = 170)::INT) OVER (PARTITION BY run_id ORDER BY frame_index)::BIGINT AS segment FROM f")
 def q_segments(spark, sf_dir):
-    return fr.segments(frame_table(spark, sf_dir), [], F.col("scene_cut")).select("frame_index", "segment")
+    return fr.segments(frame_table(spark, sf_dir), ["run_id"], F.col("scene_cut")).select("run_id", "frame_index", "segment")
 
 
-INTERVALS = f"""WITH {FRAMES}, q AS (SELECT p.*, plan, 'roster:' || team || ':' || number AS subject FROM p JOIN plans USING (frame_index) WHERE role = 'player'),
+INTERVALS = f"""WITH {FRAMES}, q AS (SELECT p.*, plan, 'roster:' || team || ':' || number AS subject FROM p JOIN plans USING (run_id, frame_index) WHERE role = 'player'),
 u AS (SELECT *, count(*) OVER (PARTITION BY frame_index, subject) AS same FROM q),
 l AS (SELECT *, lag(frame_index) OVER w AS pf, lag(timestamp_s) OVER w AS pt, lag(included) OVER w AS pi, lag(subject) OVER w AS ps, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(ground_point_method) OVER w AS pm
-  FROM u WHERE same = 1 WINDOW w AS (PARTITION BY plan, track_id ORDER BY frame_index)),
-i AS (SELECT plan, track_id, frame_index, team, subject, pt AS start, timestamp_s AS "end", ground_point_method = pm AND sqrt((x - px) ** 2 + (y - py) ** 2) / (timestamp_s - pt) <= 12 AS sound, px, py, x, y
+  FROM u WHERE same = 1 WINDOW w AS (PARTITION BY run_id, plan, track_id ORDER BY frame_index)),
+i AS (SELECT run_id, plan, track_id, frame_index, team, subject, pt AS start, timestamp_s AS "end", ground_point_method = pm AND sqrt((x - px) ** 2 + (y - py) ** 2) / (timestamp_s - pt) <= 12 AS sound, px, py, x, y
   FROM l WHERE pf = frame_index - 1 AND included AND pi AND timestamp_s - pt <= 0.2 + 1e-9 AND subject = ps),
-j AS (SELECT plan, track_id, frame_index, team, subject, start, "end", CASE WHEN sound THEN px END AS x1, CASE WHEN sound THEN py END AS y1, CASE WHEN sound THEN x END AS x2, CASE WHEN sound THEN y END AS y2 FROM i)
+j AS (SELECT run_id, plan, track_id, frame_index, team, subject, start, "end", CASE WHEN sound THEN px END AS x1, CASE WHEN sound THEN py END AS y1, CASE WHEN sound THEN x END AS x2, CASE WHEN sound THEN y END AS y2 FROM i)
 """
 
 
 def heat_intervals(spark, sf_dir):
     rows = persons(spark, sf_dir).withColumn("subject", F.concat_ws(":", F.lit("roster"), "team", "number"))
-    return heatmaps.intervals(rows.join(heatmaps.plans(frame_table(spark, sf_dir)).select("frame_index", "plan"), "frame_index"))
+    return heatmaps.intervals(rows.join(heatmaps.plans(frame_table(spark, sf_dir)).select("run_id", "frame_index", "plan"), ["run_id", "frame_index"]))
 
 
-@query(INTERVALS + 'SELECT plan, track_id, frame_index, subject, round(start, 6) AS start, round("end", 6) AS "end", round(x1, 6) AS x1, round(y2, 6) AS y2 FROM j')
+@query(INTERVALS + 'SELECT run_id, plan, track_id, frame_index, subject, round(start, 6) AS start, round("end", 6) AS "end", round(x1, 6) AS x1, round(y2, 6) AS y2 FROM j')
 def q_heat_intervals(spark, sf_dir):
-    return heat_intervals(spark, sf_dir).select("plan", "track_id", "frame_index", "subject", r6("start"), r6("end"), r6("x1"), r6("y2"))
+    return heat_intervals(spark, sf_dir).select("run_id", "plan", "track_id", "frame_index", "subject", r6("start"), r6("end"), r6("x1"), r6("y2"))
 
 
-CLIPPED = INTERVALS + """, c AS (SELECT *, greatest(start, 3.05) AS a, least("end", 20.02) AS b FROM j WHERE greatest(start, 3.05) < least("end", 20.02)),
+CLIPPED = INTERVALS + """, c AS (SELECT *, greatest(start, 3.05) AS a, least("end", 1e7) AS b FROM j WHERE greatest(start, 3.05) < least("end", 1e7)),
 z AS (SELECT *, b - a AS seconds, x1 IS NOT NULL AS located, x1 + (a - start) / ("end" - start) * (x2 - x1) AS ax, y1 + (a - start) / ("end" - start) * (y2 - y1) AS ay,
   x1 + (b - start) / ("end" - start) * (x2 - x1) AS bx, y1 + (b - start) / ("end" - start) * (y2 - y1) AS byy FROM c)
 """
 
 
-@query(CLIPPED + """, v AS (SELECT subject, a, b, max(b) OVER (PARTITION BY subject ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM z WHERE located),
-w AS (SELECT subject, sum(greatest(0, b - greatest(a, coalesce(upto, a)))) AS video FROM v GROUP BY subject)
-SELECT z.subject, round(sum(seconds), 6) AS observed, round(sum(seconds) FILTER (located), 6) AS localized, round(sum(seconds) FILTER (located) / sum(seconds), 6) AS coverage, round(any_value(video), 6) AS video
-FROM z JOIN w USING (subject) GROUP BY z.subject""")
+@query(CLIPPED + """, v AS (SELECT run_id, subject, a, b, max(b) OVER (PARTITION BY run_id, subject ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM z WHERE located),
+w AS (SELECT run_id, subject, sum(greatest(0, b - greatest(a, coalesce(upto, a)))) AS video FROM v GROUP BY run_id, subject)
+SELECT z.run_id, z.subject, round(sum(seconds), 6) AS observed, round(sum(seconds) FILTER (located), 6) AS localized, round(sum(seconds) FILTER (located) / sum(seconds), 6) AS coverage, round(any_value(video), 6) AS video
+FROM z JOIN w USING (run_id, subject) GROUP BY z.run_id, z.subject""")
 def q_heat_totals(spark, sf_dir):
-    _, totals = heatmaps.heatmap(heat_intervals(spark, sf_dir), ["subject"], 3.05, 20.02, LENGTH, WIDTH)
-    return totals.select("subject", r6("observed"), r6("localized"), r6("coverage"), r6("video"))
+    _, totals = heatmaps.heatmap(heat_intervals(spark, sf_dir), ["run_id", "subject"], 3.05, 1e7, LENGTH, WIDTH)
+    return totals.select("run_id", "subject", r6("observed"), r6("localized"), r6("coverage"), r6("video"))
 
 
-@query(CLIPPED + """, cn AS (SELECT team, seconds, ax, ay, bx, byy, greatest(1, ceil(sqrt((bx - ax) ** 2 + (byy - ay) ** 2) / 0.2))::INT AS n FROM z WHERE located),
-s AS (SELECT team, seconds / n AS m, ax + (k + 0.5) / n * (bx - ax) AS px, ay + (k + 0.5) / n * (byy - ay) AS py FROM cn, unnest(range(n)) AS t(k))
-SELECT team, least(2, floor(px / 32 * 3))::INT AS cell_x, least(2, floor(py / 16 * 3))::INT AS cell_y, round(sum(m), 5) AS mass FROM s GROUP BY ALL""")
+@query(CLIPPED + """, cn AS (SELECT run_id, team, seconds, ax, ay, bx, byy, greatest(1, ceil(sqrt((bx - ax) ** 2 + (byy - ay) ** 2) / 0.2))::INT AS n FROM z WHERE located),
+s AS (SELECT run_id, team, seconds / n AS m, ax + (k + 0.5) / n * (bx - ax) AS px, ay + (k + 0.5) / n * (byy - ay) AS py FROM cn, unnest(range(n)) AS t(k))
+SELECT run_id, team, least(2, floor(px / 32 * 3))::INT AS cell_x, least(2, floor(py / 16 * 3))::INT AS cell_y, round(sum(m), 5) AS mass FROM s GROUP BY ALL""")
 def q_heat_zones(spark, sf_dir):
-    grid, _ = heatmaps.heatmap(heat_intervals(spark, sf_dir), ["team"], 3.05, 20.02, LENGTH, WIDTH, zones=True)
-    return grid.select("team", "cell_x", "cell_y", F.round("mass", 5).alias("mass"))
+    grid, _ = heatmaps.heatmap(heat_intervals(spark, sf_dir), ["run_id", "team"], 3.05, 1e7, LENGTH, WIDTH, zones=True)
+    return grid.select("run_id", "team", "cell_x", "cell_y", F.round("mass", 5).alias("mass"))
 
 
 @query(f"""WITH {P}, s AS (SELECT *, frame_index - row_number() OVER (PARTITION BY segment_id, track_id ORDER BY frame_index) AS g FROM p),
@@ -144,12 +144,12 @@ def q_visible(spark, sf_dir):
     return fr.visible(persons(spark, sf_dir), ["segment_id", "track_id"], F.col("known")).select("k")
 
 
-@query(f"""WITH {FRAMES}, q AS (SELECT o_orderkey AS id, o_totalprice / 2500 AS t FROM orders WHERE o_orderkey % 10 = 0), a AS (SELECT q.*, f.frame_index AS bf, f.timestamp_s AS bt FROM q ASOF LEFT JOIN f ON q.t + 1e-6 >= f.timestamp_s),
-b AS (SELECT a.*, f.frame_index AS af, f.timestamp_s AS at_ FROM a ASOF LEFT JOIN f ON a.t + 1e-6 < f.timestamp_s)
-SELECT round(t, 6) AS t, CASE WHEN bf IS NULL THEN af WHEN af IS NULL OR t - bt <= at_ - t THEN bf ELSE af END AS nearest, coalesce(bf, af) AS holding FROM b""")
+@query(f"""WITH {FRAMES}, q AS (SELECT o_orderkey AS id, o_orderkey // 8000 AS run_id, o_orderkey // 8000 * 100 + o_totalprice / 5000 AS t FROM orders WHERE o_orderkey % 10 = 0), a AS (SELECT q.*, f.frame_index AS bf, f.timestamp_s AS bt FROM q ASOF LEFT JOIN f ON q.run_id = f.run_id AND q.t + 1e-6 >= f.timestamp_s),
+b AS (SELECT a.*, f.frame_index AS af, f.timestamp_s AS at_ FROM a ASOF LEFT JOIN f ON a.run_id = f.run_id AND a.t + 1e-6 < f.timestamp_s)
+SELECT run_id, round(t, 6) AS t, CASE WHEN bf IS NULL THEN af WHEN af IS NULL OR t - bt <= at_ - t THEN bf ELSE af END AS nearest, coalesce(bf, af) AS holding FROM b""")
 def q_nearest_frame(spark, sf_dir):
-    times = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select((F.col("o_totalprice") / 2500).alias("t"))
-    return fr.nearest_frames(times, frame_table(spark, sf_dir), [], "t").select(r6("t"), "nearest", "holding")
+    times = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.floor(F.col("o_orderkey") / 8000).alias("run_id"), (F.floor(F.col("o_orderkey") / 8000) * 100 + F.col("o_totalprice") / 5000).alias("t"))
+    return fr.nearest_frames(times, frame_table(spark, sf_dir), ["run_id"], "t").select("run_id", r6("t"), "nearest", "holding")
 
 
 EPISODES = f"e AS (SELECT segment_id, track_id, frame_index // 25 AS episode, min(frame_index) AS first, max(frame_index) - 2 AS last FROM p WHERE frame_index % 25 > 3 GROUP BY ALL)"
@@ -305,16 +305,16 @@ def q_occupied_half(spark, sf_dir):
     return play.occupied_halves(rows, ["a", "b"], 32.0)
 
 
-EVIDENCE = f"""{FRAMES}, ev AS (SELECT frame_index, timestamp_s AS time_s, plan, included, frame_index // 400 AS period, CASE WHEN frame_index % 11 < 5 THEN 'a' WHEN frame_index % 11 < 7 THEN NULL WHEN frame_index % 11 = 7 THEN 'a' ELSE 'b' END AS team,
+EVIDENCE = f"""{FRAMES}, ev AS (SELECT run_id, frame_index, timestamp_s AS time_s, plan, included, frame_index // 400 AS period, CASE WHEN frame_index % 11 < 5 THEN 'a' WHEN frame_index % 11 < 7 THEN NULL WHEN frame_index % 11 = 7 THEN 'a' ELSE 'b' END AS team,
   CASE WHEN frame_index % 31 = 9 THEN 'contested_contact' ELSE 'direct_contact' END AS reason, CASE WHEN frame_index % 7 = 0 THEN -1 WHEN frame_index % 7 < 4 THEN 1 END AS direction FROM plans),
-b0 AS (SELECT *, coalesce(lag(included) OVER w AND plan = lag(plan) OVER w AND period = lag(period) OVER w AND frame_index = lag(frame_index) OVER w + 1 AND time_s - lag(time_s) OVER w <= 0.2 + 1e-9, false) AS joined FROM ev WINDOW w AS (ORDER BY frame_index)),
-b1 AS (SELECT *, sum((NOT joined AND included)::INT) OVER (ORDER BY frame_index) - 1 AS block, lag(time_s) OVER (ORDER BY frame_index) AS pt FROM b0),
+b0 AS (SELECT *, coalesce(lag(included) OVER w AND plan = lag(plan) OVER w AND period = lag(period) OVER w AND frame_index = lag(frame_index) OVER w + 1 AND time_s - lag(time_s) OVER w <= 0.2 + 1e-9, false) AS joined FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY frame_index)),
+b1 AS (SELECT *, sum((NOT joined AND included)::INT) OVER (PARTITION BY run_id ORDER BY frame_index) - 1 AS block, lag(time_s) OVER (PARTITION BY run_id ORDER BY frame_index) AS pt FROM b0),
 bk AS (SELECT *, CASE WHEN joined THEN pt END AS start FROM b1 WHERE included)"""
 OWNED = f"""WITH {EVIDENCE}, sp AS (SELECT *, (start + time_s) / 2 AS mid FROM bk WHERE start IS NOT NULL),
-vt AS (SELECT s.frame_index, o.team, sum(least(o.time_s, mid + 0.4) - greatest(o.start, mid - 0.4)) AS w, count(*) AS n FROM sp s JOIN bk o ON o.block = s.block AND o.start IS NOT NULL AND o.team IS NOT NULL
-  AND least(o.time_s, mid + 0.4) - greatest(o.start, mid - 0.4) > 0 GROUP BY s.frame_index, o.team),
-bt AS (SELECT frame_index, arg_max(team, w) AS wt, max(w) AS w, arg_max(n, w) AS n, sum(w) AS al FROM vt GROUP BY 1),
-ow AS (SELECT sp.*, CASE WHEN reason = 'direct_contact' AND w >= 0.16 - 1e-9 AND n >= 2 AND w / al >= 0.8 AND (team IS NULL OR team = wt) THEN wt END AS owner FROM sp LEFT JOIN bt USING (frame_index))
+vt AS (SELECT s.run_id, s.frame_index, o.team, sum(least(o.time_s, mid + 0.4) - greatest(o.start, mid - 0.4)) AS w, count(*) AS n FROM sp s JOIN bk o ON o.run_id = s.run_id AND o.block = s.block AND o.start IS NOT NULL AND o.team IS NOT NULL
+  AND least(o.time_s, mid + 0.4) - greatest(o.start, mid - 0.4) > 0 GROUP BY s.run_id, s.frame_index, o.team),
+bt AS (SELECT run_id, frame_index, arg_max(team, w) AS wt, max(w) AS w, arg_max(n, w) AS n, sum(w) AS al FROM vt GROUP BY 1, 2),
+ow AS (SELECT sp.*, CASE WHEN reason = 'direct_contact' AND w >= 0.16 - 1e-9 AND n >= 2 AND w / al >= 0.8 AND (team IS NULL OR team = wt) THEN wt END AS owner FROM sp LEFT JOIN bt USING (run_id, frame_index))
 """
 
 
@@ -323,47 +323,47 @@ def evidence(spark, sf_dir):
     rows = heatmaps.plans(frame_table(spark, sf_dir)).withColumnRenamed("timestamp_s", "time_s").withColumn("period", F.floor(f / 400))
     team = F.when(f % 11 < 5, "a").when(f % 11 < 7, None).when(f % 11 == 7, "a").otherwise("b")
     rows = rows.withColumn("team", team).withColumn("reason", F.when(f % 31 == 9, "contested_contact").otherwise("direct_contact")).withColumn("direction", F.when(f % 7 == 0, -1).when(f % 7 < 4, 1))
-    return play.window_owner(play.pairs(rows, []), [], ["a", "b"])
+    return play.window_owner(play.pairs(rows, ["run_id"]), ["run_id"], ["a", "b"])
 
 
-@query(OWNED + "SELECT frame_index, round(start, 6) AS start, block::BIGINT AS block, owner FROM ow")
+@query(OWNED + "SELECT run_id, frame_index, round(start, 6) AS start, block::BIGINT AS block, owner FROM ow")
 def q_contact_owner(spark, sf_dir):
-    return evidence(spark, sf_dir).select("frame_index", r6("start"), "block", "owner")
+    return evidence(spark, sf_dir).select("run_id", "frame_index", r6("start"), "block", "owner")
 
 
-@query(OWNED + """, vs AS (SELECT period, plan, start, time_s - start AS s, CASE WHEN owner = team AND direction IS NOT NULL THEN CASE WHEN owner = 'a' THEN direction ELSE -direction END END AS v FROM ow),
-sm AS (SELECT period, plan, coalesce(sum(s) FILTER (v = -1), 0) AS l, coalesce(sum(s) FILTER (v = 1), 0) AS r, min(start) FILTER (v IS NOT NULL) AS f FROM vs GROUP BY ALL),
+@query(OWNED + """, vs AS (SELECT run_id, period, plan, start, time_s - start AS s, CASE WHEN owner = team AND direction IS NOT NULL THEN CASE WHEN owner = 'a' THEN direction ELSE -direction END END AS v FROM ow),
+sm AS (SELECT run_id, period, plan, coalesce(sum(s) FILTER (v = -1), 0) AS l, coalesce(sum(s) FILTER (v = 1), 0) AS r, min(start) FILTER (v IS NOT NULL) AS f FROM vs GROUP BY ALL),
 lc AS (SELECT *, l + r AS tt, CASE WHEN l + r >= 0.25 AND greatest(l, r) / (l + r) >= 0.8 THEN CASE WHEN r >= l THEN 1 ELSE -1 END END AS d FROM sm),
-lk AS (SELECT period, arg_min(d, f) AS lock FROM lc WHERE tt >= 0.75 AND d IS NOT NULL GROUP BY 1),
-jn AS (SELECT lc.*, lock, CASE WHEN lock = 1 THEN l ELSE r END AS opp, CASE WHEN lock = 1 THEN r ELSE l END AS same FROM lc LEFT JOIN lk USING (period)),
+lk AS (SELECT run_id, period, arg_min(d, f) AS lock FROM lc WHERE tt >= 0.75 AND d IS NOT NULL GROUP BY 1, 2),
+jn AS (SELECT lc.*, lock, CASE WHEN lock = 1 THEN l ELSE r END AS opp, CASE WHEN lock = 1 THEN r ELSE l END AS same FROM lc LEFT JOIN lk USING (run_id, period)),
 sr AS (SELECT *, CASE WHEN lock IS NULL THEN 'camera_plan' WHEN tt >= 0.75 AND opp / tt >= 0.9 THEN 'reversed_view' WHEN tt >= 0.75 AND same / tt < 0.8 THEN 'conflicting_view' ELSE 'quarter_lock' END AS source FROM jn)
-SELECT period, plan, source, CASE source WHEN 'camera_plan' THEN d WHEN 'reversed_view' THEN -lock WHEN 'quarter_lock' THEN lock END AS direction, round(l, 6) AS left_s, round(r, 6) AS right_s FROM sr""")
+SELECT run_id, period, plan, source, CASE source WHEN 'camera_plan' THEN d WHEN 'reversed_view' THEN -lock WHEN 'quarter_lock' THEN lock END AS direction, round(l, 6) AS left_s, round(r, 6) AS right_s FROM sr""")
 def q_view_directions(spark, sf_dir):
-    return play.directions(evidence(spark, sf_dir), [], "a").select("period", "plan", "source", "direction", r6("left_s"), r6("right_s"))
+    return play.directions(evidence(spark, sf_dir), ["run_id"], "a").select("run_id", "period", "plan", "source", "direction", r6("left_s"), r6("right_s"))
 
 
-@query(OWNED + """, en AS (SELECT *, time_s AS e FROM ow WHERE owner IS NOT NULL), nw AS (SELECT *, (coalesce(abs(start - lag(e) OVER w) < 1e-6 AND plan = lag(plan) OVER w AND period = lag(period) OVER w AND owner = lag(owner) OVER w, false))::INT AS j FROM en WINDOW w AS (ORDER BY start)),
-ep AS (SELECT *, sum(1 - j) OVER (ORDER BY start) - 1 AS episode FROM nw) SELECT episode::BIGINT AS episode, plan, period, owner, round(min(start), 6) AS start, round(max(e), 6) AS "end", round(sum(e - start), 6) AS classified FROM ep GROUP BY ALL""")
+@query(OWNED + """, en AS (SELECT *, time_s AS e FROM ow WHERE owner IS NOT NULL), nw AS (SELECT *, (coalesce(abs(start - lag(e) OVER w) < 1e-6 AND plan = lag(plan) OVER w AND period = lag(period) OVER w AND owner = lag(owner) OVER w, false))::INT AS j FROM en WINDOW w AS (PARTITION BY run_id ORDER BY start)),
+ep AS (SELECT *, sum(1 - j) OVER (PARTITION BY run_id ORDER BY start) - 1 AS episode FROM nw) SELECT run_id, episode::BIGINT AS episode, plan, period, owner, round(min(start), 6) AS start, round(max(e), 6) AS "end", round(sum(e - start), 6) AS classified FROM ep GROUP BY ALL""")
 def q_episodes(spark, sf_dir):
     spans = evidence(spark, sf_dir).withColumn("end", F.col("time_s"))
-    return play.episodes(spans, []).select("episode", "plan", "period", "owner", r6("start"), r6("end"), r6("classified"))
+    return play.episodes(spans, ["run_id"]).select("run_id", "episode", "plan", "period", "owner", r6("start"), r6("end"), r6("classified"))
 
 
-@query(OWNED + """SELECT round(sum(greatest(0, least(time_s, 60) - greatest(start, 12.3))) FILTER (owner = 'a'), 6) AS offense, round(coalesce(sum(greatest(0, least(time_s, 60) - greatest(start, 12.3))) FILTER (owner = 'b'), 0), 6) AS defense,
-round(47.7 - sum(greatest(0, least(time_s, 60) - greatest(start, 12.3))) FILTER (owner IS NOT NULL), 6) AS unknown FROM ow""")
+@query(OWNED + """SELECT run_id, round(sum(greatest(0, least(time_s, 1e7) - greatest(start, 12.3))) FILTER (owner = 'a'), 6) AS offense, round(coalesce(sum(greatest(0, least(time_s, 1e7) - greatest(start, 12.3))) FILTER (owner = 'b'), 0), 6) AS defense,
+round(1e7 - 12.3 - sum(greatest(0, least(time_s, 1e7) - greatest(start, 12.3))) FILTER (owner IS NOT NULL), 6) AS unknown FROM ow GROUP BY run_id""")
 def q_phase_shares(spark, sf_dir):
     spans = evidence(spark, sf_dir).withColumn("end", F.col("time_s")).withColumn("method", F.lit("hands"))
-    return heatmaps.phase_durations(spans, F.lit("a"), 12.3, 60.0).select(r6("offense"), r6("defense"), r6("unknown"))
+    return heatmaps.phase_durations(spans, F.lit("a"), 12.3, 1e7, ["run_id"]).select("run_id", r6("offense"), r6("defense"), r6("unknown"))
 
 
-SHOTS = """sh AS (SELECT o_orderkey AS shot_id, (o_orderkey // 800) AS segment_id, (o_orderkey // 8)::DOUBLE / 10 + 0.03 AS time_s, o_orderkey % 8 + 1 AS track_id, CASE WHEN o_orderkey % 8 < 4 THEN 'a' ELSE 'b' END AS team,
+SHOTS = """sh AS (SELECT o_orderkey AS shot_id, o_orderkey // 8000 AS run_id, (o_orderkey // 800) AS segment_id, (o_orderkey // 8)::DOUBLE / 10 + 0.03 AS time_s, o_orderkey % 8 + 1 AS track_id, CASE WHEN o_orderkey % 8 < 4 THEN 'a' ELSE 'b' END AS team,
   CASE WHEN o_custkey % 3 = 0 THEN 'candidate' ELSE 'probable' END AS status, CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_custkey % 4 = 1 THEN -1 ELSE 1 END AS court_direction FROM orders WHERE o_orderkey % 13 = 5 AND o_custkey % 29 <> 7)"""
 
 
 def shot_rows(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf_dir, "orders").where("o_orderkey % 13 = 5 and o_custkey % 29 <> 7").select(
-        k.alias("shot_id"), F.floor(k / 800).alias("segment_id"), (F.floor(k / 8).cast("double") / 10 + 0.03).alias("time_s"), (k % 8 + 1).alias("track_id"), F.when(k % 8 < 4, "a").otherwise("b").alias("team"),
+        k.alias("shot_id"), F.floor(k / 8000).alias("run_id"), F.floor(k / 800).alias("segment_id"), (F.floor(k / 8).cast("double") / 10 + 0.03).alias("time_s"), (k % 8 + 1).alias("track_id"), F.when(k % 8 < 4, "a").otherwise("b").alias("team"),
         F.when(c % 3 == 0, "candidate").otherwise("probable").alias("status"), F.when(c % 4 == 0, None).when(c % 4 == 1, -1).otherwise(1).alias("court_direction"),
     )
 
@@ -376,8 +376,8 @@ o AS (SELECT sh.*, n, mx, my, CASE WHEN coalesce(n, 0) < 2 THEN 'ground_position
 
 
 def shots_with_origins(spark, sf_dir):
-    at = persons(spark, sf_dir).where("x is not null").select("segment_id", F.col("timestamp_s").alias("time_s"), "track_id", "team", "x", "y", "ground_point_method", F.lit(-1.0).alias("unbroken_since"))
-    return shots.origins(shot_rows(spark, sf_dir), at, ["segment_id"])
+    at = persons(spark, sf_dir).where("x is not null").select("segment_id", F.col("timestamp_s").alias("time_s"), "run_id", "track_id", "team", "x", "y", "ground_point_method", F.lit(-1.0).alias("unbroken_since"))
+    return shots.origins(shot_rows(spark, sf_dir), at, ["run_id", "segment_id"])
 
 
 @query(ORIGINS + "SELECT shot_id, coalesce(n, 0) AS support, why AS origin_reason, CASE WHEN why IS NULL THEN round(mx, 6) END AS origin_x, CASE WHEN why IS NULL THEN round(my, 6) END AS origin_y FROM o")
@@ -392,7 +392,7 @@ vr AS (SELECT *, CASE WHEN ax < 15.5 THEN 'defensive_half' WHEN time_s < ph * 6
 
 def attributed_shots(spark, sf_dir):
     rows = shots_with_origins(spark, sf_dir).withColumn("plan", F.lit(0))
-    phases = rows.select(F.floor(F.col("time_s") / 6).alias("_p")).distinct().select(F.lit(0).alias("plan"), (F.col("_p") * 6.0).alias("start_s"), (F.col("_p") * 6.0 + 4).alias("end_s"), F.lit("settled").alias("method"), F.when(F.col("_p") % 2 == 0, "a").otherwise("b").alias("owner"))
+    phases = rows.select("run_id", F.floor(F.col("time_s") / 6).alias("_p")).distinct().select("run_id", F.lit(0).alias("plan"), (F.col("_p") * 6.0).alias("start_s"), (F.col("_p") * 6.0 + 4).alias("end_s"), F.lit("settled").alias("method"), F.when(F.col("_p") % 2 == 0, "a").otherwise("b").alias("owner"))
     return shots.attributed(rows, phases, 32.0)
 
 
