@@ -7,7 +7,8 @@ of its features; seeded Gumbel noise is added and the highest scores are drawn,
 is sampling without replacement in proportion to exp(weight).
 
 Each document's buckets are an array made and scored by higher-order functions, so
-scoring moves no row. Counting sends one total for each bucket and task.
+scoring moves no row. Counting sends one total for each bucket and task. The arrays are
+written once, for counting and scoring both read them.
 """
 
 from __future__ import annotations
@@ -45,10 +46,15 @@ def buckets_of(words: Column, widest: int = WIDEST, buckets: int = BUCKETS) -> C
     return F.concat(*[runs(k) for k in range(1, widest + 1)])
 
 
-def bucket_totals(rows: DataFrame, text: str = "text", widest: int = WIDEST, buckets: int = BUCKETS) -> dict[int, int]:
-    """How many features of all texts fall into each bucket; at most ``buckets`` numbers come to the driver."""
-    each = rows.select(F.explode(with_words(F.col(f"`{text}`"), lambda ws: buckets_of(ws, widest, buckets))).alias("bucket"))
-    return {r.bucket: r.n for r in each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+def bucketed(rows: DataFrame, text: str = "text", widest: int = WIDEST, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to carry, ``n_words`` and ``buckets``: the bucket of every feature of the whole text."""
+    facts = with_words(F.col(f"`{text}`"), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), buckets_of(ws, widest, buckets).alias("buckets")))
+    return rows.select(*carry, facts.alias("f")).select(*carry, "f.n_words", "f.buckets")
+
+
+def bucket_totals(rows: DataFrame) -> dict[int, int]:
+    """How many features of all texts fall into each bucket; one number a bucket comes to the driver."""
+    return {r.bucket: r.n for r in rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def gains(corpus: dict[int, int], target: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -57,21 +63,16 @@ def gains(corpus: dict[int, int], target: dict[int, int], buckets: int = BUCKETS
     return [math.floor(1000 * math.log((target.get(b, 0) + 1.0) * s_all / ((corpus.get(b, 0) + 1.0) * t_all))) for b in range(buckets)]
 
 
-def weighed(docs: DataFrame, gain: list[int], row_id: str = "doc_id", text: str = "text", widest: int = WIDEST, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: ``doc``, ``n_words``, ``n_features``, ``weight``, ``score`` and the columns to carry; only these, the id and the text are read."""
+def weighed(rows: DataFrame, gain: list[int], seed: int = SEED) -> DataFrame:
+    """``n_features``, ``weight`` and ``score`` in place of the ``buckets`` of rows (doc, n_words, buckets, ...)."""
     table = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<int>")  # constant: folded into one literal
-
-    def facts(ws: Column) -> Column:
-        found = F.transform(F.array(buckets_of(ws, widest, len(gain))), lambda bs: F.struct(F.size(bs).cast("long").alias("n"), F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + F.element_at(table, b + 1)).alias("total")))
-        return F.struct(F.size(ws).cast("long").alias("n_words"), F.get(found, F.lit(0)).alias("of"))
-
-    rows = docs.select(F.col(f"`{row_id}`").cast("long").alias("doc"), with_words(F.col(f"`{text}`"), facts).alias("f"), *carry)
-    rows = rows.select("doc", *carry, "f.n_words", F.col("f.of.n").alias("n_features"), F.col("f.of.total").alias("total"))
+    total = F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + F.element_at(table, b + 1))
+    rows = rows.withColumns({"n_features": F.size("buckets").cast("long"), "total": total}).drop("buckets")
     weight = F.when(F.col("n_features") == 0, 0).otherwise(F.expr("(total - pmod(total, n_features)) div n_features")).cast("long")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    return rows.withColumn("weight", weight).select("doc", *carry, "n_words", "n_features", "weight", (F.col("weight") + noise).cast("long").alias("score"))
+    return rows.withColumn("weight", weight).withColumn("score", (F.col("weight") + noise).cast("long")).drop("total")
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
@@ -103,8 +104,11 @@ def resample(docs: DataFrame, target: DataFrame, row_id: str = "doc_id", text: s
     noise of a null id is that of an empty one. Empty tables on either side are
     distributions of no features. Other columns are not read.
     """
-    gain = gains(bucket_totals(docs, text, widest, buckets), bucket_totals(target, target_text, widest, buckets), buckets)
-    rows = written(weighed(docs, gain, row_id, text, widest, seed, carry).withColumn("uid", F.monotonically_increasing_id()))
+    # Texts are split and hashed once: two passes over the buckets cost a fraction of that.
+    placed = written(bucketed(docs.select(F.col(f"`{row_id}`").cast("long").alias("doc"), *carry, F.col(f"`{text}`").alias("text")), "text", widest, buckets, ("doc", *carry)))
+    gain = gains(bucket_totals(placed), bucket_totals(bucketed(target, target_text, widest, buckets)), buckets)
+    rows = written(weighed(placed, gain, seed).withColumn("uid", F.monotonically_increasing_id()))
+    drop(placed)
     able = rows.where(F.col("n_words") >= least_words)
     drawn = percent * able.count() // 100
     order = [F.col("score").desc(), F.col("doc").asc_nulls_last(), F.col("uid")]

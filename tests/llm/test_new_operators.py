@@ -290,5 +290,6 @@ def test_resampling_edges(spark):
 
 
 def test_scoring_moves_no_row(spark):
-    plan = importance.weighed(frame(spark, ROWS).drop("n.x"), [0] * 100)._jdf.queryExecution().optimizedPlan().toString()
+    rows = importance.bucketed(frame(spark, ROWS).select("doc_id", "text").withColumnRenamed("doc_id", "doc"), carry=("doc",))
+    plan = importance.weighed(rows, [0] * 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("regexp_extract_all") == 1
