@@ -318,12 +318,17 @@ ow AS (SELECT sp.*, CASE WHEN reason = 'direct_contact' AND w >= 0.16 - 1e-9 AND
 """
 
 
-def evidence(spark, sf_dir):
+def evidence_pairs(spark, sf_dir):
+    """Frames with contacts, cut into blocks; the first of a block has no ``start``."""
     f = F.col("frame_index")
     rows = heatmaps.plans(frame_table(spark, sf_dir)).withColumnRenamed("timestamp_s", "time_s").withColumn("period", F.floor(f / 400))
     team = F.when(f % 11 < 5, "a").when(f % 11 < 7, None).when(f % 11 == 7, "a").otherwise("b")
     rows = rows.withColumn("team", team).withColumn("reason", F.when(f % 31 == 9, "contested_contact").otherwise("direct_contact")).withColumn("direction", F.when(f % 7 == 0, -1).when(f % 7 < 4, 1))
-    return play.window_owner(play.pairs(rows, ["run_id"]), ["run_id"], ["a", "b"])
+    return play.pairs(rows, ["run_id"])
+
+
+def evidence(spark, sf_dir):
+    return play.window_owner(evidence_pairs(spark, sf_dir), ["run_id"], ["a", "b"])
 
 
 @query(OWNED + "SELECT run_id, frame_index, round(start, 6) AS start, block::BIGINT AS block, owner FROM ow")

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from playframe.plans import bindings, fields, quality, tracking  # noqa: F401  each registers its queries
+from playframe.plans import bindings, fields, quality, scenes, tracking  # noqa: F401  each registers its queries
 
 SF = "/root/testdata/sf0.001"
 
