@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 THRESHOLD = 0.8
 #: Window ends measured at a time.
 CELLS = 1 << 19
@@ -342,7 +344,7 @@ def scan(df: DataFrame, row_id: str = "doc_id", text: str = "text", templates: t
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
-        for b in batches:
+        for b in slices(batches):
             rows, at = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 own = scanner.matches(t) if t else []

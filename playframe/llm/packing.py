@@ -275,9 +275,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             ids.append(row)
             texts.append(text or "")
             held += len(text or "")
-        if held >= CHUNK_CHARS:
-            yield ids, texts
-            ids, texts, held = [], [], 0
+            if held >= CHUNK_CHARS:
+                yield ids, texts
+                ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
 
