@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from playframe.llm import exact_dedup, minhash, mixing, packing, toxicity
-from playframe.llm.common import documents, written
+from playframe.llm.common import documents, drop, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages from ``documents`` on; the tables between them are written to the shared folder. Empty documents give no pieces."""
+    """All stages from ``documents`` on; the tables between them are written to the shared folder, and each goes when the next one is there. Empty documents give no pieces."""
     docs = documents(spark, sf_dir)
+    before: list[DataFrame] = []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
