@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,21 @@ def test_exact_duplicates(spark):
     stay = sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(frame(spark, rows)).collect())
     assert stay == [1, 3, 4, 5, 6, 8]
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
+
+
+def test_planted_pairs_at_the_threshold_share_a_bucket_and_pass_the_filter():
+    """Pairs of sets whose similarity is exactly 0.75 or just above: of 3,000 all but the expected few in a million meet."""
+    rng = np.random.default_rng(9)
+    missed = 0
+    for _ in range(3000):
+        union = 4 * int(rng.integers(1, 300))
+        every = np.unique(rng.integers(0, 1 << 63, union, dtype=np.uint64))
+        own = int(rng.integers(0, len(every) // 4 + 1))
+        pair = [np.sort(every[: len(every) - (len(every) // 4 - own)]), np.sort(every[own:])]
+        if not minhash.linked(*pair):
+            continue
+        a, b = minhash.signatures(pair)
+        keys = minhash.band_keys(np.stack([a, b]))
+        agreeing = int(np.count_nonzero(a.astype(np.uint8) == b.astype(np.uint8)))
+        missed += not (keys[0] == keys[1]).any() or agreeing < minhash.LEAST_AGREEING
+    assert missed <= 1
