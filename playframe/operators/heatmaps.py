@@ -80,31 +80,42 @@ def clipped(found: DataFrame, start: float, end: float, length: float, width: fl
     With ``half`` an interval of direction -1 is turned by 180 degrees, and only the
     right half counts, its line moved to 0; an interval without direction has no path.
     A place on the way is a share of the interval, so a cut is a range of shares: the
-    query's range, less what lies before or behind the half line.
+    query's range, less what lies before or behind the half line. The steps are bound
+    one by one as functions of a struct, so that generated code stays small.
     """
     rows = found.withColumn("_a", F.greatest("start", F.lit(start))).withColumn("_b", F.least("end", F.lit(end))).where("_b > _a")
-    span = F.col("end") - F.col("start")
-    on_court = F.col("x1").isNotNull() & F.col("x2").isNotNull()
-    turned, line = F.lit(False), 0.0
-    if half:
-        on_court, turned, line = on_court & F.col("direction").isNotNull(), F.coalesce(F.col("direction") == -1, F.lit(False)), length / 2
-    at = lambda c, extent: F.when(on_court, F.when(turned, extent - F.col(c)).otherwise(F.col(c)) - (line if extent == length else 0.0))
-    rows = rows.withColumns({
-        "seconds": F.col("_b") - F.col("_a"), "_lo": (F.col("_a") - F.col("start")) / span, "_hi": (F.col("_b") - F.col("start")) / span,
-        "_x": at("x1", length), "_y": at("y1", width), "_dx": at("x2", length) - at("x1", length), "_dy": at("y2", width) - at("y1", width),
-    })
-    if half:
-        cross = -F.col("_x") / F.nullif(F.col("_dx"), F.lit(0.0))
-        outside = F.col("_dx").eqNullSafe(F.lit(0.0)) & (F.col("_x") < 0)
-        rows = rows.withColumns({"_lo": F.when(F.col("_dx") > 0, F.greatest("_lo", cross)).otherwise(F.col("_lo")), "_hi": F.when(outside, None).when(F.col("_dx") < 0, F.least("_hi", cross)).otherwise(F.col("_hi"))})
-    inside = F.col("_hi") >= F.col("_lo")
-    point = lambda c, share: F.when(inside, F.col(f"_{c}") + F.col(share) * F.col(f"_d{c}"))
-    moment = lambda share: F.when(inside & on_court, F.col("start") + F.col(share) * span)
-    rows = rows.withColumns({
-        "localized": F.when(on_court, F.col("seconds")).otherwise(0.0), "kept": F.coalesce(F.when(inside & on_court, (F.col("_hi") - F.col("_lo")) * span), F.lit(0.0)), "_from": moment("_lo"), "_to": moment("_hi"),
-        "ax": point("x", "_lo"), "ay": point("y", "_lo"), "bx": point("x", "_hi"), "by": point("y", "_hi"),
-    })
-    return rows.drop("_lo", "_hi", "_x", "_y", "_dx", "_dy")
+    line = length / 2 if half else 0.0
+    on_court = F.col("x1").isNotNull() & F.col("x2").isNotNull() & (F.col("direction").isNotNull() if half else F.lit(True))
+    turned = F.coalesce(F.col("direction") == -1, F.lit(False)) if half else F.lit(False)
+    given = F.struct("start", (F.col("end") - F.col("start")).alias("span"), "_a", "_b", "x1", "y1", "x2", "y2", on_court.alias("ok"), turned.alias("turned"))
+
+    def placed(r: Column) -> Column:
+        """The way from (x, y) by (dx, dy), turned and from the line on, and the shares that the range leaves."""
+        at = lambda c, extent, off: F.when(r["turned"], extent - r[c]).otherwise(r[c]) - off
+        away = lambda c: F.when(r["turned"], r[f"{c}1"] - r[f"{c}2"]).otherwise(r[f"{c}2"] - r[f"{c}1"])
+        share = lambda c: (r[c] - r["start"]) / r["span"]
+        return F.struct(r["start"].alias("start"), r["span"].alias("span"), r["ok"].alias("ok"), at("x1", length, line).alias("x"), at("y1", width, 0.0).alias("y"), away("x").alias("dx"), away("y").alias("dy"), share("_a").alias("lo"), share("_b").alias("hi"))
+
+    def halved(r: Column) -> Column:
+        """The shares on the right of the line; none where the way stays on its left."""
+        if not half:
+            return r
+        cross = -r["x"] / F.nullif(r["dx"], F.lit(0.0))
+        low, high = F.when(r["dx"] > 0, F.greatest(r["lo"], cross)).otherwise(r["lo"]), F.when(r["dx"] < 0, F.least(r["hi"], cross)).when((r["dx"] == 0) & (r["x"] < 0), None).otherwise(r["hi"])
+        return F.struct(*[r[c].alias(c) for c in ("start", "span", "ok", "x", "y", "dx", "dy")], low.alias("lo"), high.alias("hi"))
+
+    def kept(r: Column) -> Column:
+        there = lambda v: F.when(r["ok"] & (r["hi"] >= r["lo"]), v)
+        point = lambda c, share: there(r[c] + r[share] * r[f"d{c}"])
+        return F.struct(
+            F.coalesce(there((r["hi"] - r["lo"]) * r["span"]), F.lit(0.0)).alias("kept"), there(r["start"] + r["lo"] * r["span"]).alias("_from"), there(r["start"] + r["hi"] * r["span"]).alias("_to"),
+            point("x", "lo").alias("ax"), point("y", "lo").alias("ay"), point("x", "hi").alias("bx"), point("y", "hi").alias("by"),
+        )
+
+    cut = F.get(F.transform(F.transform(F.transform(F.array(given), placed), halved), kept), F.lit(0))
+    seconds = F.col("_b") - F.col("_a")
+    rows = rows.withColumns({"seconds": seconds, "localized": F.when(on_court, seconds).otherwise(0.0), "_cut": cut})
+    return rows.select(*[c for c in rows.columns if c != "_cut"], "_cut.*")
 
 
 def cells(rows: DataFrame, keys: list[str], weight: Column, length: float, width: float, nx: int, ny: int) -> DataFrame:

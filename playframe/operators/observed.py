@@ -10,6 +10,7 @@ of one track; a step that isn't measured restarts filter and anchor at the raw p
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,27 +64,27 @@ def contributions(persons: DataFrame, tau: float = 0.12, deadband: float = 0.025
     rows = rows.withColumn("interval_start", F.col("_p.timestamp_s")).withColumn("measured", F.when(F.col("reason").isNull(), F.col("dt")).otherwise(F.lit(0.0))).drop("_p")
     if not tau and not deadband:
         return rows.withColumn("distance", F.when(F.col("reason").isNull(), F.col("_step"))).drop("_step")
-    run = F.sum(F.col("reason").isNotNull().cast("int")).over(w)
-    rows = rows.withColumn("_run", run).withColumn("distance", F.lit(None).cast("double"))
-
-    def filtered(part: pd.DataFrame) -> pd.DataFrame:
-        """One run of measured steps after the row that starts it; a run is part of one track in one camera segment."""
-        part = part.sort_values("frame_index", kind="stable")
-        out, spot, anchor = [], None, None
-        for t, x, y, dt, why in zip(part["timestamp_s"], part["x"], part["y"], part["dt"], part["reason"], strict=True):
-            if why is not None:
-                spot = anchor = (x, y)
-                out.append(None)
-                continue
-            share = 1 - math.exp(-dt / tau) if tau else 1.0
-            spot = (spot[0] + share * (x - spot[0]), spot[1] + share * (y - spot[1]))
-            step = math.dist(spot, anchor)
-            out.append(step if step >= deadband else 0.0)
-            if out[-1]:
-                anchor = spot
-        return part.assign(distance=pd.array(out, "Float64"))
-
-    return rows.groupBy(*track, "_run").applyInPandas(filtered, rows.schema).drop("_run", "_step")
+    rows = rows.withColumn("distance", F.lit(None).cast("double"))
+
+    def filtered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in order of tracks and frames: every track, and every stretch of measured steps, begins with a row that has a reason."""
+        spot = anchor = (math.nan, math.nan)
+        for part in parts:
+            out = []
+            for x, y, dt, why in zip(part["x"], part["y"], part["dt"], part["reason"], strict=True):
+                if why is not None:
+                    spot = anchor = (x, y)
+                    out.append(None)
+                    continue
+                share = 1 - math.exp(-dt / tau) if tau else 1.0
+                spot = (spot[0] + share * (x - spot[0]), spot[1] + share * (y - spot[1]))
+                step = math.dist(spot, anchor)
+                out.append(step if step >= deadband else 0.0)
+                if out[-1]:
+                    anchor = spot
+            yield part.assign(distance=pd.array(out, "Float64"))
+
+    return rows.repartition(*track).sortWithinPartitions(*track, "frame_index").mapInPandas(filtered, rows.schema).drop("_step")
 
 
 def statistics(rows: DataFrame) -> DataFrame:

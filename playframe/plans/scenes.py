@@ -194,3 +194,31 @@ def q_recognised_numbers(spark, sf_dir):
         F.when(c % 6 > 0, (c % 50 + 1) / 50.0).alias("quality"), F.when(c % 9 > 0, F.col("number")).alias("number"), (0.8 + (c % 20) / 100.0).alias("read_confidence"),
     )
     return recogniser.recognised(rows, "run_id")
+
+
+READS = f"""WITH RECURSIVE {P}, rr AS (SELECT run_id, track_id, segment_id, frame_index, timestamp_s * 3 AS t, CASE WHEN c % 7 = 0 THEN NULL WHEN (frame_index // 30) % 2 = 0 AND c % 5 > 0 THEN 'a' ELSE 'b' END AS color, c % 8 > 0 AS crop, CASE WHEN c % 4 > 0 THEN number END AS number, 0.7 + (c % 30) / 100.0 AS conf FROM p),
+i AS (SELECT *, sum((frame_index IS DISTINCT FROM pf + 1)::INT) OVER (PARTITION BY run_id, segment_id, track_id ORDER BY frame_index) AS island, (frame_index IS DISTINCT FROM pf + 1) AS new FROM (SELECT *, lag(frame_index) OVER (PARTITION BY run_id, segment_id, track_id ORDER BY frame_index) AS pf FROM rr)),
+s AS (SELECT *, sum((color IS NOT NULL AND color IS DISTINCT FROM pc)::INT) OVER (PARTITION BY run_id, segment_id, track_id, island ORDER BY frame_index) AS streak
+  FROM (SELECT *, last_value(color IGNORE NULLS) OVER (PARTITION BY run_id, segment_id, track_id, island ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pc FROM i)),
+u AS (SELECT *, CASE WHEN count(color) OVER (PARTITION BY run_id, segment_id, track_id, island, streak ORDER BY frame_index) >= 3 THEN color END AS sure, first_value(color) OVER (PARTITION BY run_id, segment_id, track_id, island ORDER BY frame_index) AS first FROM s),
+v AS (SELECT *, coalesce(last_value(sure IGNORE NULLS) OVER (PARTITION BY run_id, segment_id, track_id, island ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first) AS now FROM u),
+g AS (SELECT *, sum((new OR (sure IS NOT NULL AND sure IS DISTINCT FROM now))::INT) OVER (PARTITION BY run_id, segment_id, track_id ORDER BY frame_index) - 1 AS run FROM v),
+a AS (SELECT *, (number IS NOT NULL AND conf >= 0.8)::INT AS vote FROM (SELECT *, min(frame_index) OVER (PARTITION BY run_id, segment_id, track_id, run) AS run_start FROM g) WHERE crop AND (frame_index - run_start) % 2 = 0),
+b AS (SELECT *, sum(vote) OVER (PARTITION BY run_id, segment_id, track_id, run, number ORDER BY frame_index) AS own, sum(vote) OVER (PARTITION BY run_id, segment_id, track_id, run ORDER BY frame_index) AS al FROM a),
+k AS (SELECT *, min(frame_index) FILTER (vote = 1 AND own >= 3 AND 2 * own > al AND own >= 0.6 * al) OVER (PARTITION BY run_id, segment_id, track_id, run) AS won_at FROM b),
+x AS (SELECT run_id, segment_id, track_id, run, frame_index, t FROM k WHERE frame_index = won_at
+  UNION ALL (SELECT run_id, segment_id, track_id, run, frame_index, t FROM (SELECT k.run_id, k.segment_id, k.track_id, k.run, k.frame_index, k.t, row_number() OVER (PARTITION BY k.run_id, k.segment_id, k.track_id, k.run ORDER BY k.frame_index) AS z
+    FROM x JOIN k ON k.run_id = x.run_id AND k.segment_id = x.segment_id AND k.track_id = x.track_id AND k.run = x.run AND k.t - x.t >= 3 AND k.frame_index > x.frame_index) WHERE z = 1)),
+y AS (SELECT k.* FROM k WHERE won_at IS NULL OR frame_index <= won_at UNION ALL SELECT k.* FROM k JOIN x USING (run_id, segment_id, track_id, run, frame_index) WHERE k.frame_index > won_at)
+SELECT run_id, segment_id, track_id, frame_index, run::BIGINT AS run, (sum(vote) OVER (PARTITION BY run_id, segment_id, track_id, run, number ORDER BY frame_index))::BIGINT AS votes, coalesce(frame_index >= won_at, false) AS confirmed FROM y"""
+
+
+@query(READS)
+def q_planned_reads(spark, sf_dir):
+    c, f = F.col("c"), F.col("frame_index")
+    color = F.when(c % 7 == 0, None).when((F.floor(f / 30) % 2 == 0) & (c % 5 > 0), "a").otherwise("b")
+    rows = persons(spark, sf_dir).select(
+        "run_id", "segment_id", "track_id", "frame_index", (F.col("timestamp_s") * 3).alias("time_s"), color.alias("color"), (c % 8 > 0).alias("crop"),
+        F.when(c % 4 > 0, F.col("number")).alias("number"), (0.7 + (c % 30) / 100.0).alias("confidence"),
+    )
+    return evidence.planned_reads(rows, ["run_id", "segment_id", "track_id"]).select("run_id", "segment_id", "track_id", "frame_index", "run", "votes", "confirmed")

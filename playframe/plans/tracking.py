@@ -138,6 +138,51 @@ def q_heat_zones(spark, sf_dir):
     return grid.select("run_id", "team", "cell_x", "cell_y", F.round("mass", 5).alias("mass"))
 
 
+HALF = INTERVALS + """, hd AS (SELECT j.*, CASE plan % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 END AS d FROM j),
+tu AS (SELECT *, CASE d WHEN -1 THEN 32 - x1 WHEN 1 THEN x1 END - 16 AS ux, CASE d WHEN -1 THEN 32 - x2 WHEN 1 THEN x2 END - 16 AS vx, CASE d WHEN -1 THEN 16 - y1 WHEN 1 THEN y1 END AS uy, CASE d WHEN -1 THEN 16 - y2 WHEN 1 THEN y2 END AS vy FROM hd),
+cr AS (SELECT *, CASE WHEN vx <> ux THEN -ux / (vx - ux) END AS cx FROM tu),
+lh AS (SELECT *, CASE WHEN vx > ux THEN greatest(0, cx) ELSE 0 END AS lo, CASE WHEN vx < ux THEN least(1, cx) ELSE 1 END AS hi FROM cr WHERE NOT (vx = ux AND ux < 0)),
+kp AS (SELECT *, (hi - lo) * ("end" - start) AS kept, ux + lo * (vx - ux) AS ax, uy + lo * (vy - uy) AS ay, ux + hi * (vx - ux) AS bx, uy + hi * (vy - uy) AS byy FROM lh WHERE hi >= lo)
+"""
+
+
+def half_intervals(spark, sf_dir):
+    """Intervals of plans seen from either side, and every third plan without a direction."""
+    plan = F.col("plan") % 3
+    return heat_intervals(spark, sf_dir).withColumn("direction", F.when(plan == 0, 1).when(plan == 1, -1))
+
+
+@query(HALF + """, hn AS (SELECT *, greatest(1, ceil(sqrt((bx - ax) ** 2 + (byy - ay) ** 2) / 0.2))::INT AS n FROM kp WHERE kept > 0),
+s AS (SELECT run_id, team, kept / n AS m, ax + (k + 0.5) / n * (bx - ax) AS px, ay + (k + 0.5) / n * (byy - ay) AS py FROM hn, unnest(range(n)) AS t(k))
+SELECT run_id, team, least(15, floor(px))::INT AS cell_x, least(15, floor(py))::INT AS cell_y, round(sum(m), 5) AS mass FROM s GROUP BY ALL""")
+def q_heat_half(spark, sf_dir):
+    grid, _ = heatmaps.heatmap(half_intervals(spark, sf_dir), ["run_id", "team"], 0.0, 1e7, LENGTH, WIDTH, half=True)
+    return grid.select("run_id", "team", "cell_x", "cell_y", F.round("mass", 5).alias("mass"))
+
+
+MOVED = CONTRIBUTIONS.rstrip() + INTERVALS[len("WITH ") + len(P) :].replace(", q AS", ", hq AS").replace("FROM q)", "FROM hq)").replace(", l AS", ", hl AS").replace("\n  FROM l WHERE", "\n  FROM hl WHERE").replace("\nl AS", "\nhl AS").replace("f AS (SELECT run_id", "hf AS (SELECT run_id").replace("FROM f)", "FROM hf)").replace("FROM l ", "FROM hl ")
+
+
+@query(MOVED + """, mv AS (SELECT j.run_id, j.team, j.frame_index // 500 AS part, step FROM j JOIN g ON g.segment_id = j.frame_index // 100 AND g.track_id = j.track_id AND g.frame_index = j.frame_index WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND reason IS NULL AND g.subject = j.subject)
+SELECT run_id, team, round(sum(step), 4) AS moved FROM mv GROUP BY ALL""")
+def q_heat_movement(spark, sf_dir):
+    found = heatmaps.with_distance(heat_intervals(spark, sf_dir), contributions(spark, sf_dir))
+    grid, _ = heatmaps.heatmap(found, ["run_id", "team"], 0.0, 1e7, LENGTH, WIDTH, metric="movement", zones=True)
+    return grid.groupBy("run_id", "team").agg(F.round(F.sum("mass"), 4).alias("moved"))
+
+
+@query(CONTRIBUTIONS.replace("WITH p", "WITH RECURSIVE p", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY segment_id, track_id ORDER BY frame_index) AS i FROM g),
+fl AS (SELECT segment_id, track_id, i, run_id, subject, x AS sx, y AS sy, x AS ax, y AS ay, NULL::DOUBLE AS d FROM o WHERE i = 1
+  UNION ALL SELECT segment_id, track_id, i, run_id, subject, sx, sy, CASE WHEN reason IS NOT NULL THEN x WHEN st >= 0.025 THEN sx ELSE ax END, CASE WHEN reason IS NOT NULL THEN y WHEN st >= 0.025 THEN sy ELSE ay END, CASE WHEN reason IS NULL THEN CASE WHEN st >= 0.025 THEN st ELSE 0 END END
+  FROM (SELECT *, sqrt((sx - ax) ** 2 + (sy - ay) ** 2) AS st FROM (SELECT o.segment_id, o.track_id, o.i, o.run_id, o.subject, o.reason, o.x, o.y, fl.ax, fl.ay,
+    CASE WHEN reason IS NOT NULL THEN o.x ELSE fl.sx + (1 - exp(-o.dt / 0.12)) * (o.x - fl.sx) END AS sx, CASE WHEN reason IS NOT NULL THEN o.y ELSE fl.sy + (1 - exp(-o.dt / 0.12)) * (o.y - fl.sy) END AS sy
+    FROM fl JOIN o ON o.segment_id = fl.segment_id AND o.track_id = fl.track_id AND o.i = fl.i + 1)))
+SELECT run_id, subject, round(sum(d), 6) AS distance, count(d) AS pairs FROM fl GROUP BY ALL""")
+def q_distance_filtered(spark, sf_dir):
+    found = observed.contributions(persons(spark, sf_dir))
+    return found.groupBy("run_id", "subject").agg(F.round(F.sum("distance"), 6).alias("distance"), F.count("distance").alias("pairs"))
+
+
 @query(f"""WITH {P}, s AS (SELECT *, frame_index - row_number() OVER (PARTITION BY segment_id, track_id ORDER BY frame_index) AS g FROM p),
 c AS (SELECT *, count(*) OVER (PARTITION BY segment_id, track_id, g) AS n FROM s) SELECT k FROM c WHERE known OR n >= 5""")
 def q_visible(spark, sf_dir):
@@ -361,6 +406,18 @@ def q_phase_shares(spark, sf_dir):
     return heatmaps.phase_durations(spans, F.lit("a"), 12.3, 1e7, ["run_id"]).select("run_id", r6("offense"), r6("defense"), r6("unknown"))
 
 
+@query(OWNED.rstrip() + INTERVALS[INTERVALS.index(", q AS (SELECT p.*") :].replace(", q AS", ", hq AS").replace("FROM q)", "FROM hq)") + """
+SELECT j.run_id, CASE WHEN owner = 'a' THEN 'offense' WHEN owner IS NULL THEN 'unknown' ELSE 'defense' END AS phase, round(sum(j."end" - j.start), 5) AS seconds, count(*) AS n
+FROM j LEFT JOIN ow ON ow.run_id = j.run_id AND ow.plan = j.plan AND ow.frame_index = j.frame_index WHERE j.team = 'a' GROUP BY ALL""")
+def q_heat_phases(spark, sf_dir):
+    """Presence of team a by phase: intervals joined to the owner of their frame."""
+    spans = evidence(spark, sf_dir).withColumn("direction", F.lit(1)).withColumn("episode", F.lit(0)).select("run_id", "plan", "frame_index", "owner", "direction", "episode")
+    found = heatmaps.with_phases(heat_intervals(spark, sf_dir).where("team = 'a'"), spans)
+    parts = [heatmaps.of_phase(found, "a", phase).withColumn("phase", F.lit(phase)) for phase in ("offense", "defense", "unknown")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("run_id", "phase").agg(F.round(F.sum(F.col("end") - F.col("start")), 5).alias("seconds"), F.count(F.lit(1)).alias("n"))
+
+
 SHOTS = """sh AS (SELECT o_orderkey AS shot_id, o_orderkey // 8000 AS run_id, (o_orderkey // 800) AS segment_id, (o_orderkey // 8)::DOUBLE / 10 + 0.03 AS time_s, o_orderkey % 8 + 1 AS track_id, CASE WHEN o_orderkey % 8 < 4 THEN 'a' ELSE 'b' END AS team,
   CASE WHEN o_custkey % 3 = 0 THEN 'candidate' ELSE 'probable' END AS status, CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_custkey % 4 = 1 THEN -1 ELSE 1 END AS court_direction FROM orders WHERE o_orderkey % 13 = 5 AND o_custkey % 29 <> 7)"""
 
