@@ -102,6 +102,27 @@ def polygon_distance(points: Column, x: Column, y: Column) -> Column:
     return F.when(inside, near).otherwise(-near)
 
 
+def convex_hull(points: Column) -> Column:
+    """The corners of the convex hull of an array of (x, y) arrays, counterclockwise from the leftmost; points on an edge are no corners.
+
+    A chain is a fold over points from left to right: of the corners so far those stay
+    that turn left towards the new point. On a convex chain these are its beginning, so
+    how many there are says where it is cut.
+    """
+    ordered = F.array_sort(F.array_distinct(F.filter(points, lambda p: p[0].isNotNull() & p[1].isNotNull())))
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    def extended(chain: Column, p: Column) -> Column:
+        left = F.size(F.filter(F.sequence(F.lit(2), F.size(chain)), lambda j: turn(F.element_at(chain, j - 1), F.element_at(chain, j), p) > 0))
+        return F.concat(F.when(F.size(chain) < 2, chain).otherwise(F.slice(chain, F.lit(1), left + 1)), F.array(p))
+
+    def chain(ps: Column) -> Column:
+        whole = F.aggregate(ps, F.array().cast("array<array<double>>"), extended)
+        return F.slice(whole, F.lit(1), F.size(whole) - 1)  # the last corner is the other chain's first
+
+    return F.when(F.size(ordered) < 3, ordered).otherwise(F.concat(chain(ordered), chain(F.reverse(ordered))))
+
+
 def mask_valid(encoding: Column, roi: Column, counts: Column, width: Column, height: Column) -> Column:
     """Whether runs fill a region inside the image: alternating lengths from background on, none negative."""
     area = (roi[2] - roi[0]) * (roi[3] - roi[1])
@@ -130,6 +151,25 @@ def mask_runs(roi: Column, counts: Column) -> Column:
     return F.flatten(F.transform(spans, rows))
 
 
+def mask_encode(roi: Column, spans: Column) -> Column:
+    """Runs of a region from stretches (row, first, end) of its object in any order, none overlapping: background and object in turn, row by row; what ``mask_runs`` reads."""
+    wide = (roi[2] - roi[0]).cast("long")
+    area = wide * (roi[3] - roi[1])
+    place = lambda s, c: (s["row"] - roi[1]) * wide + s[c] - roi[0]
+    pieces = F.array_sort(F.transform(F.filter(spans, lambda s: s["end"] > s["first"]), lambda s: F.struct(place(s, "first").cast("long").alias("a"), place(s, "end").cast("long").alias("z"))))
+    starts = F.filter(pieces, lambda s, i: (i == 0) | (F.get(pieces, i - 1)["z"] != s["a"]))
+    ends = F.filter(pieces, lambda s, i: (i == F.size(pieces) - 1) | (F.get(pieces, i + 1)["a"] != s["z"]))
+    runs = F.transform(F.arrays_zip(F.transform(starts, lambda s: s["a"]).alias("a"), F.transform(ends, lambda s: s["z"]).alias("z")), lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z")))
+    alternating = F.flatten(F.transform(runs, lambda s, i: F.array(s["a"] - F.when(i > 0, F.get(runs, i - 1)["z"]).otherwise(0), s["z"] - s["a"])))
+    return F.concat(alternating, F.array(area - F.coalesce(F.element_at(runs, F.when(F.size(runs) > 0, -1))["z"], F.lit(0))))
+
+
+def mask_crop(roi: Column, counts: Column, inner: Column) -> Column:
+    """The runs of a mask within another region of the image: what lies outside goes, what the mask doesn't cover is background."""
+    cut = F.transform(mask_runs(roi, counts), lambda s: F.struct(s["row"].alias("row"), F.greatest(s["first"], inner[0]).alias("first"), F.least(s["end"], inner[2]).alias("end")))
+    return mask_encode(inner, F.filter(cut, lambda s: (s["row"] >= inner[1]) & (s["row"] < inner[3]) & (s["end"] > s["first"])))
+
+
 def simcc(xs: Column, ys: Column, split: float = 2.0) -> tuple[Column, Column, Column]:
     """A keypoint from its two marginal scores: the first largest bins over ``split``, and the mean of both peaks; -1 / split each where that isn't above 0."""
     score = (F.array_max(xs) + F.array_max(ys)) / 2

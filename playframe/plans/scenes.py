@@ -222,3 +222,33 @@ def q_planned_reads(spark, sf_dir):
         F.when(c % 4 > 0, F.col("number")).alias("number"), (0.7 + (c % 30) / 100.0).alias("confidence"),
     )
     return evidence.planned_reads(rows, ["run_id", "segment_id", "track_id"]).select("run_id", "segment_id", "track_id", "frame_index", "run", "votes", "confirmed")
+
+
+@query(f"""WITH {P}, pt AS (SELECT DISTINCT run_id, frame_index, (c % 23)::DOUBLE AS x, ((c // 7 + k) % 19)::DOUBLE AS y FROM p), n AS (SELECT run_id, frame_index, count(*) AS n FROM pt GROUP BY ALL),
+ed AS (SELECT a.run_id, a.frame_index, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM pt a JOIN pt b ON a.run_id = b.run_id AND a.frame_index = b.frame_index AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.run_id = a.run_id AND c.frame_index = a.frame_index AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0))))
+SELECT run_id, frame_index, count(*) AS corners, round(sum(ax * byy - bx * ay) / 2, 4) AS area FROM ed JOIN n USING (run_id, frame_index) WHERE n >= 3 GROUP BY ALL HAVING count(*) >= 3""")
+def q_hull(spark, sf_dir):
+    from playframe.functions import geometry as geo
+
+    rows = persons(spark, sf_dir).groupBy("run_id", "frame_index").agg(F.collect_list(F.array((F.col("c") % 23).cast("double"), ((F.floor(F.col("c") / 7) + F.col("k")) % 19).cast("double"))).alias("points")).withColumn("hull", geo.convex_hull(F.col("points"))).where("size(hull) >= 3")
+    return rows.select("run_id", "frame_index", F.size("hull").cast("long").alias("corners"), F.round(geo.polygon_area(F.col("hull")), 4).alias("area"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS k, 5 + o_custkey % 9 AS w, 4 + o_orderkey % 6 AS h, o_custkey % 13 AS a, o_orderkey % 17 + 1 AS b, o_custkey % 4 AS g FROM orders),
+s AS (SELECT *, unnest(range(w * h)) AS q FROM m), c AS (SELECT * FROM s WHERE (q >= a AND q < a + b) OR (q >= a + b + g AND q < a + b + g + 3)),
+i AS (SELECT k, w, h, (q // w - 1) * (w - 2) + q % w - 2 AS q FROM c WHERE q // w >= 1 AND q // w < h - 1 AND q % w >= 2),
+d AS (SELECT *, q - row_number() OVER (PARTITION BY k ORDER BY q) AS grp FROM i), r AS (SELECT k, w, h, min(q) AS a, max(q) + 1 AS z FROM d GROUP BY k, w, h, grp),
+t AS (SELECT *, a - coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS gap FROM r), x AS (SELECT k, string_agg(gap || ',' || (z - a), ',' ORDER BY a) AS runs, max(z) AS z FROM t GROUP BY k)
+SELECT k, coalesce(runs || ',', '') || ((w - 2) * (h - 2) - coalesce(z, 0)) AS runs FROM m LEFT JOIN x USING (k)""")
+def q_mask_crop(spark, sf_dir):
+    from playframe.functions import geometry as geo
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    w, h, a, b, g = 5 + c % 9, 4 + k % 6, c % 13, k % 17 + 1, c % 4
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), w.alias("w"), h.alias("h"), a.alias("a"), b.alias("b"), g.alias("g"))
+    zero, area = F.lit(0).cast("long"), F.col("w") * F.col("h")
+    clip = lambda v: F.least(v, area)
+    edges = [zero, clip(F.col("a")), clip(F.col("a") + F.col("b")), clip(F.col("a") + F.col("b") + F.col("g")), clip(F.col("a") + F.col("b") + F.col("g") + 3), area]
+    rows = rows.select("k", F.array(zero, zero, F.col("w"), F.col("h")).alias("roi"), F.array(*[q - p for p, q in zip(edges, edges[1:], strict=False)]).alias("counts"), F.array(F.lit(2).cast("long"), F.lit(1).cast("long"), F.col("w"), F.col("h") - 1).alias("inner"))
+    return rows.select("k", F.array_join(F.transform(geo.mask_crop(F.col("roi"), F.col("counts"), F.col("inner")), lambda v: v.cast("string")), ",").alias("runs"))
