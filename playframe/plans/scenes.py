@@ -252,3 +252,32 @@ def q_mask_crop(spark, sf_dir):
     edges = [zero, clip(F.col("a")), clip(F.col("a") + F.col("b")), clip(F.col("a") + F.col("b") + F.col("g")), clip(F.col("a") + F.col("b") + F.col("g") + 3), area]
     rows = rows.select("k", F.array(zero, zero, F.col("w"), F.col("h")).alias("roi"), F.array(*[q - p for p, q in zip(edges, edges[1:], strict=False)]).alias("counts"), F.array(F.lit(2).cast("long"), F.lit(1).cast("long"), F.col("w"), F.col("h") - 1).alias("inner"))
     return rows.select("k", F.array_join(F.transform(geo.mask_crop(F.col("roi"), F.col("counts"), F.col("inner")), lambda v: v.cast("string")), ",").alias("runs"))
+
+
+@query(f"""WITH {P}, b AS (SELECT DISTINCT run_id, segment_id, track_id, frame_index FROM p), na AS (SELECT DISTINCT run_id, segment_id, track_id FROM p WHERE segment_id % 4 = 1 AND track_id < 4),
+u AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY frame_index) - 1 AS i FROM b ANTI JOIN na USING (run_id, segment_id, track_id) WINDOW w AS (PARTITION BY run_id, segment_id, track_id)),
+nr AS (SELECT DISTINCT run_id, segment_id, track_id, frame_index + d AS frame_index FROM p, unnest([0, 2, -2, 4, -4, 8, -8, 16, -16]) AS t(d) WHERE c % 37 = 0)
+SELECT u.run_id, u.segment_id, u.track_id, u.frame_index, nr.frame_index IS NOT NULL AS anchored FROM u LEFT JOIN nr USING (run_id, segment_id, track_id, frame_index)
+WHERE n >= 15 AND (nr.frame_index IS NOT NULL OR i IN (SELECT round_even(k * (n - 1) / 11, 0) FROM range(12) t(k)))""")
+def q_wanted_frames(spark, sf_dir):
+    from playframe.operators import recovery
+
+    rows = persons(spark, sf_dir)
+    reads = rows.where("c % 37 = 0").select("run_id", "segment_id", "track_id", "frame_index", "number", F.lit(0.9).alias("confidence"))
+    return recovery.wanted_frames(rows, rows.where("segment_id % 4 = 1 and track_id < 4"), reads)
+
+
+@query(f"""WITH {P}, pr AS (SELECT run_id, segment_id, track_id, frame_index, CASE WHEN c % 5 = 0 THEN 'old' ELSE 'new' END AS decoder, number, 0.5 + (c % 50) / 100.0 AS confidence FROM p WHERE c % 3 > 0),
+re AS (SELECT run_id, segment_id, track_id, frame_index, 'new' AS decoder, (c % 60 + d)::VARCHAR AS number, 0.4 + (c * (d + 3) % 60) / 100.0 AS confidence FROM p, unnest([0, 1, 2]) AS t(d) WHERE c % 4 = 0),
+be AS (SELECT * FROM re QUALIFY row_number() OVER (PARTITION BY run_id, segment_id, track_id, frame_index ORDER BY confidence DESC, number::DOUBLE) = 1)
+SELECT * FROM pr WHERE decoder = 'old' UNION ALL SELECT run_id, segment_id, track_id, frame_index, 'new', CASE WHEN o.confidence IS NULL OR n.confidence > o.confidence THEN n.number ELSE o.number END, CASE WHEN o.confidence IS NULL OR n.confidence > o.confidence THEN n.confidence ELSE o.confidence END
+FROM (SELECT * FROM pr WHERE decoder = 'new') o FULL JOIN be n USING (run_id, segment_id, track_id, frame_index)""")
+def q_merged_reads(spark, sf_dir):
+    from playframe.operators import recovery
+
+    c, key = F.col("c"), ["run_id", "segment_id", "track_id", "frame_index"]
+    rows = persons(spark, sf_dir)
+    previous = rows.where("c % 3 > 0").select(*key, F.when(c % 5 == 0, "old").otherwise("new").alias("decoder"), "number", (0.5 + (c % 50) / 100.0).alias("confidence"))
+    crops = rows.where("c % 4 = 0").withColumn("d", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    recovered = crops.select(*key, F.lit("new").alias("decoder"), (c % 60 + F.col("d")).cast("string").alias("number"), (0.4 + (c * (F.col("d") + 3) % 60) / 100.0).alias("confidence"))
+    return recovery.merged_reads(previous, recovered, "new")
