@@ -139,9 +139,10 @@ def set_difference(first: DataFrame, second: DataFrame, keys: Keys) -> DataFrame
 
 
 def common_targets(windows: DataFrame, keys: Keys, model: str) -> DataFrame:
-    """Targets that every model has a window for."""
-    models = windows.agg(F.count_distinct(model)).first()[0]
-    return windows.groupBy(*keys).agg(F.count_distinct(model).alias("_n")).where(F.col("_n") == models).select(*keys)
+    """Targets that every model has a window for; how many models there are is one row beside them."""
+    models = windows.agg(F.count_distinct(model).alias("_models"))
+    own = windows.groupBy(*keys).agg(F.count_distinct(model).alias("_n"))
+    return own.crossJoin(F.broadcast(models)).where("_n = _models").select(*keys)
 
 
 def added_proposals(cached: DataFrame, proposals: DataFrame, frame: str) -> DataFrame:
