@@ -9,8 +9,11 @@ third direction, so points above the floor have an image too.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from playframe.operators.sequence import smoothed_rows
+
 #: Height of a rim and its distance from the baseline in metres; what a plausible camera may be.
 RIM_HEIGHT, RIM_FROM_BASELINE = 3.048, 1.6002
 FOCAL, STRETCH, SKEW, MARGIN = (0.4, 8.0), 1.3, 0.2, 0.1
@@ -71,3 +74,56 @@ def rim_anchors(rows: DataFrame, matrix: str, width: Column, height: Column, cou
     shown = lambda c: F.when(F.col(f"{c}.x").between(-MARGIN * width, (1 + MARGIN) * width) & F.col(f"{c}.y").between(0, height), F.array(f"{c}.x", f"{c}.y"))
     rims = F.when(F.col("focal").isNotNull(), F.array_compact(F.array(shown("_left"), shown("_right"))))
     return rows.withColumn("rims", F.coalesce(rims, F.array().cast("array<array<double>>"))).drop("up", "_left", "_right")
+
+
+# --- fits over time
+
+#: Seconds of smoothing, pixels of a jump that begins anew, and the longest pause between fits.
+TAU, JUMP, PAUSE = 0.5, 40.0, 0.5
+
+
+def corner_columns(rows: DataFrame, matrix: str, court_length: float, court_width: float) -> DataFrame:
+    """Adds ``corner`` columns x0, y0 .. x3, y3: the court's corners in the image by ``matrix`` (nine numbers); null where one is at infinity."""
+    m = lambda i, j: F.col(matrix)[3 * i + j]
+    spots = ((0.0, 0.0), (court_length, 0.0), (court_length, court_width), (0.0, court_width))
+    at = lambda i, p: m(i, 0) * p[0] + m(i, 1) * p[1] + m(i, 2)
+    depth = lambda p: F.when(F.abs(at(2, p)) > 1e-9, at(2, p))
+    return rows.withColumns({f"{axis}{k}": at(i, p) / depth(p) for k, p in enumerate(spots) for i, axis in enumerate("xy")})
+
+
+def stabilised(fits: DataFrame, keys: list[str], matrix: str, court_length: float, court_width: float, tau: float = TAU) -> DataFrame:
+    """Adds ``smooth_x0`` .. ``smooth_y3`` to fits (frame_index, timestamp_s, scene_cut, matrix): the corners smoothed over time, and ``stretch``, the unbroken series they belong to.
+
+    A series ends at a cut, a pause of more than half a second, and where a corner jumps
+    by more than 40 pixels from the fit before, as that is another view and no jitter.
+    Smoothing is on image points, on which an average means something; on matrix
+    entries it wouldn't.
+    """
+    corners = [f"{a}{k}" for k in range(4) for a in "xy"]
+    rows = corner_columns(fits, matrix, court_length, court_width).where(" and ".join(f"{c} is not null" for c in corners))
+    w = W.partitionBy(*keys).orderBy("frame_index")
+    back = lambda c: F.lag(c).over(w)
+    moved = F.greatest(*[F.sqrt((F.col(f"x{k}") - back(f"x{k}")) ** 2 + (F.col(f"y{k}") - back(f"y{k}")) ** 2) for k in range(4)])
+    joined = ~F.coalesce("scene_cut", F.lit(False)) & (F.col("timestamp_s") - back("timestamp_s") <= PAUSE) & (moved <= JUMP)
+    rows = rows.withColumn("_new", (~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("stretch", F.sum("_new").over(w) - 1).drop("_new")
+    return smoothed_rows(rows, [*keys, "stretch"], "timestamp_s", corners, tau)
+
+
+def jitter_report(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key, of ``stabilised`` fits: how far corners move from fit to fit, raw and smoothed, in mean and 95th percentile, how far smoothing takes them from the raw ones, and the steps compared.
+
+    Both sides are compared on the same steps, those within a series.
+    """
+    w = W.partitionBy(*keys, "stretch").orderBy("frame_index")
+
+    def steps(prefix: str) -> Column:
+        d = [F.sqrt((F.col(f"{prefix}x{k}") - F.lag(f"{prefix}x{k}").over(w)) ** 2 + (F.col(f"{prefix}y{k}") - F.lag(f"{prefix}y{k}").over(w)) ** 2) for k in range(4)]
+        return sum(d[1:], d[0]) / 4
+
+    off = [F.sqrt((F.col(f"x{k}") - F.col(f"smooth_x{k}")) ** 2 + (F.col(f"y{k}") - F.col(f"smooth_y{k}")) ** 2) for k in range(4)]
+    found = rows.withColumns({"_raw": steps(""), "_smooth": steps("smooth_"), "_off": sum(off[1:], off[0]) / 4}).where("_raw is not null")
+    tail = lambda c: F.percentile(c, F.lit(0.95))
+    out = found.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("steps"), F.avg("_raw").alias("raw_mean"), F.avg("_smooth").alias("smooth_mean"), tail("_raw").alias("raw_p95"), tail("_smooth").alias("smooth_p95"), F.avg("_off").alias("offset_mean"),
+    )
+    return out.withColumn("ratio", F.try_divide("smooth_mean", F.nullif("raw_mean", F.lit(0.0))))

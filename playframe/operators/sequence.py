@@ -114,6 +114,38 @@ def smoothed(df: DataFrame, keys: Keys, order: str, value: str, tau: float) -> D
     return rows.groupBy(*keys).agg(F.sum(F.col("_add") * F.exp(-F.col("_age") / tau)).alias("smoothed"), F.count(F.lit(1)).alias("n"))
 
 
+def smoothed_rows(df: DataFrame, keys: Keys, order: str, values: list[str], tau: float) -> DataFrame:
+    """Adds ``smooth_<value>`` to every row: the time-aware exponential average of its key's values up to it.
+
+    What a row adds, 1 - exp(-dt / tau) of its value (the first all of it), decays by
+    exp(-age / tau). A key is cut into blocks of twenty tau; within a block this is a
+    running sum in units of the block's start, and from earlier blocks the totals of the
+    last three that have rows are carried on, as what lies before has decayed below the
+    precision of a double. So no history is held and a long key is many small windows.
+    Rows without a time or without one of the values are left out; of rows at one time
+    the later ones add nothing.
+    """
+    span = 20.0 * tau
+    rows = df.where(F.col(order).isNotNull())
+    for v in values:
+        rows = rows.where(F.col(v).isNotNull())
+    rows = rows.withColumn("_t", F.col(order).cast("double")).withColumn("_block", F.floor(F.col("_t") / span))
+    start = F.col("_block") * span
+    step = F.col("_t") - F.lag("_t").over(W.partitionBy(*keys).orderBy("_t", *values))
+    rows = rows.withColumn("_share", F.coalesce(1 - F.exp(-step / tau), F.lit(1.0)) * F.exp((F.col("_t") - start) / tau))
+    own = W.partitionBy(*keys, "_block").orderBy("_t", *values).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_own_{v}": F.sum(F.col(v) * F.col("_share")).over(own) for v in values})
+    blocks = rows.groupBy(*keys, "_block").agg(*[F.sum(F.col(v) * F.col("_share")).alias(f"_all_{v}") for v in values])
+    w = W.partitionBy(*keys).orderBy("_block")
+    age = lambda k: (F.col("_block") - F.lag("_block", k).over(w)) * span / tau
+    carried = lambda v: sum((F.coalesce(F.lag(f"_all_{v}", k).over(w) * F.exp(-age(k)), F.lit(0.0)) for k in (1, 2, 3)), F.lit(0.0))
+    blocks = blocks.select(*keys, "_block", *[carried(v).alias(f"_before_{v}") for v in values])
+    rows = rows.join(blocks, [*keys, "_block"])
+    decay = F.exp(-(F.col("_t") - start) / tau)
+    out = rows.withColumns({f"smooth_{v}": (F.col(f"_own_{v}") + F.col(f"_before_{v}")) * decay for v in values})
+    return out.drop("_t", "_block", "_share", *[f"_{k}_{v}" for k in ("own", "before") for v in values])
+
+
 def switches(df: DataFrame, keys: Keys, order: str, value: str, ahead: int = 5, support: int = 3, gap: float | None = None) -> DataFrame:
     """Sustained switches of a label: adds ``episode``, from 0.
 

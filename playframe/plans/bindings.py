@@ -112,6 +112,15 @@ def q_distance_smoothed(spark, sf_dir):
     return sequence.smoothed(events(spark, sf_dir), ["user_id"], "us", "value", 6.0 * HOUR).select("user_id", r6("smoothed"), "n")
 
 
+@query(f"""
+WITH RECURSIVE {EV}, o AS (SELECT event_id, user_id, us, value, row_number() OVER (PARTITION BY user_id ORDER BY us, value) AS k FROM e WHERE value IS NOT NULL),
+f AS (SELECT user_id, k, us, event_id, value AS v FROM o WHERE k = 1
+      UNION ALL SELECT o.user_id, o.k, o.us, o.event_id, f.v + (1 - exp(-(o.us - f.us) / {6.0 * HOUR})) * (o.value - f.v) FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT event_id, round(v, 6) AS smooth_value FROM f""")
+def q_smoothed_rows(spark, sf_dir):
+    return sequence.smoothed_rows(events(spark, sf_dir), ["user_id"], "us", ["value"], 6.0 * HOUR).select("event_id", r6("smooth_value"))
+
+
 @query(f"""
 WITH {EV}, c AS (SELECT user_id, event_type, count(*) AS n, min(us) AS f FROM e GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS votes, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS k FROM c)

@@ -250,3 +250,54 @@ def test_reversed_cameras_turn_to_one_basket(spark):
     phases = df.withColumns({"owner": F.when(F.col("frame_index") == 2, "b").otherwise("a"), "episode": F.lit(0), "distance": F.abs(F.col("x2") - F.col("x1"))})
     moved, _ = heatmaps.heatmap(heatmaps.of_phase(phases, "a", "offense"), ["run_id"], 0.0, 1.0, 30.0, 15.0, metric="movement", half=True)
     assert {r.run_id: round(r.m, 9) for r in moved.groupBy("run_id").agg(F.sum("mass").alias("m")).collect()} == {0: 1.0, 1: 1.0}
+
+
+# --- fits over time
+
+
+def jittered(rng, n=120, cut=60):
+    """Fits of a slowly panning camera with noise on the pan; at ``cut`` it looks elsewhere."""
+    out = []
+    for i in range(n):
+        pan = 0.1 + 0.0005 * i + (0.3 if i >= cut else 0.0) + float(rng.normal(0, 0.002))
+        out.append((0, i, i / 25, False, (camera(1100.0, 0.35, pan, np.array([14.0, -22.0, 9.0]))[:, [0, 1, 3]]).reshape(-1).tolist()))
+    return out
+
+
+def test_smoothed_fits_move_less_and_do_not_cross_a_jump(spark):
+    rows = jittered(np.random.default_rng(2))
+    df = spark.createDataFrame(rows, "run_id int, frame_index long, timestamp_s double, scene_cut boolean, matrix array<double>")
+    found = cameras.stabilised(df, ["run_id"], "matrix", LENGTH, WIDTH)
+    got = found.orderBy("frame_index").collect()
+    assert len(got) == 120 and [r.stretch for r in got] == [0] * 60 + [1] * 60
+    for name in ("x0", "y2"):
+        want, last = [], None
+        for i, r in enumerate(got):
+            v = r[name]
+            if last is None or i == 60:
+                last = v
+            else:
+                last += (1 - np.exp(-(r.timestamp_s - got[i - 1].timestamp_s) / cameras.TAU)) * (v - last)
+            want.append(last)
+        assert np.allclose([r[f"smooth_{name}"] for r in got], want, rtol=1e-9)
+    report = cameras.jitter_report(found, ["run_id"]).first()
+    assert report.steps == 118 and report.ratio < 0.4 and report.smooth_p95 < report.raw_p95 and report.offset_mean < 40
+    assert cameras.stabilised(df.withColumn("scene_cut", F.col("frame_index") == 30), ["run_id"], "matrix", LENGTH, WIDTH).agg(F.max("stretch")).first()[0] == 2
+
+
+def test_smoothing_of_rows_equals_a_fold_over_long_pauses(spark):
+    from playframe.operators.sequence import smoothed_rows
+
+    rng = random.Random(9)
+    rows, want = [], {}
+    for key in range(3):
+        t, v = 1000.0 * key, None
+        for i in range(300):
+            dt = rng.choice([0.01, 0.1, 1.0, 5.0, 80.0])
+            t += dt
+            x = rng.uniform(-5, 5)
+            v = x if v is None else v + (1 - np.exp(-dt / 0.7)) * (x - v)
+            rows.append((key, t, x))
+            want[key, round(t, 6)] = v
+    got = smoothed_rows(spark.createDataFrame(rows, "k int, t double, x double").repartition(5), ["k"], "t", ["x"], 0.7).collect()
+    assert len(got) == 900 and all(r.smooth_x == pytest.approx(want[r.k, round(r.t, 6)], abs=1e-9) for r in got)
