@@ -152,34 +152,40 @@ def switches(df: DataFrame, keys: Keys, order: str, value: str, ahead: int = 5,
     A known label that differs from the current one starts an episode if among this
     and the next ``ahead - 1`` rows, gaps or not, it has ``support`` votes and the
     current one has none. The first current label is the first known one ahead. A step
-    of more than ``gap`` starts an episode too, and the current label anew. Whether a
-    row switches depends on the labels accepted before it, so a key is one fold, linear
-    in its rows.
+    of more than ``gap`` starts an episode too, and the current label anew.
+
+    Only rows with enough votes can switch. Where all labels ahead are one, that label is
+    the current one afterwards, whatever came before, so the label before such a row is
+    that of the last one like it. Only where rows with enough votes have other labels
+    ahead does a decision depend on the chain of those before: these stretches between
+    gaps are folded, and of them only the rows with enough votes.
     """
+    w = W.partitionBy(*keys).orderBy(order, F.col(value).asc_nulls_first())
+    rows = df.select(*keys, order, value).withColumn("_i", F.row_number().over(w)).withColumn("_near", F.collect_list(value).over(w.rowsBetween(0, ahead - 1)))
+    step = F.col(order) - F.lag(order).over(w)
+    rows = rows.withColumn("_gap", F.coalesce(step > gap, F.lit(False)).cast("int") if gap is not None else F.lit(0))
+    rows = rows.withColumn("_first", F.first(value, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))).withColumn("_part", F.sum("_gap").over(w))
+    able = F.col(value).isNotNull() & (F.size(F.filter("_near", lambda v: v == F.col(value))) >= support)
+    rows = rows.withColumn("_able", F.coalesce(able, F.lit(False))).withColumn("_near", F.array_distinct("_near"))
+    part = W.partitionBy(*keys, "_part").orderBy("_i")
+    rows = rows.withColumn("_first", F.first("_first").over(part)).withColumn("_mixed", F.max(F.col("_able") & (F.size("_near") > 1)).over(W.partitionBy(*keys, "_part")))
+    rows = rows.withColumn("_now", F.coalesce(F.last(F.when(F.col("_able"), F.col(value)), ignorenulls=True).over(part.rowsBetween(W.unboundedPreceding, -1)), F.col("_first")))
+    plain = (F.col("_able") & (F.col(value) != F.col("_now"))).cast("int")
     kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], f"{order} {kinds[order]}", f"{value} {kinds[value]}", "episode int"])
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "_i int"])
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order, value], kind="stable", na_position="first")
-        labels = [None if pd.isna(v) else v for v in rows[value]]
-        times = rows[order].tolist()
-        known_ahead, first = [None] * len(labels), None
-        for i in range(len(labels) - 1, -1, -1):
-            first = known_ahead[i] = labels[i] if labels[i] is not None else first
-        now, episode, out = known_ahead[0] if labels else None, 0, []
-        for i, label in enumerate(labels):
-            if gap is not None and i and times[i] - times[i - 1] > gap:
-                episode, now = episode + 1, known_ahead[i]
-            elif label is not None and now is not None and label != now:
-                near = labels[i : i + ahead]
-                if near.count(label) >= support and now not in near:
-                    episode, now = episode + 1, label
-            elif now is None:
-                now = label
-            out.append(episode)
-        return rows.assign(episode=pd.array(out, "Int32"))[[*keys, order, value, "episode"]]
-
-    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(fold, schema)
+        rows = rows.sort_values("_i", kind="stable")
+        now, found = rows["_first"].iloc[0], []
+        for label, near in zip(rows[value], rows["_near"], strict=True):
+            found.append(label != now and now not in near)
+            now = label if found[-1] else now
+        return rows.loc[found, [*keys, "_i"]]
+
+    turned = rows.where("_mixed and _able").select(*keys, "_part", "_i", value, "_near", "_first").groupBy(*keys, "_part").applyInPandas(fold, schema).withColumn("_turn", F.lit(1))
+    rows = rows.join(turned, [*keys, "_i"], "left").withColumn("_switch", F.when(F.col("_mixed"), F.coalesce("_turn", F.lit(0))).otherwise(plain))
+    episode = F.sum(F.col("_switch") + F.col("_gap")).over(W.partitionBy(*keys).orderBy("_i"))
+    return rows.select(*keys, order, value, episode.cast("int").alias("episode"))
 
 
 def spaced(df: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:

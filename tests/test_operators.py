@@ -144,3 +144,34 @@ def test_observations(spark, tmp_path):
     for n in (3, 5):
         observations.publish(spark.range(n).toDF("id"), str(tmp_path / "table"))
         assert spark.read.parquet(str(tmp_path / "table")).count() == n
+
+
+def test_switches_equal_a_fold(spark):
+    """Of two and of four labels, with and without gaps."""
+    import random
+
+    from playframe.operators import sequence
+
+    rng = random.Random(2)
+    tracks = {}
+    for k in range(30):
+        t, label, labels = 0, "a", "ab" if k % 3 == 0 else "abcd"
+        rows = tracks.setdefault(k, [])
+        for _ in range(rng.randint(1, 120)):
+            t += rng.choice([1, 1, 1, 2, 9])
+            label = rng.choice(labels) if rng.random() < 0.12 else label
+            rows.append((t, None if rng.random() < 0.15 else label if rng.random() < 0.8 else rng.choice(labels)))
+    df = spark.createDataFrame([(k, *r) for k, rows in tracks.items() for r in rows], "k int, t int, v string")
+    for gap in (None, 5):
+        want = []
+        for k, rows in tracks.items():
+            ahead = [next((v for _, v in rows[i:] if v), None) for i in range(len(rows))]
+            now, episode = ahead[0], 0
+            for i, (t, v) in enumerate(rows):
+                near = [x for _, x in rows[i : i + 5]]
+                if gap and i and t - rows[i - 1][0] > gap:
+                    now, episode = ahead[i], episode + 1
+                elif v and v != now and near.count(v) >= 3 and now not in near:
+                    now, episode = v, episode + 1
+                want.append((k, t, episode))
+        assert sorted((r.k, r.t, r.episode) for r in sequence.switches(df, ["k"], "t", "v", gap=gap).collect()) == sorted(want)
