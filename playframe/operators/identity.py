@@ -153,9 +153,9 @@ def handoffs(ends: DataFrame, named: DataFrame, cuts: DataFrame, crowd: DataFram
     rows = rows.where((F.least(*heights) / F.greatest(*heights) >= HEIGHT_RATIO) & (F.col("_color").isNull() | (F.col("_color") == F.col("team"))))
     cut = cuts.select(*[F.col(c).alias(f"_{c}") for c in segment], F.col("frame_index").alias("_cut"))
     rows = rows.join(cut, same_keys(segment) & (F.col("_cut") > F.col("last.frame_index")) & (F.col("_cut") <= F.col("_first.frame_index")), "left_anti")
-    for track, frame in (("track_id", "last.frame_index"), ("to_track", "_first.frame_index")):
+    for who, frame in (("track_id", "last.frame_index"), ("to_track", "_first.frame_index")):
         c = crowd.select(*[F.col(c).alias(f"_{c}") for c in segment], F.col("frame_index").alias("_f"), F.col("track_id").alias("_k"))
-        rows = rows.join(c, same_keys(segment) & (F.col(frame) == F.col("_f")) & (F.col(track) == F.col("_k")), "left_anti")
+        rows = rows.join(c, same_keys(segment) & (F.col(frame) == F.col("_f")) & (F.col(who) == F.col("_k")), "left_anti")
     n = F.count(F.lit(1))
     rows = rows.withColumn("_from", n.over(W.partitionBy(*track, "span"))).withColumn("_to", n.over(W.partitionBy(*segment, "to_track", "to_span"))).where("_from = 1 and _to = 1")
     rows = rows.select(*track, "span", "to_track", "to_span", "team", "number", F.round("gap", 4).alias("gap"), F.round("distance", 4).alias("distance"), F.col("_first.t").alias("start"), F.col("_last.t").alias("end"))
