@@ -231,9 +231,12 @@ def tolerance_sensitivity(frames: DataFrame, tolerances: list[float]) -> DataFra
 
 
 def averaged_maps(windows: DataFrame, keys: list[str], cells: str = "cells") -> DataFrame:
-    """Per frame the mean of its overlapping windows' maps, the place of the largest cell and its value; maps are arrays of one length."""
+    """Per frame the mean of its overlapping windows' maps, the place of the largest cell and its value; maps are arrays of one length.
+
+    Means that agree to nine places are equal, as their last digits depend on the order of the sum; of equal cells the first counts.
+    """
     rows = windows.select(*keys, F.posexplode(cells).alias("cell", "_v")).groupBy(*keys, "cell").agg(F.avg("_v").alias("value"), F.count(F.lit(1)).alias("windows"))
-    return rows.groupBy(*keys).agg(F.max(F.struct("value", (-F.col("cell")).alias("_c"))).alias("_m"), F.max("windows").alias("windows")).select(*keys, (-F.col("_m._c")).alias("cell"), F.col("_m.value").alias("value"), "windows")
+    return rows.groupBy(*keys).agg(F.max(F.struct(F.round("value", 9).alias("_v"), (-F.col("cell")).alias("_c"))).alias("_m"), F.max("value").alias("value"), F.max("windows").alias("windows")).select(*keys, (-F.col("_m._c")).alias("cell"), "value", "windows")
 
 
 def mask_agreement(overlap: Column, a: Column, b: Column) -> dict[str, Column]:
