@@ -34,3 +34,9 @@ def test_equal_means_of_maps_take_the_first_cell(held):
     # 0.07 * 50 is 3.5000000000000004, which beats the mean 3.5 of the first cells only in its last digit.
     rows = held("q_averaged_maps", "lineitem", [line(3, 1, 3, discount=0.07), line(4, 1, 4, discount=0.07)], LINES)
     assert rows == [(0.0, 1.0, 3.5, 2.0)]
+
+
+def test_extra_records_beyond_a_million_keys(held):
+    # 93 is missing, and 93 + 1000000 is a key of the table that is missing too while the export adds it.
+    rows = held("q_export_differences", "orders", [(5, 86, "O", 1.0), (1000005, 93, "O", 1.0), (7, 1, "O", 1.0)], ORDERS)
+    assert rows == [(1000005.0, "extra"), (1000005.0, "missing")]
