@@ -40,3 +40,17 @@ def test_extra_records_beyond_a_million_keys(held):
     # 93 is missing, and 93 + 1000000 is a key of the table that is missing too while the export adds it.
     rows = held("q_export_differences", "orders", [(5, 86, "O", 1.0), (1000005, 93, "O", 1.0), (7, 1, "O", 1.0)], ORDERS)
     assert rows == [(1000005.0, "extra"), (1000005.0, "missing")]
+
+
+def test_spaced_rows_in_order_of_frames_with_rows_that_always_stay(spark):
+    from pyspark.sql import functions as F
+
+    from playframe.operators import sequence
+
+    rows = [(k, f, float(t), f < 2) for k in (1, 2) for f, t in enumerate((0, 1, 2, 4, 5, 9))]
+    df = sequence.dealt(spark.createDataFrame(rows, "k long, f long, t double, first boolean"), ["k"], 3)
+    assert df.rdd.getNumPartitions() >= 3
+    kept = sequence.spaced(df, ["k"], "t", 3.0, "f", F.col("first"))
+    # 0 and 1 stay in any case; 4 is three after 1, 9 four after 5.
+    assert sorted((r.k, r.f) for r in kept.collect()) == [(k, f) for k in (1, 2) for f in (0, 1, 3, 5)]
+    assert "FlatMapGroupsInPandas" not in kept._jdf.queryExecution().toString()
