@@ -10,11 +10,19 @@ Keys = list[str]
 
 
 def segments(frames: DataFrame, keys: Keys, cut: Column) -> DataFrame:
-    """Adds ``segment``: how many cuts there have been; the first frame is none."""
-    w = W.partitionBy(*keys).orderBy("frame_index")
-    first = F.lag("frame_index").over(w).isNull()
-    rows = frames.withColumn("_cut", (F.coalesce(cut, F.lit(False)) & ~first).cast("int"))
-    return rows.withColumn("segment", F.sum("_cut").over(w)).drop("_cut")
+    """Adds ``segment``: how many cuts there have been; the first frame is none.
+
+    Each block of frames is a window of its own and goes on from the cuts of the blocks
+    before it, so one sequence may be a whole table.
+    """
+    from playframe.operators.sequence import BLOCK, beside
+
+    rows = frames.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("long")).withColumn("_block", F.floor(F.col("frame_index") / BLOCK))
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum("_cut").alias("_n"), F.min_by("_cut", "frame_index").alias("_head"))
+    w = W.partitionBy(*keys).orderBy("_block")
+    blocks = blocks.select(*keys, "_block", (F.sum("_n").over(w) - F.col("_n") - F.first("_head").over(w)).alias("_before"))
+    own = F.sum("_cut").over(W.partitionBy(*keys, "_block").orderBy("frame_index"))
+    return beside(rows.withColumn("_own", own), blocks, [*keys, "_block"]).withColumn("segment", F.col("_before") + F.col("_own")).drop("_cut", "_block", "_own", "_before")
 
 
 def forced_cuts(frames: DataFrame, keys: Keys, boundaries: Column, reset: Column) -> DataFrame:

@@ -90,9 +90,11 @@ def q_plans(spark, sf_dir):
     return heatmaps.plans(frame_table(spark, sf_dir)).select("run_id", "frame_index", "plan")
 
 
-@query(f"WITH {FRAMES} SELECT run_id, frame_index, sum((frame_index % 250 = 170)::INT) OVER (PARTITION BY run_id ORDER BY frame_index)::BIGINT AS segment FROM f")
+@query(f"""WITH {FRAMES} SELECT run_id, frame_index, sum((frame_index % 250 = 170)::INT) OVER (PARTITION BY run_id ORDER BY frame_index)::BIGINT AS run_segment, sum((frame_index % 250 = 170)::INT) OVER (ORDER BY frame_index)::BIGINT AS segment FROM f""")
 def q_segments(spark, sf_dir):
-    return fr.segments(frame_table(spark, sf_dir), ["run_id"], F.col("scene_cut")).select("run_id", "frame_index", "segment")
+    """Segments of the whole sequence of frames, and of each run."""
+    runs = fr.segments(frame_table(spark, sf_dir), ["run_id"], F.col("scene_cut")).withColumnRenamed("segment", "run_segment")
+    return fr.segments(runs, [], F.col("scene_cut")).select("run_id", "frame_index", "run_segment", "segment")
 
 
 INTERVALS = f"""WITH {FRAMES}, q AS (SELECT p.*, plan, 'roster:' || team || ':' || number AS subject FROM p JOIN plans USING (run_id, frame_index) WHERE role = 'player'),

@@ -54,3 +54,31 @@ def test_spaced_rows_in_order_of_frames_with_rows_that_always_stay(spark):
     # 0 and 1 stay in any case; 4 is three after 1, 9 four after 5.
     assert sorted((r.k, r.f) for r in kept.collect()) == [(k, f) for k in (1, 2) for f in (0, 1, 3, 5)]
     assert "FlatMapGroupsInPandas" not in kept._jdf.queryExecution().toString()
+
+
+def test_rallies_go_on_from_block_to_block(held):
+    # 57 is the only gap; frames are cut at 65,536 and again behind 131,072, where a missing frame ends the rally.
+    keys = [*range(50, 57), *range(58, 60), *range(65530, 65545), *range(131060, 131072), 131073, 196608]
+    held("q_rallies", "orders", [(k, k, "O", float(k)) for k in keys], ORDERS)
+
+
+def test_triplets_across_blocks(held):
+    rows = held("q_triplets", "orders", [(k, k, "O", float(k)) for k in [*range(65530, 65545), *range(131065, 131079)]], ORDERS)
+    assert (65536.0, 65534.0, 65535.0, 65536.0, 65536.0) in rows
+
+
+@pytest.mark.parametrize(("query", "table"), [("q_rallies", "orders"), ("q_triplets", "orders"), ("q_average_precision", "lineitem"), ("q_coco_annotations", "lineitem")])
+def test_no_window_gets_all_rows_of_a_key(spark, tmp_path, query, table):
+    """Windows are over blocks of rows, or in order of blocks (one row each) or of recall points."""
+    rows = [(k, k, "O", float(k)) for k in range(150)] if table == "orders" else [line(5 * k, 1, k % 50, price=k * 7 % 1009) for k in range(300)]
+    spark.createDataFrame(rows, ORDERS if table == "orders" else LINES).write.parquet(str(tmp_path / f"{table}.parquet"))
+    plan = bindings.QUERIES[query](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [w for w in plan.splitlines() if w.lstrip("+- :").startswith("Window ")]
+    assert windows
+    assert all(any(name in w for name in ("_block", "_part", "_point")) for w in windows), windows
+
+
+def test_segments_count_over_the_whole_table(held):
+    # Frames 170 and 420 of run 0, 1170 of run 1 and, beyond the first block of frames, 65670 of run 65 are cuts.
+    rows = held("q_segments", "orders", [(8 * f, 1, "O", 1.0) for f in (0, 170, 171, 420, 1000, 1170, 65530, 65540, 65670)], ORDERS)
+    assert [r[-1] for r in sorted(rows)] == [0.0, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 4.0]
