@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from playframe.functions.tracking import run_keys
 from playframe.operators.matching import BOX, _in_frames, iou_matrix
+from playframe.operators.sequence import beside, order_blocks
 
 #: Area ranges in source pixels, both ends inside.
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
@@ -85,13 +86,22 @@ def outcome_counts(events: DataFrame, keys: list[str]) -> DataFrame:
 def precision_curve(events: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """Per key, IoU threshold and prediction in the order of scores: ``tp_so_far``, ``seen``, ``recall`` and ``precision``.
 
-    Equal scores go by frame and id. The running counts go through one window for each
-    key and threshold; ``average_precision`` counts per score first.
+    Equal scores go by frame and id. Predictions are cut into blocks in this order; each
+    is a window of its own and goes on from the counts of the blocks before it.
     """
     support = events.where("outcome in ('tp', 'fn')").groupBy(*keys, "iou_threshold").agg(F.count(F.lit(1)).alias("support"))
-    w = W.partitionBy(*keys, "iou_threshold").orderBy(F.desc("score"), frame, "prediction_id")
-    rows = events.where("outcome in ('tp', 'fp')").withColumn("tp_so_far", F.sum((F.col("outcome") == "tp").cast("long")).over(w)).withColumn("seen", F.row_number().over(w))
-    rows = rows.join(support, [*keys, "iou_threshold"])
+    rows = events.where("outcome in ('tp', 'fp')")
+    falling = F.when(F.isnan("score"), float("-inf")).otherwise(-F.col("score"))  # as a descending order has it: no number first, nulls last
+    of, fall = [*keys, "iou_threshold"], [F.col("score").isNull(), falling, F.col(frame), F.col("prediction_id")]
+    rows = rows.withColumn("_block", order_blocks(rows, [*map(F.col, of), *fall]))
+    tp = F.sum((F.col("outcome") == "tp").cast("long"))
+    counts = rows.groupBy(*of, "_block").agg(tp.alias("_tp"), F.count(F.lit(1)).alias("_n"))
+    before = lambda c: F.coalesce(F.sum(c).over(W.partitionBy(*of).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*of, "_block", before("_tp").alias("_tp"), before("_n").alias("_n"))
+    w = W.partitionBy(*of, "_block").orderBy(*fall)
+    rows = beside(rows.withColumn("_own_tp", tp.over(w)).withColumn("_own_n", F.row_number().over(w)), counts, [*of, "_block"])
+    rows = rows.withColumn("tp_so_far", F.col("_tp") + F.col("_own_tp")).withColumn("seen", F.col("_n") + F.col("_own_n")).drop("_block", "_tp", "_n", "_own_tp", "_own_n")
+    rows = rows.join(support, of)
     return rows.withColumn("recall", F.col("tp_so_far") / F.col("support")).withColumn("precision", F.col("tp_so_far") / F.col("seen"))
 
 
@@ -102,14 +112,12 @@ def average_precision(events: DataFrame, keys: list[str], frame: str) -> DataFra
     prediction reaches it.
     """
     support = events.groupBy(*keys, "iou_threshold").agg(F.count(F.when(F.col("outcome").isin("tp", "fn"), 1)).alias("support"))
-    curve = precision_curve(events, keys, frame)
-    # Each recall level is first reached by one prediction of every level's step; the best precision from there on is a running maximum.
-    steps = curve.groupBy(*keys, "iou_threshold", "support", "tp_so_far").agg(F.max("precision").alias("_p")).where("tp_so_far > 0")
-    best = F.max("_p").over(W.partitionBy(*keys, "iou_threshold").orderBy(F.desc("tp_so_far")))
-    steps = steps.withColumn("_best", best)
-    # The points that this level answers: those in (recall of the level before, its own], and 0 with the first.
-    points = F.floor(F.col("tp_so_far") * (RECALLS - 1) / F.col("support") + 1e-9) - F.when(F.col("tp_so_far") == 1, -1).otherwise(F.floor((F.col("tp_so_far") - 1) * (RECALLS - 1) / F.col("support") + 1e-9))
-    sums = steps.groupBy(*keys, "iou_threshold").agg(F.sum(points * F.col("_best")).alias("_sum"))
+    # Predictions by the last recall point they reach: at most 101 rows a key, from which on the best precision is a running maximum.
+    reached = F.floor(F.col("tp_so_far") * (RECALLS - 1) / F.col("support") + 1e-9).alias("_point")
+    steps = precision_curve(events, keys, frame).where("tp_so_far > 0").groupBy(*keys, "iou_threshold", reached).agg(F.max("precision").alias("_p"))
+    w = W.partitionBy(*keys, "iou_threshold")
+    steps = steps.withColumn("_best", F.max("_p").over(w.orderBy(F.desc("_point")))).withColumn("_points", F.col("_point") - F.coalesce(F.lag("_point").over(w.orderBy("_point")), F.lit(-1)))
+    sums = steps.groupBy(*keys, "iou_threshold").agg(F.sum(F.col("_points") * F.col("_best")).alias("_sum"))
     out = support.join(sums, [*keys, "iou_threshold"], "left")
     return out.select(*keys, "iou_threshold", "support", F.when(F.col("support") > 0, F.coalesce("_sum", F.lit(0.0)) / RECALLS).alias("ap"))
 
