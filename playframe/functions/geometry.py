@@ -151,17 +151,28 @@ def mask_runs(roi: Column, counts: Column) -> Column:
     return F.flatten(F.transform(spans, rows))
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)``, where ``value`` is used within lambdas: as a variable it is computed once a row, not once for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def mask_encode(roi: Column, spans: Column) -> Column:
     """Runs of a region from stretches (row, first, end) of its object in any order, none overlapping: background and object in turn, row by row; what ``mask_runs`` reads."""
     wide = (roi[2] - roi[0]).cast("long")
     area = wide * (roi[3] - roi[1])
     place = lambda s, c: (s["row"] - roi[1]) * wide + s[c] - roi[0]
-    pieces = F.array_sort(F.transform(F.filter(spans, lambda s: s["end"] > s["first"]), lambda s: F.struct(place(s, "first").cast("long").alias("a"), place(s, "end").cast("long").alias("z"))))
-    starts = F.filter(pieces, lambda s, i: (i == 0) | (F.get(pieces, i - 1)["z"] != s["a"]))
-    ends = F.filter(pieces, lambda s, i: (i == F.size(pieces) - 1) | (F.get(pieces, i + 1)["a"] != s["z"]))
-    runs = F.transform(F.arrays_zip(F.transform(starts, lambda s: s["a"]).alias("a"), F.transform(ends, lambda s: s["z"]).alias("z")), lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z")))
-    alternating = F.flatten(F.transform(runs, lambda s, i: F.array(s["a"] - F.when(i > 0, F.get(runs, i - 1)["z"]).otherwise(0), s["z"] - s["a"])))
-    return F.concat(alternating, F.array(area - F.coalesce(F.element_at(runs, F.when(F.size(runs) > 0, -1))["z"], F.lit(0))))
+    sorted_pieces = F.array_sort(F.transform(F.filter(spans, lambda s: s["end"] > s["first"]), lambda s: F.struct(place(s, "first").cast("long").alias("a"), place(s, "end").cast("long").alias("z"))))
+
+    def joined(pieces: Column) -> Column:
+        starts = F.filter(pieces, lambda s, i: (i == 0) | (F.get(pieces, i - 1)["z"] != s["a"]))
+        ends = F.filter(pieces, lambda s, i: (i == F.size(pieces) - 1) | (F.get(pieces, i + 1)["a"] != s["z"]))
+        return F.transform(F.arrays_zip(F.transform(starts, lambda s: s["a"]).alias("a"), F.transform(ends, lambda s: s["z"]).alias("z")), lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z")))
+
+    def counted(runs: Column) -> Column:
+        alternating = F.flatten(F.transform(runs, lambda s, i: F.array(s["a"] - F.when(i > 0, F.get(runs, i - 1)["z"]).otherwise(0), s["z"] - s["a"])))
+        return F.concat(alternating, F.array(area - F.coalesce(F.element_at(runs, F.when(F.size(runs) > 0, -1))["z"], F.lit(0))))
+
+    return _once(_once(sorted_pieces, joined), counted)
 
 
 def mask_crop(roi: Column, counts: Column, inner: Column) -> Column:

@@ -82,3 +82,15 @@ def test_segments_count_over_the_whole_table(held):
     # Frames 170 and 420 of run 0, 1170 of run 1 and, beyond the first block of frames, 65670 of run 65 are cuts.
     rows = held("q_segments", "orders", [(8 * f, 1, "O", 1.0) for f in (0, 170, 171, 420, 1000, 1170, 65530, 65540, 65670)], ORDERS)
     assert [r[-1] for r in sorted(rows)] == [0.0, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 4.0]
+
+
+def test_pieces_of_a_mask_are_sorted_once(spark):
+    """Within lambdas an expression is computed for each element: the sorted pieces may stand in the plan only once."""
+    from pyspark.sql import functions as F
+
+    from playframe.functions import geometry as geo
+
+    rows = spark.range(1).select(*[F.array(*[F.lit(v).cast("long") for v in a]).alias(n) for n, a in (("roi", (0, 0, 5, 4)), ("counts", (3, 9, 8)), ("inner", (2, 1, 5, 3)))])
+    got = rows.select(geo.mask_crop(F.col("roi"), F.col("counts"), F.col("inner")).alias("runs"))
+    assert got._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1
+    assert got.first().runs == [0, 3, 3]
