@@ -12,7 +12,8 @@ always confirmed on the full sets:
 * in buckets whose members aren't all connected yet, members outside the largest
   component against all others. They are cut into blocks of ``BLOCK``, and the
   bucket's members pass by each block, so that a large bucket is many tasks and its
-  pairs stay inside them.
+  pairs stay inside them. They pass with their sketches first; full sets are
+  fetched for the rows of a block that may be linked to another there.
 
 No bucket is capped. A pair at the threshold shares a bucket with probability
 1 - (1 - 0.75 ** 4) ** 32, all but 5 in a million.
@@ -43,6 +44,8 @@ BLOCK, STRIPE = 512, 4096
 #: Of the signature's low bytes, how many must agree before the full sets are compared:
 #: at the threshold 96 of 128 are expected with a deviation of 5, so 56 is beyond eight deviations.
 LEAST_AGREEING = 56
+#: Bit tables of rows to come back to have this many times the slots that ``slots`` has at least, so that few other rows come along.
+SPARSE = 4
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Word hashes a Python worker keeps, some 150 bytes each, and the longest word kept.
 MEMO_WORDS, MEMO_BYTES = 200_000, 64
@@ -138,16 +141,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _detailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row with shingles its full set, the low bytes of its signature and its band keys, as bytes."""
-    for ids, sets in _chunks(batches):
-        full = [i for i, s in enumerate(sets) if len(s)]
-        if not full:
+    """Per row with shingles its set's key and size, the full set, the low bytes of its signature and its band keys, as bytes."""
+    for _, sets in _chunks(batches):
+        own = [s for s in sets if len(s)]
+        if not own:
             continue
-        own = [sets[i] for i in full]
         signature = signatures(own)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
-        columns = [pa.array([ids[i] for i in full], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in own], pa.binary()), _binary(signature.astype(np.uint8)), _binary(band_keys(signature))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "set_key", "shingles", "sketch", "keys"])
+        columns = [pa.array(digests, pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), _binary(signature.astype(np.uint8)), _binary(band_keys(signature))]
+        yield pa.RecordBatch.from_arrays(columns, names=["set_key", "n_shingles", "shingles", "sketch", "keys"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -171,39 +173,31 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _links([(x, y) for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64))])
 
 
-def _block_links(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
-    """Links that join components, from rows (bucket, i, stripe, block, node, label, shingles, sketch, keys), those of block i first.
+def _meetings(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows with the rows of their block that they may be linked to, by falling agreement, from rows (bucket, i, stripe, block, node, label, n_shingles, sketch, keys, ...), those of block i first.
 
     Block i holds members outside the bucket's largest component; the bucket's members
-    pass by them once, in stripes of about ``STRIPE``, a chunk of rows at a time. A found link joins its two
-    components, so further pairs of these are not compared. Two members of small
-    components meet where the block of the one with the smaller block number is, and a
-    pair in several buckets belongs to the first band.
+    pass by them once, in stripes of about ``STRIPE``, a chunk of rows at a time. Two
+    members of small components meet where the block of the one with the smaller block
+    number is, and a pair in several buckets belongs to the first band.
     """
     own: list[tuple] = []
-    joined: dict[int, int] = {}
-
-    def root(label: int) -> int:
-        while joined.get(label, label) != label:
-            label = joined[label]
-        return label
 
     def arrays(part: list[tuple]) -> tuple:
-        sets = [np.frombuffer(r[6], np.uint64) for r in part]
+        nodes, labels, sizes = np.array([r[4:7] for r in part]).T
         sketch = np.frombuffer(b"".join(r[7] for r in part), np.uint8).reshape(len(part), -1)
         keys = np.frombuffer(b"".join(r[8] for r in part), np.int64).reshape(len(part), -1)
-        return sets, np.array([len(s) for s in sets]), sketch, keys
+        return nodes, labels, sizes, sketch, keys
 
-    def meet(part: list[tuple], base: tuple) -> Iterator[tuple[int, int]]:
+    def meet(part: list[tuple], base: tuple) -> Iterator[tuple[tuple, list[tuple]]]:
         if not part:
             return
-        here, sizes, sketch, keys = base
-        nodes = np.array([r[4] for r in own])
-        sets, _, sketches, every_key = arrays(part)
-        for r, s, one, k in zip(part, sets, sketches, every_key, strict=True):
-            bucket, i, _, block, node, label = r[:6]
+        nodes, labels, sizes, sketch, keys = base
+        *_, sketches, every_key = arrays(part)
+        for r, one, k in zip(part, sketches, every_key, strict=True):
+            bucket, i, _, block, node, label, size = r[:7]
             band = int(np.flatnonzero(k == bucket)[0])
-            able = (100 * np.minimum(sizes, len(s)) >= PERCENT * np.maximum(sizes, len(s))) & (nodes != node)
+            able = (100 * np.minimum(sizes, size) >= PERCENT * np.maximum(sizes, size)) & (labels != label)
             if block == i:
                 able &= nodes > node
             elif 0 <= block < i:
@@ -213,11 +207,8 @@ def _block_links(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
             other, agreeing = other[agreeing >= LEAST_AGREEING], agreeing[agreeing >= LEAST_AGREEING]
             first = np.argmax(keys[other] == k, axis=1) == band
             other, agreeing = other[first], agreeing[first]
-            for y in other[np.argsort(-agreeing, kind="stable")].tolist():
-                a, b = root(label), root(own[y][5])
-                if a != b and linked(s, here[y]):
-                    joined[max(a, b)] = min(a, b)
-                    yield node, own[y][4]
+            if len(other):
+                yield r, [own[y] for y in other[np.argsort(-agreeing, kind="stable")].tolist()]
 
     part: list[tuple] = []
     base = None
@@ -238,10 +229,53 @@ def _block_links(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
     yield from meet(part, base)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_members(rows: Iterator[tuple]) -> list[tuple]:
+    """The rows of a block and stripe that may be linked to another, without their sketches: only these need their full sets."""
+    found = {}
+    for r, others in _meetings(rows):
+        found |= {x[4]: x[:6] for x in (r, *others)}
+    return list(found.values())
+
+
+def _block_links(rows: Iterator[tuple]) -> list[tuple[int, int]]:
+    """Links that join components, from rows as ``_meetings`` takes them and the full set.
+
+    A found link joins its two components, so further pairs of these are not compared.
+    """
+    joined: dict[int, int] = {}
+    found = []
+
+    def root(label: int) -> int:
+        while joined.get(label, label) != label:
+            label = joined[label]
+        return label
+
+    for r, others in _meetings(rows):
+        s = np.frombuffer(r[9], np.uint64)
+        for o in others:
+            a, b = root(r[5]), root(o[5])
+            if a != b and linked(s, np.frombuffer(o[9], np.uint64)):
+                joined[max(a, b)] = min(a, b)
+                found.append((r[4], o[4]))
+    return found
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
     rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in slices(batches))
     for _, own in itertools.groupby(rows, key=lambda r: r[:3]):
-        found = list(_block_links(own))
+        yield own
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own in _by_block(batches):
+        found = _block_members(own)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["bucket", "i", "stripe", "block", "node", "label"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own in _by_block(batches):
+        found = _block_links(own)
         if found:
             yield _links(found)
 
@@ -277,12 +311,12 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
 
     several = members.select("node").distinct()
     wanted = written(vertices.join(several, "node").select("node", "doc", "set_key"))
-    bits = slot_bits(wanted.count())
+    bits = slot_bits(SPARSE * wanted.count())
     marks = written(_marks(wanted, bits))
     again = marked(docs, slot(bits, F.col("doc")), marks, "wanted").where("wanted").select("doc", "text")
-    detail = again.mapInArrow(_detailed, "doc long, set_key binary, shingles binary, sketch binary, keys binary")
-    detail = detail.withColumnsRenamed({"doc": "_doc", "set_key": "_set"})
-    sets = written(wanted.join(detail, F.col("set_key").eqNullSafe(F.col("_set")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("node", "shingles", "sketch", "keys").dropDuplicates(["node"]))
+    # Equal keys mean equal sets, so any row of a set will do; the join finds its rows where the exchange before has put them.
+    detail = again.mapInArrow(_detailed, "set_key binary, n_shingles long, shingles binary, sketch binary, keys binary").withColumnRenamed("set_key", "_set").dropDuplicates(["_set"])
+    sets = written(wanted.join(detail, F.col("set_key") == F.col("_set")).select("node", "n_shingles", "shingles", "sketch", "keys"))
     drop(wanted, marks)
 
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -303,11 +337,18 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     every, one = F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1), F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("stripes")))
     rows = rows.withColumn("stripe", F.explode(F.when(F.col("block") == F.col("i"), every).otherwise(one)))
-    rows = rows.select("bucket", "i", "stripe", "block", F.col("node").alias("_node"), "label")
-    rows = rows.join(sets, F.col("_node") == F.col("node")).select("bucket", "i", "stripe", "block", "node", "label", "shingles", "sketch", "keys")
-    second = rows.repartition("bucket", "i", "stripe").sortWithinPartitions("bucket", "i", "stripe", F.col("block") != F.col("i")).mapInArrow(_grouped, "a long, b long")
+    place = ["bucket", "i", "stripe", "block", "node", "label"]
+
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        """The rows with these columns of their sets, each block and stripe together, rows of the block first."""
+        rows = rows.withColumnRenamed("node", "_node").join(sets.select("node", *columns), F.col("_node") == F.col("node")).select(*place, *columns)
+        return rows.repartition("bucket", "i", "stripe").sortWithinPartitions("bucket", "i", "stripe", F.col("block") != F.col("i"))
+
+    sketched = ("n_shingles", "sketch", "keys")
+    near = written(dealt(rows.select(*place), *sketched).mapInArrow(_narrowed, ", ".join(f"{c} long" for c in place)))
+    second = dealt(near, *sketched, "shingles").mapInArrow(_grouped, "a long, b long")
     links = written(first.union(second))
-    drop(members, known, sets, labels, buckets, largest, first)
+    drop(members, known, sets, labels, buckets, largest, first, near)
 
     labels = components(links)
     own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
@@ -333,6 +374,12 @@ def drop_near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "tex
     own = F.col(f"_row.`{row_id}`")
     keyed = written(df.select(whole_row(df)).withColumn("_uid", F.monotonically_increasing_id()))
     found = near_duplicates(keyed.select("_uid", F.col(f"_row.`{text}`").alias("_text")), "_uid", "_text").select(F.col("_uid").alias("_at"), "component_id")
-    grouped = keyed.select("_uid", own.alias("_id")).join(found, F.col("_uid") == F.col("_at"))
+    grouped = written(keyed.select("_uid", own.alias("_id")).join(found, F.col("_uid") == F.col("_at")).select("_uid", "_id", "component_id"))
     stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_uid")).alias("top")).select(F.col("top._uid").alias("_stays"))
-    return keyed.join(written(stay), F.col("_uid") == F.col("_stays"), "left_semi").select("_row.*")
+    gone = written(grouped.select(F.col("_uid").alias("doc")).join(stay, F.col("doc") == F.col("_stays"), "left_anti"))
+    drop(grouped)
+    # Whole rows stay where they are, but for those that go and the few that share a slot with one.
+    bits = slot_bits(SPARSE * gone.count())
+    rows = marked(keyed, slot(bits, F.col("_uid")), written(_marks(gone, bits)), "wanted")
+    left = rows.where("wanted").join(gone, F.col("_uid") == F.col("doc"), "left_anti")
+    return rows.where("not wanted").select("_row.*").union(left.select("_row.*"))

@@ -124,3 +124,32 @@ def test_planted_pairs_at_the_threshold_share_a_bucket_and_pass_the_filter():
         agreeing = int(np.count_nonzero(a.astype(np.uint8) == b.astype(np.uint8)))
         missed += not (keys[0] == keys[1]).any() or agreeing < minhash.LEAST_AGREEING
     assert missed <= 1
+
+
+def test_only_members_that_may_be_linked_pass_with_their_full_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(40)]
+    sets[30] = np.union1d(sets[2][:-6], sets[35][:6])  # linked to 2, which is of the block
+    sets[31] = sets[35][:100]  # a third of 35's size
+    signature = minhash.signatures(sets)
+    keys = minhash.band_keys(signature)
+    keys[:, 0] = 7  # all in one bucket
+    rows = [(7, 0, 0, 0 if n < 20 else -1, n, n if n < 20 else 99, len(s), signature[n].astype(np.uint8).tobytes(), keys[n].tobytes(), s.tobytes()) for n, s in enumerate(sets)]
+    assert sorted(r[4] for r in minhash._block_members(iter(rows))) == [2, 30]
+    assert minhash._block_links(iter(rows)) == [(30, 2)]
+    assert minhash._block_members(iter([r[:5] + (99,) + r[6:] for r in rows])) == []  # connected already
+
+
+def test_whole_rows_that_stay_are_not_shuffled(spark):
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(30))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(5)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.drop_near_duplicates(frame(spark, rows))
+        assert sorted(r.doc_id for r in out.collect()) == list(range(300))
+        stay, rest = out._jdf.queryExecution().optimizedPlan().children().head(), out._jdf.queryExecution().optimizedPlan().children().last()
+        joins = lambda plan: [w for w in ("LeftSemi", "LeftAnti") if w in plan.toString()]
+        assert not joins(stay) and joins(rest) == ["LeftAnti"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
