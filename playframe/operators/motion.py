@@ -110,84 +110,132 @@ def _boxes(mean: np.ndarray) -> np.ndarray:
 
 
 class Tracks:
-    """The tracks of one key as columns: filter state, number, first and last frame, status."""
+    """The tracks of many keys as columns: filter state, key, number, first and last frame, status; those of one key in the order they began."""
 
-    def __init__(self):
+    def __init__(self, keys: int):
         self.mean, self.spread = np.zeros((0, 8)), np.zeros((0, 8, 8))
-        self.info = np.zeros((0, 4), np.int64)  # number, first frame, last frame, status
-        self.count = 0
+        self.info = np.zeros((0, 5), np.int64)  # number, first frame, last frame, status, key
+        self.count = np.zeros(keys, np.int64)
 
-    def of(self, *statuses: int) -> np.ndarray:
-        return np.flatnonzero(np.isin(self.info[:, 3], statuses))
+    def of(self, status: int) -> np.ndarray:
+        return np.flatnonzero(self.info[:, 3] == status)
 
     def keep(self, rows: np.ndarray) -> None:
         self.mean, self.spread, self.info = self.mean[rows], self.spread[rows], self.info[rows]
 
     def move(self) -> None:
         """A step for tracks that have been confirmed; a lost one doesn't grow."""
-        rows = self.of(FOLLOWED, LOST)
+        rows = np.flatnonzero(self.info[:, 3] != TENTATIVE)
         self.mean[self.of(LOST), 7] = 0
         self.mean[rows], self.spread[rows] = predicted(self.mean[rows], self.spread[rows], STEP, _noise("step", self.mean[rows, 3]))
 
-    def see(self, rows: np.ndarray, boxes: np.ndarray, frame: int) -> None:
+    def see(self, rows: np.ndarray, boxes: np.ndarray, frames: np.ndarray) -> None:
         self.mean[rows], self.spread[rows] = corrected(self.mean[rows], self.spread[rows], _measured(boxes), SHOWN, _noise("seen", self.mean[rows, 3]))
-        self.info[rows, 2:] = frame, FOLLOWED
+        self.info[rows, 2], self.info[rows, 3] = frames, FOLLOWED
 
-    def begin(self, boxes: np.ndarray, frame: int, status: int) -> np.ndarray:
+    def begin(self, keys: np.ndarray, boxes: np.ndarray, frames: np.ndarray, statuses: np.ndarray) -> np.ndarray:
+        """``keys`` ascend; the numbers of a key go on from its last."""
         fresh = np.column_stack([_measured(boxes), np.zeros((len(boxes), 4))])
-        numbers = self.count + 1 + np.arange(len(boxes))
-        self.count += len(boxes)
+        numbers = self.count[keys] + 1 + np.arange(len(keys)) - np.searchsorted(keys, keys)
+        np.add.at(self.count, keys, 1)
         self.mean, self.spread = np.concatenate([self.mean, fresh]), np.concatenate([self.spread, _noise("start", fresh[:, 3])])
-        self.info = np.concatenate([self.info, np.column_stack([numbers, *(np.full(len(boxes), v) for v in (frame, frame, status))])])
+        self.info = np.concatenate([self.info, np.column_stack([numbers, frames, frames, statuses, keys])])
         return numbers
 
     def apart(self) -> None:
         """Of a followed and a lost track on one body the one that was seen over more frames stays, the lost one if equal."""
         a, b = self.of(FOLLOWED), self.of(LOST)
-        over = np.argwhere(iou_matrix(_boxes(self.mean[a]), _boxes(self.mean[b])) > ONE_BODY) if len(a) and len(b) else []
+        i, j = _same_key(self.info[a, 4], self.info[b, 4])
+        over = _overlap(_boxes(self.mean[a])[i], _boxes(self.mean[b])[j]) > ONE_BODY
+        a, b = a[i[over]], b[j[over]]
         age = self.info[:, 2] - self.info[:, 1]
-        gone = [b[j] if age[a[i]] > age[b[j]] else a[i] for i, j in over]
-        self.keep(np.setdiff1d(np.arange(len(self.info)), gone))
+        self.keep(np.setdiff1d(np.arange(len(self.info)), np.where(age[a] > age[b], b, a)))
 
 
-def _matched(tracks: np.ndarray, boxes: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of least total cost 1 - IoU among those up to ``limit``."""
-    if not len(tracks) or not len(boxes):
-        return np.zeros(0, int), np.zeros(0, int)
-    cost = 1 - iou_matrix(tracks, boxes)
-    pairs = [(i, j) for i, j in assignment(np.where(cost <= limit, cost - limit - 1, 0.0)) if cost[i, j] <= limit]
-    return tuple(np.array(pairs, int).reshape(-1, 2).T)
+def _same_key(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of places in ``a`` and ``b`` with equal keys."""
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    n = high - low
+    return np.repeat(np.arange(len(a)), n), order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
-def followed(rows: pd.DataFrame, high: float, low: float, new: float, match: float, buffer: int) -> np.ndarray:
-    """The track number of each of one key's boxes, in order of frames; 0 for none."""
-    tracks, out = Tracks(), []
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of boxes row by row."""
+    size = np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2])
+    both = np.clip(size[:, 0], 0, None) * np.clip(size[:, 1], 0, None)
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    union = area(a) + area(b) - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def _matched(tracks: np.ndarray, track_keys: np.ndarray, boxes: np.ndarray, box_keys: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of least total cost 1 - IoU among those up to ``limit``, within each key.
+
+    Where no track and no box of a key has two partners, its pairs are the answer; other keys are searched.
+    """
+    i, j = _same_key(track_keys, box_keys)
+    cost = 1 - _overlap(tracks[i], boxes[j])
+    able = cost <= limit
+    i, j = i[able], j[able]
+    several = (np.bincount(i, minlength=len(tracks))[i] > 1) | (np.bincount(j, minlength=len(boxes))[j] > 1)
+    crowded = np.unique(track_keys[i[several]])
+    alone = ~np.isin(track_keys[i], crowded)
+    found = [np.column_stack([i[alone], j[alone]])]
+    for key in crowded:
+        own, seen = np.flatnonzero(track_keys == key), np.flatnonzero(box_keys == key)
+        cost = 1 - iou_matrix(tracks[own], boxes[seen])
+        found.append(np.array([(own[r], seen[c]) for r, c in assignment(np.where(cost <= limit, cost - limit - 1, 0.0)) if cost[r, c] <= limit], int).reshape(-1, 2))
+    return tuple(np.concatenate(found).T)
+
+
+def followed(keys: np.ndarray, rows: pd.DataFrame, high: float, low: float, new: float, match: float, buffer: int) -> np.ndarray:
+    """The track number of each box, 0 for none; ``keys`` (0, 1, ...) ascend, and frames within them.
+
+    Keys don't touch each other, so the first frames of all go through at once, then the second ones.
+    """
+    at = rows["frame_index"].to_numpy(np.int64)
+    all_boxes, all_scores, resets = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["score"].to_numpy(float), rows["reset"].fillna(True).to_numpy(bool)
+    starts = np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])])[: len(keys)]
+    which = np.cumsum(starts) - 1
+    first = np.flatnonzero(starts)
+    turn = which - which[np.searchsorted(keys, keys)]  # the how many-th frame of its key
+    order = np.argsort(turn, kind="stable")
+    tracks, out = Tracks(int(keys[-1]) + 1 if len(keys) else 0), np.zeros(len(keys), np.int64)
     # What is tried in turn: which tracks, which of the boxes that are left, up to which cost, and what becomes of tracks without a box.
     stages = (((FOLLOWED, LOST), lambda s: s >= high, match, None), ((FOLLOWED,), lambda s: (s > low) & (s < high), WEAK_LIMIT, LOST), ((TENTATIVE,), lambda s: s >= high, TENTATIVE_LIMIT, "gone"))
-    for n, (frame, now) in enumerate(rows.groupby("frame_index", sort=True)):
-        fresh = n == 0 or bool(now["reset"].any())
-        boxes, scores = now[["x1", "y1", "x2", "y2"]].to_numpy(float), now["score"].to_numpy(float)
-        given, number = np.zeros(len(now), bool), np.zeros(len(now), np.int64)
-        tracks.keep(np.flatnonzero((frame - tracks.info[:, 2] <= buffer) & (not fresh)))
+    fresh_frame = np.logical_or.reduceat(resets, first) | (turn[first] == 0) if len(first) else np.zeros(0, bool)
+    for now in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1):
+        own, boxes, scores, frames, fresh = keys[now], all_boxes[now], all_scores[now], at[now], fresh_frame[which[now]]
+        frame = np.full(len(tracks.count), -1, np.int64)  # of each key, -1 once it has ended
+        going = np.zeros(len(tracks.count), bool)
+        frame[own], going[own] = frames, ~fresh
+        of = tracks.info[:, 4]
+        tracks.keep(np.flatnonzero((frame[of] - tracks.info[:, 2] <= buffer) & going[of]))
         tracks.move()
+        of = tracks.info[:, 4]
         waiting = np.ones(len(tracks.info), bool)
+        given, number = np.zeros(len(now), bool), np.zeros(len(now), np.int64)
         before = tracks.info[:, 3].copy()
         for statuses, able, limit, missed in stages:
             pool = np.flatnonzero(waiting & np.isin(before, statuses))
             left = np.flatnonzero(able(scores) & ~given)
-            i, j = _matched(_boxes(tracks.mean[pool]), boxes[left], limit)
-            tracks.see(pool[i], boxes[left[j]], int(frame))
+            i, j = _matched(_boxes(tracks.mean[pool]), of[pool], boxes[left], own[left], limit)
+            tracks.see(pool[i], boxes[left[j]], frames[left[j]])
             waiting[pool[i]], given[left[j]], number[left[j]] = False, True, tracks.info[pool[i], 0]
             if missed == LOST:
                 tracks.info[pool[waiting[pool]], 3] = LOST
         tracks.keep(np.flatnonzero(~(waiting & (before == TENTATIVE))))
         left = np.flatnonzero(~given & (scores >= max(new, high)))
-        born = tracks.begin(boxes[left], int(frame), FOLLOWED if fresh else TENTATIVE)
-        if fresh:
-            number[left] = born
+        born = tracks.begin(own[left], boxes[left], frames[left], np.where(fresh[left], FOLLOWED, TENTATIVE))
+        number[left] = np.where(fresh[left], born, 0)
         tracks.apart()
-        out.append(number)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        out[now] = number
+    return out
+
+
+#: Boxes of whole keys that go through the filter at once.
+ROWS_AT_ONCE = 100_000
 
 
 def tracked(detections: DataFrame, keys: Keys, high: float = 0.25, low: float = 0.1, new: float = 0.25, match: float = 0.8, buffer: int = 30) -> DataFrame:
@@ -199,17 +247,41 @@ def tracked(detections: DataFrame, keys: Keys, high: float = 0.25, low: float =
     unless the frame is the key's first or a reset. A lost track waits ``buffer`` frames.
     Of a followed and a lost track on one place (IoU over 0.85) the longer-lived stays.
     Detections without a confirmed track have none. State passes from frame to frame, so
-    a key, one camera run, is one fold over its boxes.
+    a key, one camera run, is one fold over its boxes; the keys of a task go through
+    the filter side by side.
     """
     kinds = dict(detections.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], f"frame_index long, id {kinds['id']}, track_id long"])
 
+    def numbered(rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), bool)
+        for c in keys:
+            own, last = rows[c], rows[c].shift()
+            new |= ~((own == last) | (own.isna() & last.isna())).fillna(False).to_numpy(bool)
+        return np.concatenate([[0], np.cumsum(new[1:])]) if len(rows) else np.zeros(0, np.int64)
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_index", "id"], kind="stable")
-        number = pd.Series(followed(rows, high, low, new, match, buffer), rows.index, dtype="Int64") if len(rows) else pd.Series([], dtype="Int64")
+        rows = rows.assign(_key=numbered(rows)).sort_values(["_key", "frame_index", "id"], kind="stable")
+        number = pd.Series(followed(rows["_key"].to_numpy(), rows, high, low, new, match, buffer), rows.index, dtype="Int64")
         return rows[[*keys, "frame_index", "id"]].assign(track_id=number.where(number > 0))
 
-    return detections.groupBy(*keys).applyInPandas(fold, schema)
+    def task(parts):
+        held, n = [], 0
+        for part in parts:
+            held.append(part)
+            n += len(part)
+            if n >= ROWS_AT_ONCE:
+                rows = pd.concat(held, ignore_index=True)
+                own = numbered(rows)
+                whole = int(np.searchsorted(own, own[-1]))  # the last key may go on
+                if whole:
+                    yield fold(rows.iloc[:whole])
+                held = [rows.iloc[whole:]]
+                n = min(len(held[0]), ROWS_AT_ONCE - 1) if whole else 0
+        if held and sum(map(len, held)):
+            yield fold(pd.concat(held, ignore_index=True))
+
+    return detections.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "frame_index", "id", "score", "x1", "y1", "x2", "y2", "reset").mapInPandas(task, schema)
 
 
 def peaks(maps: DataFrame, keys: Keys, width: int, least: float = 0.5) -> DataFrame:

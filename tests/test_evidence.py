@@ -111,3 +111,19 @@ def test_a_throw_is_one_shot_and_a_held_ball_none(spark):
     assert abs(got[0].curvature - 12.0) < 1e-6 and got[0].rim and got[0].support >= 2
     assert abs(got[2].rise - got[0].rise) < 1e-6 and got[2].status == "probable"
     assert got[3].status == "candidate" and not got[3].rim
+
+
+def test_keys_side_by_side_are_tracked_as_each_alone(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng, parts = np.random.default_rng(5), []
+    for run in range(6):
+        frames = np.sort(rng.integers(0, 40, 160 + 20 * run))
+        x, y = rng.integers(0, 4, len(frames)) * 18.0 + rng.normal(0, 3, len(frames)), rng.normal(0, 3, len(frames))  # crowded: boxes of 40 by 100
+        parts.append(pd.DataFrame({"run": run, "frame_index": frames, "id": np.arange(len(frames)), "score": rng.uniform(0.05, 1, len(frames)), "x1": x, "y1": y, "x2": x + 40, "y2": y + 100, "reset": frames == 20}))
+    rows, limits = pd.concat(parts), (0.25, 0.1, 0.25, 0.8, 3)
+    alone = np.concatenate([motion.followed(np.zeros(len(p), int), p, *limits) for p in parts])
+    assert (motion.followed(rows["run"].to_numpy(), rows, *limits) == alone).all() and len(set(alone)) > 20
+    found = motion.tracked(spark.createDataFrame(rows), ["run"], *limits).orderBy("run", "id").collect()
+    assert [r.track_id or 0 for r in found] == alone.tolist()
