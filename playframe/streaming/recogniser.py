@@ -16,6 +16,7 @@ they come. Timers and expiry go by event time: a rerun forgets the same things.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -50,6 +51,17 @@ class Schedule:
     least_seen: float = 0.4
 
 
+class Sighting(NamedTuple):
+    segment_id: int
+    frame_index: int
+    time_s: float
+    track_id: int | None
+    confidence: float
+    quality: float | None
+    number: str | None
+    read_confidence: float
+
+
 class Crop(NamedTuple):
     time: float
     frame: int
@@ -75,12 +87,19 @@ class Track:
     sampled: float = -1e9
     crop: Crop | None = None
     votes: list[tuple[float, str, float]] = field(default_factory=list)  # time, number, weight
+    known: tuple[list, Decision] | None = None  # the fresh votes of the last decision, and what they said
 
     def decision(self, now: float, s: Schedule) -> Decision:
         """By weight over the votes that are fresh; confirmed only if the last ones all agree, so one contradiction takes a number down."""
         votes = [v for v in self.votes if now - v[0] <= s.evidence_s + EPS]
         if not votes:
             return Decision(None, "unknown", 0, 0.0)
+        if self.known is None or self.known[0] != votes:
+            self.known = votes, self._of(votes, s)
+        return self.known[1]
+
+    @staticmethod
+    def _of(votes: list[tuple[float, str, float]], s: Schedule) -> Decision:
         totals = {n: sum(w for _, m, w in votes if m == n) for n in {m for _, m, _ in votes}}
         weight, number = max((w, n) for n, w in totals.items())
         count, share = sum(m == number for _, m, _ in votes), weight / sum(totals.values())
@@ -120,15 +139,14 @@ def _place(run: Run, k: int, visible: set[int], frame: int, now: float, s: Sched
     return out
 
 
-def step(run: Run, sightings: pd.DataFrame, s: Schedule) -> list[tuple]:
+def step(run: Run, sightings: list[Sighting], s: Schedule) -> list[tuple]:
     """One frame: what ends, what is read, and a row per sighting with the decision known now (``kind`` is its status)."""
-    head = sightings.iloc[0]
-    now, frame, segment = float(head["time_s"]), int(head["frame_index"]), int(head["segment_id"])
+    segment, frame, now = sightings[0][:3]
     out = _ended(run, run.tracks, frame, run.now, "scene_reset", s) if run.segment not in (None, segment) else []
     run.tokens = min(float(s.batch), run.tokens + max(0.0, now - run.now) * s.per_second)
     run.now, run.segment = now, segment
     out += _ended(run, [k for k, t in run.tracks.items() if now - t.seen > s.forget_s + EPS], frame, now, "expired", s)
-    rows = [(None if pd.isna(r.track_id) else int(r.track_id), r) for r in sightings.itertuples(index=False)]
+    rows = [(r.track_id, r) for r in sightings]
     visible = {k for k, _ in rows if k is not None}
     for k, r in rows:
         sure = r.confidence >= s.least_seen
@@ -139,11 +157,10 @@ def step(run: Run, sightings: pd.DataFrame, s: Schedule) -> list[tuple]:
             continue
         track.seen, track.last = now, frame
         pause = s.confirmed_every if track.decision(now, s).number is not None else s.read_every
-        if sure and not pd.isna(r.quality) and now - track.read >= pause - EPS and now - track.sampled >= s.sample_every - EPS:
+        if sure and r.quality is not None and now - track.read >= pause - EPS and now - track.sampled >= s.sample_every - EPS:
             track.sampled = now
             if track.crop is None or r.quality > track.crop.quality:
-                number = None if pd.isna(r.number) else str(r.number)
-                track.crop = Crop(now, frame, float(r.quality), number, float(r.read_confidence), track.crop.since if track.crop else now)
+                track.crop = Crop(now, frame, r.quality, r.number, r.read_confidence, track.crop.since if track.crop else now)
     for track in run.tracks.values():
         if track.crop and now - track.crop.time > s.read_every + EPS:
             track.crop = None
@@ -173,12 +190,16 @@ def _table(key: dict, found: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def _in_order(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _in_order(rows: pd.DataFrame) -> Iterator[list[Sighting]]:
     """Frames in order; in a frame, sightings by track, of repeated ones the first."""
     rows = rows.sort_values(["frame_index", "track_id", "confidence", "quality"], ascending=[True, True, False, False], kind="stable", na_position="last")
     rows = rows[rows["track_id"].isna() | ~rows.duplicated(["frame_index", "track_id"])]
-    for _, frame in rows.groupby("frame_index", sort=True):
-        yield frame
+    columns = [rows[c].astype(object).where(rows[c].notna(), None) for c in ("track_id", "quality", "number")]
+    track, quality, number = ([None if v is None else kind(v) for v in c] for kind, c in zip((int, float, str), columns, strict=True))
+    plain = lambda c, kind: rows[c].astype(kind).tolist()
+    sightings = map(Sighting, plain("segment_id", int), plain("frame_index", int), plain("time_s", float), track, plain("confidence", float), quality, number, plain("read_confidence", float))
+    for _, frame in itertools.groupby(sightings, key=lambda r: r.frame_index):
+        yield list(frame)
 
 
 def prepared(sightings: DataFrame, run: str) -> DataFrame:

@@ -90,3 +90,18 @@ def test_the_stream_equals_one_pass_in_any_order_and_after_a_restart(spark, tmp_
     pick = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.where("run < 9").collect()), key=str)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert pick(got.select(want.columns)) == pick(want) and want.where(F.col("kind") == "capacity_eviction").count() > 0
+
+
+def test_a_run_is_folded_as_plain_sightings_and_a_decision_is_kept_while_its_votes_are_fresh():
+    import pandas as pd
+
+    rows = pd.DataFrame({"segment_id": 0, "frame_index": [1, 0, 0, 0], "time_s": [0.1, 0.0, 0.0, 0.0], "track_id": [2.0, None, 2.0, 2.0], "confidence": [0.9, 0.8, 0.5, 0.7], "quality": [None, 0.5, 0.5, 0.6], "number": [None, "4", "4", "5"], "read_confidence": 0.9})
+    frames = list(recogniser._in_order(rows))
+    assert frames == [[(0, 0, 0.0, 2, 0.7, 0.6, "5", 0.9), (0, 0, 0.0, None, 0.8, 0.5, "4", 0.9)], [(0, 1, 0.1, 2, 0.9, None, None, 0.9)]]
+    s = recogniser.Schedule()
+    track = recogniser.Track(0, 0, 0.0, votes=[(0.0, "4", 1.0), (5.0, "4", 1.0)])
+    sure = track.decision(6.0, s)
+    assert sure == ("4", "confirmed", 2, 1.0) and track.decision(7.0, s) is sure
+    assert track.decision(13.0, s) == (None, "uncertain", 1, 1.0) and track.decision(18.0, s).status == "unknown"
+    track.votes = [*track.votes, (6.0, "5", 1.0)]
+    assert track.decision(7.0, s) == (None, "uncertain", 2, 2 / 3)
